@@ -7,8 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .packing import pack
+from .quality import decisions
 from .simhash import near_duplicates
 from .tables import table
+from .token_counts import token_counts
+from .token_file import token_file_digest
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +40,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_id_output": op5_token_id_output,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
