@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .fingerprints import edited_likeness
+from .mixing import mix
 from .packing import pack
 from .quality import decisions
 from .simhash import near_duplicates
@@ -15,10 +17,18 @@ from .token_counts import token_counts
 from .token_file import token_file_digest
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_id_output": op5_token_id_output,
     "op6_quality_classifier": op6_quality_classifier,
@@ -49,6 +61,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '<null>') AS source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens
+            FROM documents),
+        t AS (
+            SELECT source, sum(n_tokens)::BIGINT AS source_tokens, count(*) AS source_docs,
+                   sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM d)::DOUBLE AS p
+            FROM d GROUP BY source),
+        total AS (SELECT sum(n_tokens)::BIGINT AS budget FROM d),
+        b(i, lo, hi) AS (
+            SELECT 0, 0::DOUBLE, 1::DOUBLE
+            UNION ALL
+            SELECT i + 1,
+                   CASE WHEN max(pow(p, (lo + hi) / 2 - 1)) / sum(pow(p, (lo + hi) / 2)) <= 1.25 + 1e-12 THEN lo ELSE (lo + hi) / 2 END,
+                   CASE WHEN max(pow(p, (lo + hi) / 2 - 1)) / sum(pow(p, (lo + hi) / 2)) <= 1.25 + 1e-12 THEN (lo + hi) / 2 ELSE hi END
+            FROM b, t WHERE i < 45 GROUP BY i, lo, hi),
+        a AS (
+            SELECT CASE WHEN (SELECT max(pow(p, -1)) / count(*) FROM t) <= 1.25 + 1e-12 THEN 0
+                        ELSE (SELECT round(hi, 6) FROM b WHERE i = 45) END AS e),
+        w AS (SELECT t.*, pow(p, e) / sum(pow(p, e)) OVER () AS weight FROM t, a),
+        plan AS (
+            SELECT source, source_tokens, weight, floor(weight * budget) AS part,
+                   ceil(floor(weight * budget) / source_tokens)::INT AS epochs
+            FROM w, total),
+        passes AS (
+            SELECT doc_id, source, n_tokens, weight, part, epoch,
+                   ('0x' || substr(md5('1|' || epoch || '|' || doc_id), 1, 8))::UBIGINT AS u, source_tokens
+            FROM d JOIN plan USING (source), LATERAL (SELECT unnest(range(epochs)) AS epoch)),
+        placed AS (
+            SELECT *, epoch * source_tokens + coalesce(sum(n_tokens) OVER (
+                PARTITION BY source, epoch ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM passes),
+        taken AS (
+            SELECT *, floor(start * greatest(1, ceil(budget / 1000000.0)) / part)::BIGINT AS block
+            FROM placed, total WHERE start < part)
+        SELECT doc_id, source, epoch::BIGINT AS epoch, n_tokens, round(weight, 9) AS weight, block,
+               row_number() OVER (PARTITION BY block ORDER BY
+                   ('0x' || substr(md5('1|slot|' || epoch || '|' || doc_id), 1, 8))::UBIGINT, doc_id, epoch) AS slot
+        FROM taken""",
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
