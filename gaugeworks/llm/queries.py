@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .fingerprints import edited_likeness
+from .html_text import extract_main_text
 from .mixing import mix
 from .packing import pack
 from .quality import decisions
@@ -15,6 +16,8 @@ from .simhash import near_duplicates
 from .tables import table
 from .token_counts import token_counts
 from .token_file import token_file_digest
+from .url_filter import judge_urls
+from .url_filter import oracle as url_oracle
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +48,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_id_output": op5_token_id_output,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -101,6 +114,7 @@ ORACLES: dict[str, str] = {
                row_number() OVER (PARTITION BY block ORDER BY
                    ('0x' || substr(md5('1|slot|' || epoch || '|' || doc_id), 1, 8))::UBIGINT, doc_id, epoch) AS slot
         FROM taken""",
+    "op9_url_filter": url_oracle(),
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
