@@ -75,11 +75,11 @@ def mass_balanced(clusters: DataFrame, key: str, mass: str, quotas: dict[str, fl
             s = max(names, key=lambda x: (room[x] / whole[x] if whole[x] else float("-inf"), x))
             room[s] -= m
             out.append(s)
-        return pdf.assign(split=out)
+        return pdf[["k", "m"]].assign(split=out)
 
     kind = clusters.schema[key].dataType.simpleString()
     narrow = clusters.select(F.col(key).alias("k"), F.col(mass).cast("double").alias("m"))
-    return narrow.groupBy(F.lit(1)).applyInPandas(fill, f"k {kind}, m double, split string").select(F.col("k").alias(key), F.col("m").alias(mass), "split")
+    return narrow.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(fill, f"k {kind}, m double, split string").select(F.col("k").alias(key), F.col("m").alias(mass), "split")
 
 
 def cap_per_bucket(rows: DataFrame, by: Sequence[str], key: str, cap: Column, seed: int = 0) -> DataFrame:
