@@ -51,7 +51,7 @@ def nearest_in_time(rows: DataFrame, cluster: str, time: str, key: str, k: int,
     assert k <= reach
     order = Window.partitionBy(cluster).orderBy(time, key)
     around = F.collect_list(F.struct(F.col(time).alias("t"), F.col(key).alias("o"))).over(order.rowsBetween(-k, k))
-    spread = rows.select(cluster, key, time, F.explode(around).alias("x")).filter(F.col("x.o") != F.col(key))
+    spread = rows.select(cluster, key, time, around.alias("near")).select(cluster, key, time, F.explode("near").alias("x")).filter(F.col("x.o") != F.col(key))
     gap = F.abs(F.col("x.t") - F.col(time))
     place = F.row_number().over(Window.partitionBy(cluster, key).orderBy(gap, "x.o"))
     return spread.select(cluster, key, F.col("x.o").alias("neighbour"), gap.alias("gap"), place.alias("place")).filter(F.col("place") <= k)

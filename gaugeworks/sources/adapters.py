@@ -41,7 +41,7 @@ ITEMS = """ev AS (
            (('0x' || substr(md5('0|a|' || event_id), 1, 8))::UBIGINT / 4294967296.0 < 0.55)::INT::DOUBLE AS correct_a,
            (('0x' || substr(md5('0|b|' || event_id), 1, 8))::UBIGINT / 4294967296.0 < 0.60)::INT::DOUBLE AS correct_b,
            floor(('0x' || substr(md5('0|p|' || event_id), 1, 8))::UBIGINT / 4294967296.0 * 5)::INT AS pred,
-           epoch(ts)::BIGINT AS t, value, k
+           floor(epoch(ts))::BIGINT AS t, value, k
     FROM (SELECT *, regexp_extract(props, '(\\d+)', 1)::INT AS k FROM events))"""
 
 
