@@ -31,7 +31,7 @@ def item_id(dataset: Column, key: Column) -> Column:
 
 def cache_name(*parts: Column) -> Column:
     """Parts with runs of other than letters and digits as one ``_``, trimmed, joined by ``__``."""
-    return F.concat_ws("__", *(F.trim(F.lit("_"), F.regexp_replace(p.cast("string"), r"[^A-Za-z0-9]+", "_")) for p in parts))
+    return F.concat_ws("__", *(F.trim(F.regexp_replace(p.cast("string"), r"[^A-Za-z0-9]+", "_"), F.lit("_")) for p in parts))
 
 
 def clock_seconds(text: Column) -> Column:

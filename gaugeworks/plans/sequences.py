@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import sequences
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.registry import query
-from gaugeworks.sources.adapters import ITEMS, items
+from gaugeworks.sources.adapters import ITEMS, items, read
+from gaugeworks.streaming import run_log
 
 PAIRS = "p AS (SELECT video, event_id, t, lag(event_id) OVER w AS before, t - lag(t) OVER w AS gap, abs(answer - lag(answer) OVER w) AS jump FROM ev WINDOW w AS (PARTITION BY video ORDER BY t, event_id))"
 
@@ -99,3 +100,14 @@ def top06(spark, sf_dir):
 def top07(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("grp").orderBy("event_id"))
     return items(spark, sf_dir).select("event_id", "grp", place.alias("rn")).filter("rn <= 10").orderBy("event_id").limit(30).select("event_id", "grp")
+
+
+@query("win11_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def win11(spark, sf_dir):
+    return run_log.windowed_counts(read(spark, sf_dir, "events"), "ts", "event_type").select("start", "event_type", "n")
+
+
+@query("win13_latest_state", "WITH l AS (SELECT user_id::VARCHAR AS run, event_type AS kind, floor(epoch(ts))::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) DESC, event_type DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n_events FROM events) SELECT run, t AS ts, kind, n_events FROM l WHERE rn = 1")
+def win13(spark, sf_dir):
+    rows = items(spark, sf_dir).select(F.col("t").cast("double").alias("ts"), F.col("video").alias("run"), F.col("grp").alias("kind"), F.lit(None).cast("string").alias("stage"))
+    return run_log.latest_state(rows).select("run", "ts", "kind", "n_events")
