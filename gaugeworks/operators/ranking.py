@@ -48,8 +48,8 @@ def auc(rows: DataFrame, by: Sequence[str], score: str, positive: Column) -> Dat
 def point_biserial(rows: DataFrame, by: Sequence[str], score: str, flag: Column) -> DataFrame:
     """Pearson correlation of a score and a flag; NULL if either is constant."""
     f = flag.cast("double")
-    done = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(score).alias("s"), F.stddev_pop(f).alias("t"), F.corr(f, F.col(score)).alias("r"))
-    return done.select(*by, "n", F.when((F.col("s") > 0) & (F.col("t") > 0), F.col("r")).alias("r"))
+    done = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(score).alias("s"), F.stddev_pop(f).alias("t"), F.covar_pop(f, F.col(score)).alias("c"))
+    return done.select(*by, "n", F.try_divide(F.col("c"), F.col("s") * F.col("t")).alias("r"))
 
 
 def rank_deciles(rows: DataFrame, by: Sequence[str], value: str, flag: Column) -> DataFrame:

@@ -9,7 +9,9 @@ from gaugeworks.plans.rounding import rounded
 from gaugeworks.registry import query
 from gaugeworks.sources.adapters import ITEMS, SCORED, items, scored_documents
 
-DELTA = F.col("correct_b") - F.col("correct_a")
+def delta():
+    return F.col("correct_b") - F.col("correct_a")
+
 
 
 def _flips(by: str) -> str:
@@ -41,7 +43,7 @@ def agg18(spark, sf_dir):
 def jon04(spark, sf_dir):
     rows = items(spark, sf_dir)
     pairs = comparing.pair_arms(rows.select("qid", F.col("correct_a").alias("correct")), rows.select("qid", F.col("correct_b").alias("correct")))
-    done = pairs.join(rows.select("qid", "dist"), "qid").groupBy("dist").agg(F.count(F.lit(1)).alias("n"), F.avg(DELTA).alias("delta"))
+    done = pairs.join(rows.select("qid", "dist"), "qid").groupBy("dist").agg(F.count(F.lit(1)).alias("n"), F.avg(delta()).alias("delta"))
     return rounded(done, "delta")
 
 
@@ -60,7 +62,7 @@ BOOT_SELECT = "SELECT dist, n, n_clusters, round(point, 6) AS point, round(ci_lo
 
 @query("agg06_paired_cluster_bootstrap", f"WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 50)} {BOOT_SELECT}")
 def agg06(spark, sf_dir):
-    done = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", DELTA, draws=50)
+    done = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=50)
     return rounded(done, "point", "ci_low", "ci_high")
 
 
@@ -92,8 +94,8 @@ def agg04(spark, sf_dir):
 @query("agg05_paired_delta", f"WITH {ITEMS}, {_two_level('correct_b - correct_a', 10)}, k AS (SELECT dist, count(*) FILTER (v > 0) AS wins_b, count(*) FILTER (v < 0) AS wins_a, count(*) AS n FROM q GROUP BY dist) SELECT dist, n_clusters, n, wins_a, wins_b, round(point, 6) AS point, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM p JOIN c USING (dist) JOIN k USING (dist)")
 def agg05(spark, sf_dir):
     rows = items(spark, sf_dir)
-    wins = rows.groupBy("dist").agg(F.count_if(DELTA > 0).alias("wins_b"), F.count_if(DELTA < 0).alias("wins_a"), F.count(F.lit(1)).alias("n"))
-    done = comparing.hierarchical_bootstrap(rows, ["dist"], "video", "event_id", DELTA, draws=10).join(wins, "dist")
+    wins = rows.groupBy("dist").agg(F.count_if(delta() > 0).alias("wins_b"), F.count_if(delta() < 0).alias("wins_a"), F.count(F.lit(1)).alias("n"))
+    done = comparing.hierarchical_bootstrap(rows, ["dist"], "video", "event_id", delta(), draws=10).join(wins, "dist")
     return rounded(done, "point", "ci_low", "ci_high")
 
 
@@ -110,7 +112,7 @@ def agg12(spark, sf_dir):
     l AS (SELECT dist, (sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0) AS d FROM s WINDOW w AS (PARTITION BY dist))
     SELECT dist, count(*) AS n_clusters, count(*) FILTER (d > 0) AS wins, round(min(d), 6) AS min_delta, round(max(d), 6) AS max_delta FROM l GROUP BY dist""")
 def agg14(spark, sf_dir):
-    sums = items(spark, sf_dir).groupBy("dist", "video").agg(F.sum(DELTA).alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = items(spark, sf_dir).groupBy("dist", "video").agg(F.sum(delta()).alias("s"), F.count(F.lit(1)).alias("n"))
     totals = sums.groupBy("dist").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     d = F.try_divide(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n"))
     done = sums.join(totals, "dist").withColumn("d", d).groupBy("dist").agg(
@@ -124,7 +126,7 @@ def agg14(spark, sf_dir):
                       WHEN ci_low > 0 OR ci_high < 0 THEN 'DIFFERENT' ELSE 'INCONCLUSIVE' END AS verdict,
            round(greatest(abs(ci_low), abs(ci_high)), 6) AS epsilon_min FROM c""")
 def add01(spark, sf_dir):
-    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", DELTA, draws=50)
+    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=50)
     done = ci.select("dist", comparing.equivalence(F.col("ci_low"), F.col("ci_high"), 0.1).alias("verdict"), F.greatest(F.abs("ci_low"), F.abs("ci_high")).alias("epsilon_min"))
     return rounded(done, "epsilon_min")
 
@@ -132,7 +134,7 @@ def add01(spark, sf_dir):
 @query("add05_arm_verdict", f"""WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 50)}, v AS (SELECT count(*) FILTER (ci_high < 0) AS harmed, count(*) FILTER (dist = 'ID' AND ci_low > 0) AS won FROM c)
     SELECT harmed, won, CASE WHEN harmed > 0 THEN 'HARM' WHEN won > 0 THEN 'WIN' ELSE 'NULL_RESULT' END AS verdict FROM v""")
 def add05(spark, sf_dir):
-    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", DELTA, draws=50)
+    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=50)
     return comparing.arm_verdict(ci.withColumnRenamed("dist", "cell"), ["ID"])
 
 
@@ -148,7 +150,7 @@ def agg08(spark, sf_dir):
     t AS (SELECT grp, k, n, unnest(range(0, least(k, n - k) + 1)) AS i FROM s)
     SELECT grp, k, n, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6) AS p FROM t GROUP BY grp, k, n""")
 def agg48(spark, sf_dir):
-    per = items(spark, sf_dir).groupBy("grp", "video").agg(F.avg(DELTA).alias("d"))
+    per = items(spark, sf_dir).groupBy("grp", "video").agg(F.avg(delta()).alias("d"))
     done = per.groupBy("grp").agg(F.count_if(F.col("d") > 0).alias("k"), F.count_if(F.col("d") != 0).alias("n"))
     return rounded(done.select("grp", "k", "n", comparing.sign_test(F.col("k"), F.col("n")).alias("p")), "p")
 
@@ -157,6 +159,6 @@ def agg48(spark, sf_dir):
     SELECT round(max(d) FILTER (typical), 6) AS typical, round(max(d) FILTER (NOT typical), 6) AS atypical, round(max(d) FILTER (NOT typical) - max(d) FILTER (typical), 6) AS interaction FROM a""")
 def agg10(spark, sf_dir):
     side = F.col("k") % 2 == 0
-    means = items(spark, sf_dir).groupBy(side.alias("typical"), "video").agg(F.avg(DELTA).alias("d")).groupBy("typical").agg(F.avg("d").alias("d"))
+    means = items(spark, sf_dir).groupBy(side.alias("typical"), "video").agg(F.avg(delta()).alias("d")).groupBy("typical").agg(F.avg("d").alias("d"))
     done = means.agg(F.max(F.when(F.col("typical"), F.col("d"))).alias("typical"), F.max(F.when(~F.col("typical"), F.col("d"))).alias("atypical"))
     return rounded(done.withColumn("interaction", F.col("atypical") - F.col("typical")), "typical", "atypical", "interaction")
