@@ -75,9 +75,10 @@ def generalise(leaves: DataFrame, level: int) -> DataFrame:
     )
     rare = (F.col("node_children") > MAX_CHILDREN) & (F.col("pages") < F.lit(RARE_SHARE) * F.col("node_pages"))
     rest, rest_bad = F.col("node_labelled") - F.col("labelled"), F.col("node_bad") - F.col("bad")
-    pooled = F.col("node_bad") / F.col("node_labelled")
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-    gap = F.abs(F.col("bad") / F.col("labelled") - rest_bad / rest)
+    pooled = F.try_divide(F.col("node_bad"), F.col("node_labelled"))
+    one = F.lit(1.0)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(one, F.col("labelled")) + F.try_divide(one, rest)))
+    gap = F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(rest_bad, rest))
     similar = F.when((F.col("labelled") > 0) & (rest > 0), (gap == 0) | (gap < F.lit(DEVIATE) * spread)).otherwise(F.lit(False))
     named = F.when((F.col(own) != "") & (rare | similar), F.lit("*")).otherwise(F.col(own))
     chosen = children.join(nodes, parent).select(*parent, own, named.alias(f"t{level}"))
