@@ -49,8 +49,8 @@ def items_of(rows: DataFrame, fps: float) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of answers, one row per id: the first in file order; repeated ids are not an error here."""
-    rows = spark.read.schema(PREDICTIONS).json(path, multiLine=True)
-    return rows.groupBy("qID").agg(F.min_by(F.struct("content", "latency"), F.monotonically_increasing_id()).alias("p")).select("qID", F.col("p.content").alias("prediction"), "p.latency")
+    rows = spark.read.schema(PREDICTIONS).json(path, multiLine=True).withColumn("_place", F.monotonically_increasing_id())
+    return rows.groupBy("qID").agg(F.min_by(F.struct("content", "latency"), "_place").alias("p")).select("qID", F.col("p.content").alias("prediction"), "p.latency")
 
 
 def annotated_frames(spark: SparkSession, path: str, code: int) -> DataFrame:
