@@ -59,16 +59,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def id_frequencies(encoded: DataFrame, vocabulary: int) -> DataFrame:
+def id_frequencies(encoded: DataFrame, vocabulary: int, dtype: np.dtype) -> DataFrame:
     """id, n over the binary column ``ids``: each task sends one row for each id it met, ``vocabulary`` at most."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), ID_TYPE), minlength=vocabulary) if len(x.as_py()) > 4 * vocabulary else 0
-            short = b"".join(x.as_py() for x in batch.column(0) if len(x.as_py()) <= 4 * vocabulary)
-            total += np.bincount(np.frombuffer(short, ID_TYPE), minlength=vocabulary)
+            every = b"".join(x.as_py() for x in batch.column(0))
+            total += np.bincount(np.frombuffer(every, dtype), minlength=vocabulary)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], names=["id", "n"])
 
@@ -83,11 +81,12 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = encoded_ids(rows, "text", tokenizer, end_id)
     vocabulary = max(vocabulary_size(tokenizer), end_id + 1)
-    # Each document once more, as ranks do not exist before all ids are counted.
-    encoded = materialise(encoded, "encoded")
-    by_use = sorted(((r["n"], r["id"]) for r in id_frequencies(encoded, vocabulary).collect()), key=lambda x: (-x[0], x[1]))  # at most the vocabulary
+    dtype = np.dtype("<u2") if vocabulary <= 1 << 16 else ID_TYPE
+    # Written once, as ranks do not exist before all ids are counted.
+    encoded = materialise(encoded_ids(rows, "text", tokenizer, end_id, dtype), "encoded", "zstd")
+    counted = id_frequencies(encoded, vocabulary, dtype).collect()  # at most the vocabulary
+    by_use = sorted(((r["n"], r["id"]) for r in counted), key=lambda x: (-x[0], x[1]))
     ids = [i for _, i in by_use]
     spark.createDataFrame(
         [(k, i, n) for k, (n, i) in enumerate(by_use)], "rank long, id long, n long"
@@ -105,9 +104,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         octets = 0
 
         def close() -> pa.RecordBatch:
-            ranks = shared.value[np.frombuffer(b"".join(held), ID_TYPE)]
+            ranks = shared.value[np.frombuffer(b"".join(held), dtype)]
             control, data = pack(ranks)
-            lengths = [len(x) // ID_TYPE.itemsize for x in held]
+            lengths = [len(x) // dtype.itemsize for x in held]
             values = [part, block, len(ranks), doc_ids, lengths, control, data]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, SCHEMA, strict=True)], schema=SCHEMA)
 
@@ -116,13 +115,13 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 doc_ids.append(doc_id)
                 held.append(x.as_py())
                 octets += len(held[-1])
-                if octets >= BLOCK_IDS * ID_TYPE.itemsize:
+                if octets >= BLOCK_IDS * dtype.itemsize:
                     yield close()
                     doc_ids, held, octets, block = [], [], 0, block + 1
         if held:
             yield close()
 
-    ordered = encoded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(blocks, BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
