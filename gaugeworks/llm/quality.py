@@ -3,7 +3,7 @@
 Two bags of hashed word unigrams and bigrams are counted: one over the good texts of
 a labelled sample (target), one over the whole corpus (raw).  A document's importance
 is the ratio of the two models' likelihoods, per n-gram and scaled to a reference
-length, so that long texts aren't judged by their length.  Gumbel noise on the log of
+length, so that long texts aren't judged by their length, nor short ones by a few words.  Gumbel noise on the log of
 the weight turns the k largest into a sample without replacement (Gumbel top-k); k is
 given, or is the number of documents that reach the cut that best parts the labelled
 sample.
@@ -26,8 +26,12 @@ BITS = 16
 #: Labelled rows that the target model and the cut are fitted on, at most.
 SAMPLE_ROWS = 20_000
 #: Pseudo-counts that draw the ratio of a rare bucket to 1, as a share of the target's mean count.
-SHRINK = 0.05
+SHRINK = 0.5
+#: Length that weights are scaled to, and n-grams of ratio 1 that every text is taken to have besides its own.
 REFERENCE_GRAMS = 200.0
+NEUTRAL_GRAMS = 100
+#: A good document lost weighs as much as this many bad ones passed, when the cut is fitted.
+KEEP_WEIGHT = 4.0
 CHUNK = 4096
 KNOWN_WORDS = 400_000
 
@@ -66,59 +70,56 @@ def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     )
 
 
-def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every bucket over all documents, and over the good ones of the sample that fit the target.
+def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, bits: int = BITS) -> np.ndarray:
+    """Counts of every bucket: row 0 over all documents, 1 over the fitting half of the sample, 2 over its good ones.
 
     Each task sums its documents and sends arrays, in chunks that are summed on the way:
-    what reaches the driver is ``2 ** bits`` pairs of counts, whatever the corpus.
+    what reaches the driver is ``3 x 2 ** bits`` counts, whatever the corpus.
     """
     size = 1 << bits
-    marked = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.filter("good and fits")), "_label_id", "left")
+    step = min(CHUNK, size)
+    marked = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.filter("fits")), "_label_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        total = np.zeros((3, size), np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 buckets = gram_buckets(text.as_py(), bits)
-                np.add.at(raw, buckets, 1)
-                if good:
-                    np.add.at(target, buckets, 1)
-        yield from chunks(raw, target)
+                for row in (0,) if good is None else (0, 1, 2) if good else (0, 1):
+                    np.add.at(total[row], buckets, 1)
+        yield as_rows({k: total[:, k * step : (k + 1) * step] for k in range(size // step)})
 
-    def chunks(raw: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = min(CHUNK, size)
-        parts = [(k, raw[k * step : (k + 1) * step].tobytes(), target[k * step : (k + 1) * step].tobytes()) for k in range(size // step)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "raw", "target"])
+    def as_rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, raw, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = [np.frombuffer(raw, np.int64), np.frombuffer(target, np.int64)]
-                sums[chunk] = [a + b for a, b in zip(sums[chunk], got, strict=True)] if chunk in sums else got
+            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int64).reshape(3, -1)
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([x[0].tobytes() for x in sums.values()]), pa.array([x[1].tobytes() for x in sums.values()])],
-                names=["chunk", "raw", "target"],
-            )
+            yield as_rows(sums)
 
-    ddl = "chunk int, raw binary, target binary"
+    ddl = "chunk int, counts binary"
     summed = marked.select("text", "good").mapInArrow(count, ddl).repartition("chunk").mapInArrow(add, ddl).collect()
-    raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    step = min(CHUNK, size)
+    total = np.zeros((3, size), np.int64)
     for row in summed:
-        at = slice(row["chunk"] * step, (row["chunk"] + 1) * step)
-        raw[at] += np.frombuffer(row["raw"], np.int64)
-        target[at] += np.frombuffer(row["target"], np.int64)
-    return raw, target
+        total[:, row["chunk"] * step : (row["chunk"] + 1) * step] += np.frombuffer(row["counts"], np.int64).reshape(3, -1)
+    return total
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
-    """Log of target model over raw model for each bucket, drawn to 0 where the target says little."""
+def log_ratios(raw: np.ndarray, labelled: np.ndarray, target: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
+    """Log of target model over raw model for each bucket, drawn to 0 where the target says little.
+
+    What the raw model expects in the target is no more than what the labelled sample
+    bears out: a text that few labels reach (a large group of copies, say) is rare in the
+    target for that reason alone, and is not held against it.
+    """
     if not raw.sum() or not target.sum():
         return np.zeros(len(raw))
-    expected = raw * (target.sum() / raw.sum())
-    more = max(shrink * expected.mean(), 1.0)
+    expected = np.minimum(raw * (target.sum() / raw.sum()), labelled * (target.sum() / labelled.sum()))
+    expected *= target.sum() / max(expected.sum(), 1e-9)
+    more = max(shrink * target.mean(), 1.0)
     return np.log((target + more) / (expected + more))
 
 
@@ -135,7 +136,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", bits: in
             for k, text in enumerate(batch.column(at)):
                 buckets = gram_buckets(text.as_py(), bits)
                 if len(buckets):
-                    n[k], weight[k] = len(buckets), REFERENCE_GRAMS * table[buckets].mean()
+                    n[k], weight[k] = len(buckets), REFERENCE_GRAMS * table[buckets].sum() / (len(buckets) + NEUTRAL_GRAMS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(weight)], names=schema.fieldNames())
 
     return docs.mapInArrow(of, schema)
@@ -148,7 +149,7 @@ def gumbel(id_col: str, seed: int) -> Column:
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
-    """The cut that parts good from bad with the fewest errors, each side weighed by its share; -inf if one is missing.
+    """The cut that parts good from bad with the least error, shares of each side, lost good ones weighed up; -inf if a side is missing.
 
     Of equal cuts the middle of the widest gap is taken.
     """
@@ -158,7 +159,7 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     s, g = scores[order], good[order]
     lost = np.concatenate(([0], np.cumsum(g))) / g.sum()  # good below the cut
     passed = 1 - np.concatenate(([0], np.cumsum(~g))) / (~g).sum()  # bad above the cut
-    error = lost + passed
+    error = KEEP_WEIGHT * lost + passed
     least = np.flatnonzero(error <= error.min() + 1e-12)
     edges = np.concatenate(([s[0] - 1], s, [s[-1] + 1]))
     gaps = edges[least + 1] - edges[least]
