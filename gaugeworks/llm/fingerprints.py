@@ -100,6 +100,10 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return named.join(sizes, "fingerprint").select("doc_id", "fingerprint", "group_size")
 
 
+def _key(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def next_ids(ids: DataFrame) -> DataFrame:
     """doc_id, next_id for distinct ids: the next in descending order, the first after the last; null stands last.
 
@@ -135,29 +139,33 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_id = narrow.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.first("high").alias("high"), F.first("low").alias("low"))
     steps = materialise(next_ids(by_id.select("doc_id")), "next-ids")
     unique = narrow.count() == steps.count()
-    # What each document must show of itself, its head, and to which document.
-    own, after = by_id.alias("own"), by_id.alias("after")
+    # What each document must show of itself, its head, and to which document.  Keys are never
+    # null, and both joins read the same columns, so that the texts are dealt once.
+    by_key = by_id.select(_key("doc_id").alias("key"), "n_chars", "high", "low")
+    own, after = by_key.alias("own"), by_key.alias("after")
     asked = (
-        steps.join(own, steps["doc_id"].eqNullSafe(F.col("own.doc_id")))
-        .join(after, steps["next_id"].eqNullSafe(F.col("after.doc_id")))
+        steps.select("doc_id", _key("doc_id").alias("asker"), _key("next_id").alias("shower"))
+        .join(own, F.col("asker") == F.col("own.key"))
+        .join(after, F.col("shower") == F.col("after.key"))
         .select(
-            steps["doc_id"].alias("asker_id"),
-            "next_id",
+            "doc_id",
+            "asker",
+            "shower",
             F.floor(F.col("own.n_chars") / 2).cast("int").alias("asked"),
             *(F.col(f"{side}.{lane}").alias(f"{side}_{lane}") for side in ("own", "after") for lane in ("high", "low")),
         )
     )
-    dealt = rows.repartition("doc_id")
+    dealt = rows.select(_key("doc_id").alias("key"), "text").repartition("key")
     shown = dealt
     if not unique:
-        first = Window.partitionBy("doc_id").orderBy("text")
+        first = Window.partitionBy("key").orderBy("text")
         shown = dealt.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
-    heads = shown.join(asked, shown["doc_id"].eqNullSafe(asked["next_id"]))
+    heads = shown.join(asked, F.col("key") == F.col("shower"))
     if not unique:
         high, low = lanes(canonical(F.col("text")))
         heads = heads.withColumn("after_high", high).withColumn("after_low", low)
-    heads = heads.select("asker_id", F.expr("substring(text, 1, asked)").alias("head"), "own_high", "own_low", "after_high", "after_low")
-    whole = dealt.join(heads, dealt["doc_id"].eqNullSafe(heads["asker_id"]))
+    heads = heads.select("doc_id", "asker", F.expr("substring(text, 1, asked)").alias("head"), "own_high", "own_low", "after_high", "after_low")
+    whole = dealt.join(heads, F.col("key") == F.col("asker"))
     if not unique:
         high, low = lanes(canonical(F.col("text")))
         half = F.expr("substring(head, 1, cast(floor(length(text) / 2) as int))")
