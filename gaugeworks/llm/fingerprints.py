@@ -41,7 +41,7 @@ def hex_digest(high: Column, low: Column, variant: Column | None = None) -> Colu
     return digest if variant is None else F.concat(digest, F.when(variant > 0, F.concat(F.lit("-"), variant.cast("string"))).otherwise(F.lit("")))
 
 
-#: Ids of documents that share a digest which are broadcast at most; beyond that they are joined by shuffling.
+#: Shared digests, and ids behind them, that are broadcast at most; beyond that they are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
 
@@ -53,7 +53,9 @@ def variants(rows: DataFrame, narrow: DataFrame) -> DataFrame:
     form of each digest are found by partial aggregation, so a digest with very many copies
     sends two forms from each task.  Where they differ the bucket's distinct forms are numbered.
     """
-    shared = narrow.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high", "low")
+    shared = materialise(narrow.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high", "low"), "shared")
+    # Matched on the map side, or by a join whose large partitions can be split: a digest may be that of very many rows.
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
     again = materialise(narrow.join(shared, ["high", "low"], "left_semi").select(F.col("doc_id").alias("again_id")).distinct(), "shared-digests")
     again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
     formed = rows.join(again, rows["doc_id"].eqNullSafe(again["again_id"]), "left_semi").select(canonical(F.col("text")).alias("form"))
