@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -58,16 +58,20 @@ def simhash(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, if asked for, the text's SHA-256 (null for a null text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((simhash(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([text_digest(text_col).alias("digest")] if digest else []))
+    return rows.mapInArrow(of, "doc_id long, fp long" + (", digest binary" if digest else ""))
+
+
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(text_col), 256))
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -186,6 +190,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, t
     return found.distinct()
 
 
+def with_component(nodes: DataFrame, max_bits: int, blocks: int | None = None) -> DataFrame:
+    """``nodes`` (one row for each fingerprint ``fp``) and the component of each."""
+    linked = connected_components(links(nodes.select("fp"), max_bits, blocks))
+    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select(*nodes.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int | None = None
 ) -> DataFrame:
@@ -200,24 +210,28 @@ def near_duplicates(
     """
     marked = materialise(fingerprints(docs, id_col, text_col, width), "simhash")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    linked = connected_components(links(nodes.select("fp"), max_bits, blocks))
-    joined = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    joined = with_component(nodes, max_bits, blocks)
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, with all their columns.
+    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id.
 
-    Rows without doc_id stay only where no row of their component has one; of rows
-    repeated with the doc_id that stays, one remains.
+    Rows are told apart by doc_id and text, so different texts may share a doc_id or have
+    none.  A row without doc_id stays only where no row of its component has one; among
+    rows of one doc_id and component the least digest of the text decides, and of rows
+    equal in both one remains.
     """
-    found = near_duplicates(docs, id_col, text_col, width, max_bits)
-    kept = materialise(found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep_id"), F.col("fingerprint").alias("_keep_fp")), "simhash-kept")
-    unique = kept.select("_keep_id").distinct()
-    out = docs.join(unique, docs[id_col].eqNullSafe(unique["_keep_id"]), "left_semi")
-    if unique.count() < kept.count():
-        first = Window.partitionBy(id_col).orderBy(text_col)
-        out = out.withColumn("_row_rank", F.row_number().over(first)).filter("_row_rank = 1").drop("_row_rank")
-    return out
+    marked = materialise(fingerprints(docs, id_col, text_col, width, digest=True), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    nodes = materialise(marked.groupBy("fp").agg(first.alias("first_row")), "simhash-nodes")
+    least = with_component(nodes, max_bits).groupBy("component").agg(F.min("first_row").alias("r"))
+    kept = materialise(least.select(F.col("r.doc_id").alias("_keep_id"), F.col("r.digest").alias("_keep_digest")), "simhash-kept")
+    rows = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_digest": text_digest(text_col)})
+    if not marked.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        # Taken together before the join, and on the map side, so that copies are not one task.
+        rows = rows.groupBy("_row_id", "_row_digest").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row_id", "_row_digest", "_row.*")
+    same = rows["_row_id"].eqNullSafe(kept["_keep_id"]) & rows["_row_digest"].eqNullSafe(kept["_keep_digest"])
+    return rows.join(kept, same, "left_semi").select(*docs.columns)

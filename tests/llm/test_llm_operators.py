@@ -141,6 +141,16 @@ def test_keep_one_of_each_group(spark, odd):
     assert simhash.keep_one(docs_of(spark, ["a b", "a b"], ids=[1, 1])).count() == 1
 
 
+def test_keep_one_with_null_and_repeated_ids(spark, odd):
+    far = [odd[3], "alpha beta gamma delta epsilon", "one two three four five six", "red orange yellow green blue", "kappa lambda mu nu xi"]
+    kept = lambda texts, ids: sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, texts, ids=ids)).collect()), key=str)
+    assert kept(far, [None] * 5) == sorted(((None, t) for t in far), key=str)
+    assert kept([*far[:2], *far[:2]], [5, 5, None, None]) == sorted([(5, far[0]), (5, far[1])], key=str)
+    # 5 is the second component's id; the first component keeps 3, and its own row of id 5 goes.
+    assert kept([odd[3], odd[4], far[1]], [3, 5, 5]) == [(3, odd[3]), (5, far[1])]
+    assert kept([None, "", far[1], far[1]], [None, None, None, None]) in ([(None, None), (None, far[1])], [(None, ""), (None, far[1])], [(None, far[1]), (None, None)])
+
+
 def test_blocks_grow_with_the_fingerprints():
     assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**11)] == sorted(simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**11))
     assert all(len(simhash.block_masks(b, 4)) == {6: 15, 7: 35, 8: 70}[b] for b in (6, 7, 8))
