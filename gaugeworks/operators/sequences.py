@@ -45,16 +45,33 @@ def before_first_event(rows: DataFrame, cluster: str, time: str, event: Column)
 def nearest_in_time(rows: DataFrame, cluster: str, time: str, key: str, k: int, reach: int = 64) -> DataFrame:
     """key, neighbour, gap, place: the k rows of the cluster nearest in time; ties go to the lower key.
 
-    The k nearest lie among the k before and the k after in time order, so only those are
-    looked at: array windows of 2k + 1 rows, no self-join.  Rows at one moment are ordered by key.
+    The k nearest lie among the lowest k + 1 keys of the row's own time and of the k distinct
+    times either side, so only those are looked at: no self-join, and rows at one moment
+    do not widen the windows.  Rows without a time come last, in order of their keys.
     """
     assert k <= reach
-    order = Window.partitionBy(cluster).orderBy(time, key)
-    around = F.collect_list(F.struct(F.col(time).alias("t"), F.col(key).alias("o"))).over(order.rowsBetween(-k, k))
-    spread = rows.select(cluster, key, time, around.alias("near")).select(cluster, key, time, F.explode("near").alias("x")).filter(F.col("x.o") != F.col(key))
-    gap = F.abs(F.col("x.t") - F.col(time))
-    place = F.row_number().over(Window.partitionBy(cluster, key).orderBy(gap, "x.o"))
-    return spread.select(cluster, key, F.col("x.o").alias("neighbour"), gap.alias("gap"), place.alias("place")).filter(F.col("place") <= k)
+    rows = rows.select(cluster, key, time)
+
+    def lowest(some: DataFrame, *by: str) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+        first = some.withColumn("_number", number).filter(F.col("_number") <= k + 1)
+        return first.groupBy(*by).agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col(key).alias("o"))).alias("near"))
+
+    dated, undated = rows.filter(F.col(time).isNotNull()), rows.filter(F.col(time).isNull())
+    around = F.flatten(F.collect_list("near").over(Window.partitionBy(cluster).orderBy(time).rowsBetween(-k, k)))
+    cells = lowest(dated, cluster, time).select(cluster, time, around.alias("near"))
+    last = lowest(undated, cluster).withColumnRenamed("near", "last")
+    near = F.when(F.col("last").isNull(), F.col("near")).otherwise(F.concat("near", "last"))
+    of_dated = dated.join(cells, [cluster, time]).join(last, cluster, "left").select(cluster, key, time, near.alias("near"))
+    of_undated = undated.join(lowest(rows, cluster), cluster).select(cluster, key, time, "near")
+
+    def candidate(x: Column) -> Column:
+        gap = F.abs(x["t"] - F.col(time))
+        return F.struct(gap.isNull().alias("undated"), gap.alias("gap"), x["o"].alias("neighbour"))
+
+    others = F.transform(F.filter("near", lambda x: x["o"] != F.col(key)), candidate)
+    nearest = of_dated.unionByName(of_undated).select(cluster, key, F.posexplode(F.slice(F.array_sort(others), 1, k)).alias("at", "x"))
+    return nearest.select(cluster, key, "x.neighbour", "x.gap", (F.col("at") + 1).alias("place"))
 
 
 def running_rate(rows: DataFrame, group: str, time: str, key: str, width: int = 64) -> DataFrame:

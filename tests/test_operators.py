@@ -174,6 +174,17 @@ def test_nearest_ties_take_the_lower_key(spark):
     assert got == {(1, 2, 1), (2, 1, 1), (3, 2, 1)}
 
 
+def test_nearest_among_many_rows_of_one_moment(spark):
+    rows = [("v", t, i) for i, t in enumerate([7, 7, 7, 8, 7, 9, 9, 9, 9, None, 30, None, 8, 7, 9, 40])] + [("w", None, 1), ("w", None, 2), ("x", 1, 1), (None, 1, 1), (None, 1, 2)]
+    got = {tuple(r) for r in sequences.nearest_in_time(spark.createDataFrame(rows, "video string, t long, id long"), "video", "t", "id", 2).collect()}
+    want = set()
+    for v, t, i in rows:
+        others = [(None if t is None or u is None else abs(t - u), j) for w, u, j in rows if v is not None and w == v and j != i]
+        order = sorted(others, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        want |= {(v, i, j, gap, place) for place, (gap, j) in enumerate(order[:2], 1)}
+    assert got == want
+
+
 def test_upsert_twice_changes_nothing(spark):
     old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
     once = joining.upsert_missing(old, new, ["k"])
