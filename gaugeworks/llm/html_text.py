@@ -27,6 +27,10 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("hr".split())
 #: Elements whose content is not text of the page.
 SKIPPED_TAGS = frozenset("script style noscript template svg math iframe object select button textarea title head canvas audio video".split())
+#: Of these, browsers read all that follows as text up to the end tag, or to the page's end.
+RAW_TAGS = frozenset("script style title textarea iframe".split())
+#: One of these that starts again has not been closed.
+UNNESTED_TAGS = frozenset("button select noscript canvas audio video".split())
 #: A start tag of these closes an open one of its kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -77,6 +81,12 @@ def element_flags(name: str, attributes: str, inside: int) -> int:
     return flags
 
 
+@cache
+def end_tag(name: str) -> re.Pattern:
+    """The end tag of a skipped element, or its next start tag (an empty first group) where it can't be nested."""
+    return re.compile(rf"<(/{'?' if name in UNNESTED_TAGS else ''}){name}(?![-\w])[^>]*>", re.I)
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, int, str]]:
     """Text, words, words in links, flags and tag of every block that has text, in page order."""
     html = page or ""
@@ -85,6 +95,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str]]:
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
+    unclosed: set[str] = set()  # names without an end tag in what is left of the page
 
     def close() -> None:
         if parts:
@@ -128,10 +139,17 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str]]:
         slash, name, attributes = tag[1], tag[2].lower(), tag[3]
         if name in SKIPPED_TAGS:
             if not slash and not attributes.endswith("/"):
-                closing = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                if closing is None and name == "head":
+                closing = None if name in unclosed else end_tag(name).search(html, at)
+                if closing is not None and not closing[1]:
+                    closing = None  # it starts again before it ends
+                elif closing is None:
+                    unclosed.add(name)
+                if closing is not None:
+                    at = closing.end()
+                elif name in RAW_TAGS:
+                    at = end
+                elif name == "head":
                     continue
-                at = end if closing is None else closing.end()
             if name not in ("script", "style"):
                 add(" ")
         elif name == "br":

@@ -391,6 +391,21 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "noscript", "template", "canvas", "audio", "video"])
+def test_unclosed_tag_loses_no_text(tag):
+    texts = ["first words of the article", "second words of the article", "third words of the article"]
+    whole = "<article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+    assert html_text.main_text(whole) == "\n".join(texts)
+    assert html_text.main_text(f"<{tag} class=x>{whole}") == "\n".join(texts)
+    assert html_text.main_text(whole.replace("<p>second", f"<{tag}><p>second")) == "\n".join(texts)
+    assert html_text.main_text(whole.replace("<p>second", f"<{tag}>skipped</{tag}><p>second")) == "\n".join(texts)
+
+
+def test_unclosed_tag_before_a_closed_one():
+    assert html_text.main_text("<button><article><p>some words</p><button>Like</button><p>more words</p></article>") == "some words\nmore words"
+    assert html_text.main_text("<article><p>some words</p><script>never closed<p>no text</p></article>") == "some words"
+
+
 def test_extract_main_text(spark, sf_dir):
     pages = spark.createDataFrame([(1, None, None, 5), (None, "u", "<article><p>x</p></article>", 6), (None, "u", "<article><p>x</p></article>", 6)], "page_id long, url string, html string, text int")
     out = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()), key=str)
