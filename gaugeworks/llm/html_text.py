@@ -1,15 +1,17 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page is cut at its block-level tags into flat blocks.  Each block has its word count
-and link density, those of its neighbours, and what encloses it (an article, a frame
-such as a menu or form, a name such as "cookie" or "comments").  A decision tree, grown
-on the labelled pages of ``html_examples``, says which blocks are main text.
+and link density and those of both neighbours, its kind (heading, paragraph, list
+item), the share of its container in the page's text, and what encloses it: an article,
+a frame such as a menu or form, or a name whose head word is one such as "cookie" or
+"comments".  A decision tree, grown on the labelled pages of ``html_examples``, says
+which blocks are main text; nothing else decides.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from html import unescape
 
@@ -18,40 +20,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_examples import PAGES
+from . import html_examples
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("hr".split())
-#: Elements whose content is not text of the page.
-SKIPPED_TAGS = frozenset("script style noscript template svg math iframe object select button textarea title head canvas audio video".split())
-#: Of these, browsers read all that follows as text up to the end tag, or to the page's end.
-RAW_TAGS = frozenset("script style title textarea iframe".split())
-#: One of these that starts again has not been closed.
-UNNESTED_TAGS = frozenset("button select noscript canvas audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that browsers read as raw text up to their end tag, or to the page's end.
+RAW_TAGS = frozenset("script style title textarea iframe xmp noembed noframes".split())
+#: Other elements whose content is not text of the page; without an end tag of their own they hide nothing.
+SKIPPED_TAGS = frozenset("noscript template svg math object select button head canvas audio video".split())
+#: Foreign content, which any block-level start tag ends.
+FOREIGN_TAGS = frozenset("svg math".split())
 #: A start tag of these closes an open one of its kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th".split())
 CONTENT_TAGS = frozenset("article main".split())
 FRAME_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 CONTENT_ROLES = frozenset("main article".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words in class names and ids of what is not main text (fixed values).
+#: Head words of class names and ids of what is not main text (fixed values).
 FRAME_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login "
     "masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted recommended related replies respond "
     "search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 CONTENT_WORDS = frozenset("article content entry main post story".split())
+#: Words that say how a thing is laid out, not what it is: the head word is looked for before them (fixed values).
+LAYOUT_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons col column container group inner item items left link links list outer panel posts "
+    "right row section slot stories text thread title top unit wrap wrapper".split()
+)
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+BLOCK_START = re.compile(r"<(?:" + "|".join(sorted(BLOCK_TAGS)) + r")(?![-\w])", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 CONTENT, FRAME, NAMED, HIDDEN, LABELLED = 1, 2, 4, 8, 16
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_content", "in_frame", "in_named", "page_has_content", "heading", "list_item")
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
+    "in_content", "in_frame", "in_named", "page_has_content", "heading", "list_item", "paragraph", "container_share",
+)
+#: Pages of every mark-up that the tree is grown on, and its bounds.
+TRAINING_ROUNDS, DEPTH, LEAF = 8, 30, 6
+
+
+def head_word(name: str) -> str:
+    """What a class name or id calls its element: the last of its words that isn't one of layout."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    while len(words) > 1 and words[-1] in LAYOUT_WORDS:
+        words.pop()
+    return words[-1] if words else ""
 
 
 def element_flags(name: str, attributes: str, inside: int) -> int:
@@ -63,46 +85,67 @@ def element_flags(name: str, attributes: str, inside: int) -> int:
         flags |= FRAME
     if attributes and attributes.strip("/ \t\r\n"):
         found = {a.lower(): (b or c or d) for a, b, c, d in ATTRIBUTE.findall(attributes)}
-        words = {w.lower() for key in ("class", "id") for w in NAME_WORD.findall(found.get(key, ""))}
+        heads = {head_word(w) for key in ("class", "id") for w in found.get(key, "").split()}
         role = found.get("role", "").lower()
         if role in CONTENT_ROLES:
             flags |= CONTENT
         if role in FRAME_ROLES:
             flags |= FRAME
-        if words & FRAME_WORDS and not (words & FRAME_WORDS <= {"header"} and inside & CONTENT):
+        if heads & FRAME_WORDS and not (heads & FRAME_WORDS <= {"header"} and inside & CONTENT):
             flags |= NAMED
-        elif words & CONTENT_WORDS:
+        elif heads & CONTENT_WORDS:
             flags |= CONTENT
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
             flags |= HIDDEN
         if "data-main" in found:
             flags |= LABELLED
+        elif "data-apart" in found:
+            flags &= ~LABELLED
     return flags
 
 
 @cache
-def end_tag(name: str) -> re.Pattern:
-    """The end tag of a skipped element, or its next start tag (an empty first group) where it can't be nested."""
-    return re.compile(rf"<(/{'?' if name in UNNESTED_TAGS else ''}){name}(?![-\w])[^>]*>", re.I)
+def tags_named(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(name)}(?![-\w])[^>]*>", re.I)
+
+
+def matching_ends(html: str, name: str) -> dict[int, tuple[int, int]]:
+    """Where each start tag of ``name`` that has an end tag of its own ends: {start: (start, end of the end tag)}."""
+    open_tags: list[int] = []
+    found = {}
+    for tag in tags_named(name).finditer(html):
+        if tag[1]:
+            if open_tags:
+                found[open_tags.pop()] = tag.span()
+        elif not tag[0].endswith("/>"):
+            open_tags.append(tag.start())
+    return found
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, int, str]]:
-    """Text, words, words in links, flags and tag of every block that has text, in page order."""
+def blocks(page: str | None) -> list[tuple[str, int, int, int, str, int]]:
+    """Text, words, words in links, flags, tag and container of every block that has text, in page order."""
     html = page or ""
-    found: list[tuple[str, int, int, int, str]] = []
-    stack: list[tuple[str, int]] = [("", 0)]
+    found: list[tuple[str, int, int, int, str, int]] = []
+    n_elements = 0
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, flags, number
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
-    unclosed: set[str] = set()  # names without an end tag in what is left of the page
+    ends: dict[str, dict[int, tuple[int, int]]] = {}
+
+    def end_of(name: str, opening: int) -> tuple[int, int] | None:
+        if name not in ends:
+            ends[name] = matching_ends(html, name)
+        return ends[name].get(opening)
 
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
-            name, flags = stack[-1]
+            name, flags, number = stack[-1]
             if text and not flags & HIDDEN:
-                found.append((text, text.count(" ") + 1, len(unescape(" ".join(links)).split()), flags, name))
+                container = stack[-2][2] if len(stack) > 1 else number
+                found.append((text, text.count(" ") + 1, len(unescape(" ".join(links)).split()), flags, name, container))
             parts.clear()
             links.clear()
 
@@ -112,6 +155,16 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str]]:
             if in_link:
                 links.append(text)
 
+    def push(name: str, attributes: str) -> None:
+        nonlocal n_elements
+        n_elements += 1
+        stack.append((name, element_flags(name, attributes, stack[-1][1]), n_elements))
+
+    def pop(name: str) -> None:
+        if any(x[0] == name for x in stack):
+            while stack.pop()[0] != name:
+                pass
+
     at, end = 0, len(html)
     while at < end:
         opening = html.find("<", at)
@@ -137,21 +190,18 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str]]:
             continue
         at = tag.end()
         slash, name, attributes = tag[1], tag[2].lower(), tag[3]
-        if name in SKIPPED_TAGS:
-            if not slash and not attributes.endswith("/"):
-                closing = None if name in unclosed else end_tag(name).search(html, at)
-                if closing is not None and not closing[1]:
-                    closing = None  # it starts again before it ends
-                elif closing is None:
-                    unclosed.add(name)
-                if closing is not None:
-                    at = closing.end()
-                elif name in RAW_TAGS:
-                    at = end
-                elif name == "head":
-                    continue
+        if name in RAW_TAGS:
+            if not slash:
+                closing = re.compile(rf"</{name}(?![-\w])[^>]*>", re.I).search(html, at)
+                at = closing.end() if closing else end
             if name not in ("script", "style"):
                 add(" ")
+        elif name in SKIPPED_TAGS:
+            closing = None if slash or attributes.endswith("/") else end_of(name, opening)
+            if closing is not None:
+                block = BLOCK_START.search(html, at, closing[0]) if name in FOREIGN_TAGS else None
+                at = block.start() if block else closing[1]
+            add(" ")
         elif name == "br":
             add(" ")
         elif name == "a":
@@ -160,24 +210,29 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str]]:
             close()
             in_link = 0
             if slash:
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                pop(name)
             elif name not in VOID_TAGS:
                 if name in SELF_CLOSING and stack[-1][0] == name:
                     stack.pop()
                 elif stack[-1][0] == "p":
                     stack.pop()  # any block ends a paragraph
-                stack.append((name, element_flags(name, attributes, stack[-1][1])))
-        elif not slash and attributes and element_flags("", attributes, 0) & (HIDDEN | NAMED) and not attributes.endswith("/"):
-            closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if closing is not None and "<" not in html[at : closing.start()]:
-                at = closing.end()  # an inline element that is hidden or named as a frame
+                push(name, attributes)
+        elif slash:
+            if stack[-1][0] == f"<{name}":
+                close()
+                stack.pop()
+        elif attributes and element_flags("", attributes, 0) & (HIDDEN | NAMED) and not attributes.endswith("/"):
+            closing = end_of(name, opening)  # an inline element that is hidden or named as a frame
+            if closing is not None and BLOCK_START.search(html, at, closing[0]) is None:
+                at = closing[1]
+            elif closing is not None:
+                close()
+                push(f"<{name}", attributes)
     close()
     return found
 
 
-def features(found: list[tuple[str, int, int, int, str]]) -> np.ndarray:
+def features(found: list[tuple[str, int, int, int, str, int]]) -> np.ndarray:
     """A row for each block, as named in ``FEATURES``."""
     n = len(found)
     words = np.array([b[1] for b in found], float)
@@ -189,28 +244,49 @@ def features(found: list[tuple[str, int, int, int, str]]) -> np.ndarray:
     out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
     for k, bit in ((6, CONTENT), (7, FRAME), (8, NAMED)):
         out[:, k] = (flags & bit) > 0
-    out[:, 9] = bool((flags & CONTENT).any())
-    out[:, 10] = [b[4] in ("h1", "h2", "h3", "h4", "h5", "h6") for b in found]
+    out[:, 9] = bool(((flags & CONTENT) > 0).any())
+    out[:, 10] = [b[4] in HEADINGS for b in found]
     out[:, 11] = [b[4] == "li" for b in found]
+    out[:, 12] = [b[4] == "p" for b in found]
+    _, container = np.unique([b[5] for b in found], return_inverse=True)
+    plain = np.where(flags & (FRAME | NAMED), 0.0, words * (1 - density))
+    own = np.bincount(container, plain)
+    out[:, 13] = own[container] / max(own.max(), 1.0)
     return out
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int) -> tuple:
-    """A decision tree by Gini impurity: (feature, threshold, below, above) or (label,)."""
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int, leaf: int = LEAF) -> tuple:
+    """A decision tree by Gini impurity: (feature, threshold, below, above) or (label,).
+
+    A cut leaves ``leaf`` rows or more on either side; smaller parts are split off only
+    where no such cut is left.
+    """
+    n = len(labels)
     if depth == 0 or labels.all() or not labels.any():
         return (bool(labels.mean() >= 0.5),)
     best = None
     for k in range(rows.shape[1]):
-        values = np.unique(rows[:, k])
-        for cut in (values[:-1] + values[1:]) / 2:
-            low = rows[:, k] <= cut
-            impurity = sum(part.sum() * (p := labels[part].mean()) * (1 - p) for part in (low, ~low))
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, k, cut, low)
+        order = np.argsort(rows[:, k], kind="stable")
+        values, sums = rows[order, k], np.cumsum(labels[order])
+        edges = np.flatnonzero(values[1:] > values[:-1]) + 1  # rows below the cut
+        edges = edges[(edges >= leaf) & (edges <= n - leaf)]
+        if not len(edges):
+            continue
+        low, high = sums[edges - 1], sums[-1] - sums[edges - 1]
+        impurity = low * (1 - low / edges) + high * (1 - high / (n - edges))
+        at = int(np.argmin(impurity))
+        if best is None or impurity[at] < best[0] - 1e-9:
+            best = (impurity[at], k, float(values[edges[at] - 1] + values[edges[at]]) / 2)
     if best is None:
-        return (bool(labels.mean() >= 0.5),)
-    _, k, cut, low = best
-    return (k, float(cut), grow(rows[low], labels[low], depth - 1), grow(rows[~low], labels[~low], depth - 1))
+        return grow(rows, labels, depth, 1) if leaf > 1 else (bool(labels.mean() >= 0.5),)
+    _, k, cut = best
+    below = rows[:, k] <= cut
+    return (k, cut, grow(rows[below], labels[below], depth - 1, leaf), grow(rows[~below], labels[~below], depth - 1, leaf))
+
+
+def used(tree: tuple) -> set[str]:
+    """Names of the features that a tree asks for."""
+    return set() if len(tree) == 1 else {FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
 
 
 def classify(tree: tuple, rows: np.ndarray) -> np.ndarray:
@@ -223,14 +299,15 @@ def classify(tree: tuple, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_table(pages: tuple[str, ...] = PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of the labelled pages (main text lies in ``data-main`` elements)."""
-    cut = [blocks(page) for page in pages]
+def labelled_table(pages: Iterable[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages (main text lies in ``data-main`` elements)."""
+    pages = [html for html, _ in html_examples.pages(8, TRAINING_ROUNDS)] if pages is None else pages
+    cut = [c for c in map(blocks, pages) if c]
     return np.concatenate([features(c) for c in cut]), np.array([bool(b[3] & LABELLED) for c in cut for b in c])
 
 
 @cache
-def default_tree(depth: int = 8) -> tuple:
+def default_tree(depth: int = DEPTH) -> tuple:
     return grow(*labelled_table(), depth)
 
 
