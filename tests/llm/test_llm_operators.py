@@ -391,6 +391,52 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_tree_on_held_out_pages():
+    """Pages of another seed; and pages whose mark-up no training page has."""
+    from gaugeworks.llm import html_examples
+
+    def figures(pages, tree):
+        right = hits = extra = lost = 0
+        for html, texts in pages:
+            got = html_text.main_text(html.replace(" data-main", "").replace(" data-apart", ""), tree)
+            right += got == "\n".join(texts)
+            a, b = Counter(got.split("\n")), Counter(texts)
+            hits, extra, lost = hits + (a & b).total(), extra + (a - b).total(), lost + (b - a).total()
+        return right / len(pages), hits / (hits + extra), hits / (hits + lost)
+
+    whole, precision, recall = figures(html_examples.pages(108, 6), html_text.default_tree())
+    assert whole > 0.92 and precision > 0.985 and recall > 0.99
+    seen = [m for m in html_examples.MAIN_MARKUPS if "section" not in m[0] and "table" not in m[0]]
+    other = [m for m in html_examples.MAIN_MARKUPS if m not in seen]
+    tree = html_text.grow(*html_text.labelled_table(h for h, _ in html_examples.pages(8, 8, seen)), html_text.DEPTH)
+    whole, precision, recall = figures(html_examples.pages(109, 6, other), tree)
+    assert whole > 0.8 and precision > 0.95 and recall > 0.95
+
+
+def test_words_and_link_density_decide_without_names():
+    assert {"words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after"} <= html_text.used(html_text.default_tree())
+    prose = ["The council voted on Tuesday to widen the road between the market and the bridge, and nobody spoke against it.", "Short one.", "Work begins in spring, when the river is low and the old stones can be lifted without harm to the bank."]
+    links = "".join(f"<div><a href=/{i}>page {i}</a></div>" for i in range(6))
+    assert html_text.main_text(f"<div>{links}</div><div>" + "".join(f"<p>{t}</p>" for t in prose) + f"</div><div>{links}</div>") == "\n".join(prose)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><p>Short one.</p><p>The council voted on Tuesday to widen the road.</p><p>Nobody spoke against it.</p></div>", "Short one.\nThe council voted on Tuesday to widen the road.\nNobody spoke against it."),
+        ("<article><p>Said so <span class='ad'><b>Buy now</b></span> again.</p></article>", "Said so again."),
+        ("<article><p>Said so <span class='ad'>unclosed again.</p><p>more</p></article>", "Said so unclosed again.\nmore"),
+        ("<article><span class=ad><div><p>Buy now</p></div></span><p>words</p></article>", "words"),
+        ("<article><section class=story-comments-off><p>kept</p></section><div class=notice-board-story><p>this too</p></div></article>", "kept\nthis too"),
+        ("<article><p>a</p><div class=article-comments><p>b</p></div><ul class=comment-list><li>c</li></ul></article>", "a"),
+        ("<article><p>a <svg><text>x</text><p>b</p></svg></article>", "a\nb"),
+        ("<article><p>" + "word " * 300_000 + "</p><p>end</p></article>", ("word " * 300_000).strip() + "\nend"),
+    ],
+)
+def test_main_text_of_odd_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "noscript", "template", "canvas", "audio", "video"])
 def test_unclosed_tag_loses_no_text(tag):
     texts = ["first words of the article", "second words of the article", "third words of the article"]
@@ -448,6 +494,36 @@ def test_templates_are_judged_by_their_labels(spark):
     assert {r.page_id for r in url_filter.judge_urls(spam).collect() if r.verdict == "allow"} == {9}
 
 
+def test_two_bad_pages_do_not_condemn_a_shop(spark):
+    slugs = [f"{a}-{b}-{c}" for a in "red blue green gold grey pink teal navy plum rust lime aqua sand".split() for b in "oak elm ash yew fir box bay fig nut pea tea rye hop".split() for c in "lamp desk chair shelf stool bench table rug vase clock tray jar bowl".split()]
+    rows = [(i, f"http://s.com/shop/{x}") for i, x in enumerate(slugs)] + [(9001, "http://s.com/shop/best-bet-lamp"), (9002, "http://s.com/shop/poker-table")]
+    out = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == len(slugs) + 2 and {r.page_id for r in out if r.verdict == "block"} == {9001, 9002}
+
+
+def test_rare_sections_beside_a_blocked_one(spark):
+    letters = [chr(97 + i // 5) * 3 + chr(97 + i % 5) for i in range(25)]
+    rows = [(100 * i + k, f"http://x.example.com/{'de' if i == 3 else s}/{k}") for i, s in enumerate(letters) for k in range(60 if i == 0 else 4)]
+    out = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.page_id // 100 for r in out if r.verdict == "block"} == {3}
+
+
+def test_long_paths_keep_every_segment(spark):
+    stem = "http://x.com/" + "/".join(["a"] * 1500)
+    rows = [(1, stem + "/b"), (2, stem + "/c"), (3, stem + "/b")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("y", F.when(F.col("page_id") == 2, F.lit(0)).otherwise(F.lit(1)))
+    by = {r.page_id: r.template for r in url_filter.judge_urls(df, rules=(), label=F.col("y")).collect()}
+    assert by[1] == by[3] != by[2]
+
+
+def test_frequent_and_other_keys_are_joined_alike(spark, monkeypatch):
+    urls = [f"http://h{i % 3}.com/{'shop' if i % 2 else 'casino'}/{'x' if i % 5 else i}" for i in range(200)] + [None] * 90
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(5, urls[5])], "page_id long, url string")
+    want = sorted(map(tuple, url_filter.judge_urls(df).collect()), key=str)
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", 4)
+    assert sorted(map(tuple, url_filter.judge_urls(df).collect()), key=str) == want and len(want) == 291
+
+
 # --- empty tables
 
 
