@@ -77,26 +77,28 @@ def bad_words(host: Column, path: Column) -> Column:
     return F.rlike(F.concat(host, F.lit(" "), F.lower(path)), F.lit(pattern))
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str, salt: list[str]) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str, salt: list[str], at_most: int) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key and says how many rows of ``left`` have it.
 
-    Keys of more than a ``BROADCAST_KEYS``-th of all rows (so there are no more of them
-    than that) are matched on the map side; the others by shuffling, where rows that
-    have their match are dealt by columns ``salt`` and no key has many.
+    ``right`` has ``at_most`` rows.  If these are no more than ``BROADCAST_KEYS`` it is
+    broadcast.  Of a larger table, the keys of
+    more than a ``BROADCAST_KEYS``-th of all rows (so no more of them than that) are
+    matched on the map side; the others by shuffling, where rows that have their match
+    are dealt by columns ``salt`` and no key has many.
     """
     values = [c for c in right.columns if c not in keys and c != n_rows]
+    if at_most <= BROADCAST_KEYS:
+        return left.join(F.broadcast(right.select(*keys, *values)), keys)
     total = right.agg(F.coalesce(F.sum(n_rows), F.lit(0))).first()[0]
     often = F.col(n_rows) * F.lit(BROADCAST_KEYS) > F.lit(total)
     cold = right.filter(~often).select(*keys, *(F.col(v).alias(f"cold_{v}") for v in values), F.lit(0).alias("salt"))
     hot = right.filter(often).select(*keys, *values, F.lit(True).alias("met"))
-    if cold.isEmpty():
-        return left.join(F.broadcast(hot), keys).drop("met")
     spread = F.when(F.col("met"), F.pmod(F.xxhash64(*salt), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
     met = left.join(F.broadcast(hot), keys, "left").withColumn("salt", spread).join(cold, [*keys, "salt"], "left")
     return met.select(*left.columns, *(F.coalesce(v, f"cold_{v}").alias(v) for v in values))
 
 
-def generalise(leaves: DataFrame, level: int) -> DataFrame:
+def generalise(leaves: DataFrame, level: int, n_leaves: int) -> DataFrame:
     """Replaces column ``s<level>`` of the tree's leaves by ``t<level>``: wildcards for rare and for similar children.
 
     A node's children are of two kinds, those with mostly bad evidence and the others;
@@ -105,15 +107,13 @@ def generalise(leaves: DataFrame, level: int) -> DataFrame:
     parent, own = ["host", *(f"t{k}" for k in range(1, level))], f"s{level}"
     children = leaves.groupBy(*parent, own).agg(*(F.sum(c).alias(c) for c in ("pages", "weight", "bad")), F.count(F.lit(1)).alias("n_leaves"))
     children = children.withColumn("is_bad", 2 * F.col("bad") > F.col("weight"))
-    children = materialise(children, "url-children")
     of_kind = lambda c, kind: F.coalesce(F.sum(F.when(F.col("is_bad") == kind, F.col(c))), F.lit(0))
     nodes = children.groupBy(*parent).agg(
         F.count(F.lit(1)).alias("node_children"),
         F.sum("pages").alias("node_pages"),
         *(of_kind(c, kind).alias(f"{name}_{c}") for kind, name in ((True, "bad"), (False, "clean")) for c in ("weight", "bad")),
     )
-    nodes = materialise(nodes.withColumn("n_children", F.col("node_children")), "url-nodes")
-    with_node = split_join(children, nodes, parent, "n_children", [own])
+    with_node = split_join(children, nodes.withColumn("n_children", F.col("node_children")), parent, "n_children", [own], n_leaves)
     kind_weight, kind_bad = (F.when(F.col("is_bad"), F.col(f"bad_{c}")).otherwise(F.col(f"clean_{c}")) for c in ("weight", "bad"))
     rare = (F.col("node_children") > MAX_CHILDREN) & (F.col("pages") < F.lit(RARE_SHARE) * F.col("node_pages"))
     rest, rest_bad = kind_weight - F.col("weight"), kind_bad - F.col("bad")
@@ -124,8 +124,8 @@ def generalise(leaves: DataFrame, level: int) -> DataFrame:
     similar = F.when(rest > 0, (gap == 0) | (gap < F.lit(DEVIATE) * spread)).otherwise(F.lit(False))
     wildcard = F.when(F.col("is_bad"), "*!").otherwise("*")
     named = F.when((F.col(own) != "") & (rare | similar), wildcard).otherwise(F.col(own))
-    chosen = materialise(with_node.select(*parent, own, "n_leaves", named.alias(f"t{level}")), "url-named")
-    return materialise(split_join(leaves, chosen, [*parent, own], "n_leaves", ["host", *(f"s{k}" for k in range(1, DEPTH + 1))]), "url-leaves")
+    chosen = with_node.select(*parent, own, "n_leaves", named.alias(f"t{level}"))
+    return materialise(split_join(leaves, chosen, [*parent, own], "n_leaves", ["host", *(f"s{k}" for k in range(1, DEPTH + 1))], n_leaves), "url-leaves")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, label: Column | None = None) -> DataFrame:
@@ -160,16 +160,17 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     weight = PARTS * n_labelled + (n_pages - n_labelled) * F.lit(UNLABELLED_PARTS)
     leaves = rows.groupBy(*keys).agg(n_pages.alias("pages"), n_labelled.alias("labelled"), weight.alias("weight"), (PARTS * n_bad).alias("bad"))
     leaves = materialise(leaves, "url-leaves")
+    n_leaves = leaves.count()
     for level in range(1, DEPTH + 1):
-        leaves = generalise(leaves, level)
+        leaves = generalise(leaves, level, n_leaves)
     whole = ["host", *(f"t{k}" for k in range(1, DEPTH + 1))]
     templates = leaves.groupBy(*whole).agg(*(F.sum(c).alias(f"of_{c}") for c in ("labelled", "weight", "bad")), F.count(F.lit(1)).alias("n_leaves"))
     share = (F.col("of_bad") + F.lit(PRIOR_BAD * PRIOR_PAGES * PARTS)) / (F.col("of_weight") + F.lit(PRIOR_PAGES * PARTS))
     template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*whole[1:]), lambda x: x != ""), "/"))
     templates = templates.select(*whole, "n_leaves", template.alias("template"), F.col("of_labelled"), F.round(share, 9).alias("bad_share"))
-    judged = split_join(leaves, materialise(templates, "url-templates"), whole, "n_leaves", keys)
+    judged = split_join(leaves, templates, whole, "n_leaves", keys, n_leaves)
     judged = materialise(judged.select(*keys, "pages", "template", F.col("of_labelled").alias("labelled"), "bad_share"), "url-judged")
-    return split_join(rows, judged, keys, "pages", ["page_id", "path"]).select(
+    return split_join(rows, judged, keys, "pages", ["page_id", "path"], n_leaves).select(
         "page_id",
         "host",
         "path",
