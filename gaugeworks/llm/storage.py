@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset: a temporary one under a local master (tests), and an error on a
+    cluster, whose executors don't share such a folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeworks-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

@@ -17,6 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import split_join
 from .storage import materialise
 
 #: Rules of the query: verdict, host and path prefix.
@@ -39,9 +40,6 @@ REJECT_ABOVE = 0.5
 #: A labelled page weighs this many parts, one without a label so few, and on the good side.
 PARTS, UNLABELLED_PARTS = 10, 1
 UNLABELLED_WEIGHT = UNLABELLED_PARTS / PARTS
-#: Keys that are broadcast at most, and parts that the rows of those are dealt into where others are shuffled.
-BROADCAST_KEYS = 200_000
-SALTS = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -77,27 +75,6 @@ def bad_words(host: Column, path: Column) -> Column:
     return F.rlike(F.concat(host, F.lit(" "), F.lower(path)), F.lit(pattern))
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], n_rows: str, salt: list[str], at_most: int) -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each key and says how many rows of ``left`` have it.
-
-    ``right`` has ``at_most`` rows.  If these are no more than ``BROADCAST_KEYS`` it is
-    broadcast.  Of a larger table, the keys of
-    more than a ``BROADCAST_KEYS``-th of all rows (so no more of them than that) are
-    matched on the map side; the others by shuffling, where rows that have their match
-    are dealt by columns ``salt`` and no key has many.
-    """
-    values = [c for c in right.columns if c not in keys and c != n_rows]
-    if at_most <= BROADCAST_KEYS:
-        return left.join(F.broadcast(right.select(*keys, *values)), keys)
-    total = right.agg(F.coalesce(F.sum(n_rows), F.lit(0))).first()[0]
-    often = F.col(n_rows) * F.lit(BROADCAST_KEYS) > F.lit(total)
-    cold = right.filter(~often).select(*keys, *(F.col(v).alias(f"cold_{v}") for v in values), F.lit(0).alias("salt"))
-    hot = right.filter(often).select(*keys, *values, F.lit(True).alias("met"))
-    spread = F.when(F.col("met"), F.pmod(F.xxhash64(*salt), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
-    met = left.join(F.broadcast(hot), keys, "left").withColumn("salt", spread).join(cold, [*keys, "salt"], "left")
-    return met.select(*left.columns, *(F.coalesce(v, f"cold_{v}").alias(v) for v in values))
-
-
 def generalise(leaves: DataFrame, level: int, n_leaves: int) -> DataFrame:
     """Replaces column ``s<level>`` of the tree's leaves by ``t<level>``: wildcards for rare and for similar children.
 
