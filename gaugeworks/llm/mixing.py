@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise
+from .tables import free_names
 
 MAX_REPEATS = 1.25
 BLOCK_TOKENS = 1_000_000
@@ -141,8 +142,8 @@ def mix_lengths(
         .select(*keys, F.coalesce(F.sum("bucket_tokens").over(above), F.lit(0)).alias("bucket_start"))
     )
     placed = summed.join(offsets, keys).withColumn("start", F.col("epoch") * F.col("source_tokens") + F.col("bucket_start") + F.col("before_in"))
-    n_blocks = max(1, ceil(budget / block_tokens))
-    taken = placed.filter("start < part").withColumn("block", F.floor(F.col("start") * F.lit(n_blocks) / F.col("part")).cast("long"))
+    n_blocks = max(1, ceil(budget / block_tokens))  # times a place in tokens: beyond a long at some 1e12 tokens
+    taken = placed.filter("start < part").withColumn("block", F.expr(f"cast(start as decimal(20, 0)) * cast({n_blocks} as decimal(18, 0)) div cast(part as decimal(20, 0))"))
     order = Window.partitionBy("block").orderBy(draw(F.lit(seed), F.lit("slot"), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "epoch")
     return taken.select("doc_id", "source", F.col("epoch").cast("long").alias("epoch"), "n_tokens", "weight", "block", F.row_number().over(order).cast("long").alias("slot"))
 
@@ -167,6 +168,9 @@ def take(docs: DataFrame, **more) -> DataFrame:
 
     A doc_id that is repeated in ``docs`` has its rows read as often as the schedule reads
     any of them, divided evenly: the k-th reading of an id takes its row k modulo their number.
+    Null ids are one repeated id.  Null and empty texts and null sources are rows like any
+    other, ties are broken by doc_id; an empty table gives an empty result; extra columns
+    come out as they were, whatever their names.
     """
     found = lengths(docs)
     schedule = materialise(mix_lengths(found, **more).select(F.col("doc_id").alias("_mix_id"), F.col("epoch").alias("_mix_epoch")), "mix")
@@ -174,9 +178,10 @@ def take(docs: DataFrame, **more) -> DataFrame:
         joined = docs.join(schedule, docs["doc_id"].eqNullSafe(schedule["_mix_id"]))
         return joined.select([docs[c] for c in docs.columns])
     own = Window.partitionBy("doc_id").orderBy("text", "source")
-    numbered = docs.withColumn("_mix_row", F.row_number().over(own)).withColumn("_mix_rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    row, n_rows = free_names(docs, "mix_row", "mix_rows")
+    numbered = docs.withColumn(row, F.row_number().over(own)).withColumn(n_rows, F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
     turns = schedule.withColumn("_mix_turn", F.row_number().over(Window.partitionBy("_mix_id").orderBy("_mix_epoch")))
-    same = numbered["doc_id"].eqNullSafe(turns["_mix_id"]) & ((F.col("_mix_turn") - 1) % F.col("_mix_rows") + 1 == F.col("_mix_row"))
+    same = numbered["doc_id"].eqNullSafe(turns["_mix_id"]) & ((turns["_mix_turn"] - 1) % numbered[n_rows] + 1 == numbered[row])
     return numbered.join(turns, same).select([numbered[c] for c in docs.columns])
 
 

@@ -108,7 +108,7 @@ ORACLES: dict[str, str] = {
                 PARTITION BY source, epoch ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
             FROM passes),
         taken AS (
-            SELECT *, floor(start * greatest(1, ceil(budget / 1000000.0)) / part)::BIGINT AS block
+            SELECT *, (start::HUGEINT * greatest(1, ceil(budget / 1000000.0))::HUGEINT // part::HUGEINT)::BIGINT AS block
             FROM placed, total WHERE start < part)
         SELECT doc_id, source, epoch::BIGINT AS epoch, n_tokens, round(weight, 9) AS weight, block,
                row_number() OVER (PARTITION BY block ORDER BY
