@@ -4,9 +4,10 @@ Texts are equal when they are identical after deleting white space
 (``[\\x20\\x09-\\x0D]``).  One pass over the texts writes a narrow table of
 digests.  Misra-Gries summaries of its partitions name the digests that may be
 frequent; those are counted exactly, and their winners (``capacity`` rows at
-most) are broadcast, so that rows of frequent digests are resolved on the map
-side.  All other digests take an ordinary shuffle, in which no group can be
-larger than ``2 n / (capacity + 1)`` rows.
+most, verified by length and a second hash) are broadcast, so that rows of
+frequent digests are resolved on the map side.  All other digests take an
+ordinary shuffle, in which no group can be larger than ``2 n / (capacity + 1)``
+rows; these too are reduced before they are dealt.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise
+from .tables import free_names
 
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 CAPACITY = 1024
@@ -29,13 +31,13 @@ def squeezed(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_points (code points of the original), digest and octets of the squeezed text."""
+    """doc_id, n_points (code points of the original), digest, octets and a second hash of the squeezed text."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
         squeezed(F.col(text_col)).alias("squeezed"),
     )
-    return rows.select("doc_id", "n_points", F.sha2("squeezed", 256).alias("digest"), F.octet_length("squeezed").alias("octets"))
+    return rows.select("doc_id", "n_points", F.sha2("squeezed", 256).alias("digest"), F.struct(F.octet_length("squeezed"), F.xxhash64("squeezed")).alias("verified"))
 
 
 def summarise(counts: pd.Series, capacity: int) -> pd.Series:
@@ -85,22 +87,15 @@ def resolve(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     winners = materialise(
         found.join(F.broadcast(hot), "digest")
         .groupBy("digest")
-        .agg(F.max(better).alias("best"), F.count(F.lit(1)).alias("group_size"), F.min("octets").alias("lo"), F.max("octets").alias("hi"))
+        .agg(F.max(better).alias("best"), F.count(F.lit(1)).alias("group_size"), F.min("verified").alias("lo"), F.max("verified").alias("hi"))
         .filter("lo = hi")
         .select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size"),
         "winners",
     )
     on_map_side = found.join(F.broadcast(winners), "digest", "left")
-    whole = Window.partitionBy("digest")
-    rest = (
-        on_map_side.filter("group_size is null")
-        .select(
-            "doc_id",
-            F.first("doc_id").over(whole.orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))).alias("keep_id"),
-            F.count(F.lit(1)).over(whole).alias("group_size"),
-            "digest",
-        )
-    )
+    others = on_map_side.filter("group_size is null").select("doc_id", "n_points", "digest")
+    groups = others.groupBy("digest").agg(F.max(better).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    rest = others.join(groups, "digest").select("doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", "digest")
     both = on_map_side.filter("group_size is not null").select("doc_id", "keep_id", "group_size", "digest").unionByName(rest)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
@@ -121,14 +116,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns as they were.
 
     Decisions are joined back by (doc_id, digest).  If the same doc_id is repeated
-    with an equal text, one of those rows stays.
+    with an equal text, one of those rows stays.  Null and empty texts are one group; a
+    row without doc_id stays only where no row of its group has one; very long texts are
+    compared whole; an empty table stays empty; extra columns may have any names.
     """
     found = materialise(digests(docs, id_col, text_col), "digests")
     kept = materialise(resolve(found, capacity).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_digest")), "kept")
     n_kept, unique = kept.count(), kept.distinct()
-    keyed = docs.withColumn("_row_digest", F.sha2(squeezed(F.col(text_col)), 256))
-    out = keyed.join(unique, keyed[id_col].eqNullSafe(unique["_keep_id"]) & (keyed["_row_digest"] == unique["_keep_digest"]), "left_semi")
+    digest, rank = free_names(docs, "row_digest", "row_rank")
+    keyed = docs.withColumn(digest, F.sha2(squeezed(F.col(text_col)), 256))
+    out = keyed.join(unique, keyed[id_col].eqNullSafe(unique["_keep_id"]) & (keyed[digest] == unique["_keep_digest"]), "left_semi")
     if unique.count() < n_kept:
-        first = Window.partitionBy(id_col, "_row_digest").orderBy(F.desc(F.length(F.col(text_col))))
-        out = out.withColumn("_row_rank", F.row_number().over(first)).filter("_row_rank = 1").drop("_row_rank")
-    return out.drop("_row_digest")
+        first = Window.partitionBy(id_col, digest).orderBy(F.desc(F.length(F.col(text_col))))
+        out = out.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
+    return out.select(*docs.columns)
