@@ -18,11 +18,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .joins import split_join
 from .storage import materialise
+from .tables import free_names
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -168,13 +170,16 @@ def _verify(max_bits: int):
 def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """a, b: links between the distinct fingerprints of ``fps`` (column fp), enough to span every component."""
     blocks = blocks or blocks_for(fps.count(), max_bits)
-    assert comb(blocks, max_bits) <= 1000
+    if comb(blocks, max_bits) > 1000:
+        raise ValueError(f"{blocks} blocks for {max_bits} bits make too many keys")
     masks = F.array(*(F.lit(m).cast("long") for m in block_masks(blocks, max_bits)))
     keyed = fps.select("fp", F.posexplode(masks).alias("mask_no", "mask")).select("mask_no", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    met = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mask_no", "key"))).filter("n > 1")
+    # Counted by partial sums and joined back, so that a key of very many fingerprints is never one task.
+    counts = materialise(keyed.groupBy("mask_no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("n_rows", F.col("n")), "simhash-keys")
+    met = split_join(keyed, counts, ["mask_no", "key"], "n_rows", ["fp"], counts.count())
     order = ["mask_no", "key", "tile", "fp", "side"]
     usual = met.filter(F.col("n") <= tile).select("mask_no", "key", F.lit(0).alias("tile"), "fp", F.lit(0).alias("side"))
-    usual = usual.sortWithinPartitions("mask_no", "key")
+    usual = usual.repartition("mask_no", "key").sortWithinPartitions("mask_no", "key")
     # Large groups: deal the fingerprints into t tiles; each pair of tiles is a group of its own.
     dealt = met.filter(F.col("n") > tile).withColumn("t", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("t")).cast("int"))
@@ -190,10 +195,16 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, t
     return found.distinct()
 
 
-def with_component(nodes: DataFrame, max_bits: int, blocks: int | None = None) -> DataFrame:
-    """``nodes`` (one row for each fingerprint ``fp``) and the component of each."""
-    linked = connected_components(links(nodes.select("fp"), max_bits, blocks))
-    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select(*nodes.columns, F.coalesce("component", "fp").alias("component"))
+def with_least(nodes: DataFrame, first: str, max_bits: int, blocks: int | None = None) -> DataFrame:
+    """``nodes`` (one row for each fingerprint ``fp``) with ``first`` replaced by its least value in the component."""
+    linked = materialise(connected_components(links(nodes.select("fp"), max_bits, blocks)), "simhash-linked")
+    own = linked.join(nodes, linked["node"] == nodes["fp"])
+    least = own.groupBy("component").agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("n_nodes"))
+    least = materialise(least, "simhash-components")
+    named = split_join(linked, least, ["component"], "n_nodes", ["node"], least.count()).select("node", F.struct("least").alias("least"))
+    joined = nodes.join(named, nodes["fp"] == named["node"], "left")
+    value = F.when(F.col("least").isNotNull(), F.col("least.least")).otherwise(F.col(first))
+    return joined.select(*(value.alias(first) if c == first else c for c in nodes.columns))
 
 
 def near_duplicates(
@@ -205,15 +216,14 @@ def near_duplicates(
     any other.  Fewer words than a shingle: the whole sequence is the only shingle.
     Documents with equal fingerprints are one node, whatever their number.  A document
     without doc_id links like any other and gets its component's smallest doc_id (null
-    if none has one).  Repeated rows come out as often as they came.  An empty table
+    if none has one); ids are numbers, or text that casts to them.  Repeated rows come out as often as they came.  An empty table
     gives an empty result.  Other columns are not looked at.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, width), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    joined = with_component(nodes, max_bits, blocks)
-    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_docs")), "simhash-nodes")
+    named = materialise(with_least(nodes, "component_id", max_bits, blocks), "simhash-named")
+    joined = split_join(marked, named, ["fp"], "n_docs", ["doc_id"], nodes.count())
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -222,16 +232,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows are told apart by doc_id and text, so different texts may share a doc_id or have
     none.  A row without doc_id stays only where no row of its component has one; among
     rows of one doc_id and component the least digest of the text decides, and of rows
-    equal in both one remains.
+    equal in both one remains.  Null and empty texts have fingerprint 0; very long texts
+    are read whole; an empty table stays empty; extra columns may have any names.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, width, digest=True), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
     nodes = materialise(marked.groupBy("fp").agg(first.alias("first_row")), "simhash-nodes")
-    least = with_component(nodes, max_bits).groupBy("component").agg(F.min("first_row").alias("r"))
-    kept = materialise(least.select(F.col("r.doc_id").alias("_keep_id"), F.col("r.digest").alias("_keep_digest")), "simhash-kept")
-    rows = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_digest": text_digest(text_col)})
+    least = with_least(nodes, "first_row", max_bits).select("first_row").distinct()
+    kept = materialise(least.select(F.col("first_row.doc_id").alias("_keep_id"), F.col("first_row.digest").alias("_keep_digest")), "simhash-kept")
+    row_id, row_digest, whole = free_names(docs, "row_id", "row_digest", "row")
+    rows = docs.withColumns({row_id: F.col(id_col).cast("long"), row_digest: text_digest(text_col)})
     if not marked.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
         # Taken together before the join, and on the map side, so that copies are not one task.
-        rows = rows.groupBy("_row_id", "_row_digest").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row_id", "_row_digest", "_row.*")
-    same = rows["_row_id"].eqNullSafe(kept["_keep_id"]) & rows["_row_digest"].eqNullSafe(kept["_keep_digest"])
+        rows = rows.groupBy(row_id, row_digest).agg(F.min(F.struct(*docs.columns)).alias(whole)).select(row_id, row_digest, f"{whole}.*")
+    same = rows[row_id].eqNullSafe(kept["_keep_id"]) & rows[row_digest].eqNullSafe(kept["_keep_digest"])
     return rows.join(kept, same, "left_semi").select(*docs.columns)
