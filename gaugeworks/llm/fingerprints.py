@@ -4,7 +4,7 @@ Texts are brought to one form (compatibility composition, full case folding, whi
 space runs to one space, trimmed) and digested by two xxhash64 lanes of different
 seeds, 128 bits together.  Equal digests are only candidates: where a bucket has more
 than one text, the canonical octets are compared, and if they differ the digest gets a
-number for each of its texts, so equal fingerprints always mean equal canonical texts.
+number for each of its texts, so equal fingerprints of documents mean equal canonical texts.
 
 DataFrame and SQL functions only; Unicode comes from the ICU classes that Spark ships,
 through ``reflect``.
@@ -51,7 +51,8 @@ def variants(rows: DataFrame, narrow: DataFrame) -> DataFrame:
     ``rows`` has doc_id and text, ``narrow`` doc_id, high and low.  Digests that occur once
     can't clash, so only the texts behind the others are read again.  The least and greatest
     form of each digest are found by partial aggregation, so a digest with very many copies
-    sends two forms from each task.  Where they differ the bucket's distinct forms are numbered.
+    sends two forms from each task.  Where they differ the bucket's distinct forms are
+    numbered, again after each task has reduced them to one row a form.
     """
     shared = materialise(narrow.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high", "low"), "shared")
     # Matched on the map side, or by a join whose large partitions can be split: a digest may be that of very many rows.
@@ -62,7 +63,10 @@ def variants(rows: DataFrame, narrow: DataFrame) -> DataFrame:
     high, low = lanes(F.col("form"))
     formed = formed.select(high.alias("high"), low.alias("low"), "form")
     clash = formed.groupBy("high", "low").agg(F.min("form").alias("least"), F.max("form").alias("most")).filter("least <> most").select("high", "low")
-    distinct = formed.join(clash, ["high", "low"], "left_semi").groupBy("high", "low", "form").agg(F.count(F.lit(1)).alias("n"))
+    clash = materialise(clash, "clash")
+    if clash.isEmpty():
+        return clash.withColumns({"form": F.lit("").cast("string"), "variant": F.lit(0)})
+    distinct = formed.groupBy("high", "low", "form").agg(F.count(F.lit(1)).alias("n")).join(clash, ["high", "low"], "left_semi")
     order = Window.partitionBy("high", "low").orderBy("form")
     return materialise(distinct.select("high", "low", "form", (F.row_number().over(order) - 1).alias("variant")), "variants")
 
@@ -79,8 +83,9 @@ def _numbered(keyed: DataFrame, clashes: DataFrame, form: Column, high: Column,
     if clashes.isEmpty():
         return keyed.withColumn(name, hex_digest(high, low))
     own = clashes.select(F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("form").alias("_f"), F.col("variant").alias("_v"))
-    joined = keyed.join(own, (high == own["_h"]) & (low == own["_l"]) & (form == own["_f"]), "left")
-    return joined.withColumn(name, hex_digest(high, low, F.coalesce("_v", F.lit(0)))).drop("_h", "_l", "_f", "_v")
+    formed = keyed.withColumn("_form", form)  # a column first: reflected functions may not stand in a join's condition
+    joined = formed.join(own, (high == own["_h"]) & (low == own["_l"]) & (F.col("_form") == own["_f"]), "left")
+    return joined.withColumn(name, hex_digest(high, low, F.coalesce("_v", F.lit(0)))).drop("_h", "_l", "_f", "_v", "_form")
 
 
 def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +108,22 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _key(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    """An id as text that is never null and tells a null id from an empty one."""
+    return F.coalesce(F.concat(F.lit("i"), F.col(name).cast("string")), F.lit("n"))
+
+
+#: Ids with more than this part of all rows are dealt into several parts; no more than this many ids can be.
+HOT_IDS = 1000
+
+
+def _deal(rows: DataFrame, heads: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns ``salt`` for both: rows of an id that very many rows share are dealt by their texts, and its head goes to each part."""
+    total = sizes.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    often = F.broadcast(sizes.filter(F.col("n_rows") * HOT_IDS > total).select(F.col("key").alias("often"), F.ceil(F.col("n_rows") * HOT_IDS / F.lit(total)).cast("int").alias("n_parts")))
+    n_parts = F.coalesce("n_parts", F.lit(1))
+    dealt = rows.join(often, F.col("key") == F.col("often"), "left").withColumn("salt", F.pmod(F.xxhash64("text"), n_parts).cast("int")).drop("often", "n_parts")
+    shown = heads.join(often, F.col("asker") == F.col("often"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop("often", "n_parts")
+    return dealt, shown
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -133,12 +153,15 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts are empty; a null doc_id stands last.  Rows repeated with one doc_id each
     come out; as somebody's next document, such an id stands for its smallest text.  A
-    single document is its own next.  An empty table gives an empty result.
+    single document is its own next.  An empty table gives an empty result.  Clashes are
+    sought among the documents' own texts; an edited text that shared its digest with
+    some document of another form, but no two documents did, would go unnoticed, save
+    that ``near_edited`` compares it with its own original.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     narrow = digest_rows(rows)
     clashes = variants(rows, narrow)
-    by_id = narrow.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.first("high").alias("high"), F.first("low").alias("low"))
+    by_id = narrow.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.first("high").alias("high"), F.first("low").alias("low"), F.count(F.lit(1)).alias("n_rows"))
     steps = materialise(next_ids(by_id.select("doc_id")), "next-ids")
     unique = narrow.count() == steps.count()
     # What each document must show of itself, its head, and to which document.  Keys are never
@@ -157,17 +180,24 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             *(F.col(f"{side}.{lane}").alias(f"{side}_{lane}") for side in ("own", "after") for lane in ("high", "low")),
         )
     )
-    dealt = rows.select(_key("doc_id").alias("key"), "text").repartition("key")
-    shown = dealt
-    if not unique:
-        first = Window.partitionBy("key").orderBy("text")
-        shown = dealt.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
+    dealt = rows.select(_key("doc_id").alias("key"), "text")
+    if unique:
+        dealt = dealt.repartition("key")
+        shown = dealt
+    else:
+        shown = dealt.groupBy("key").agg(F.min("text").alias("text"))
     heads = shown.join(asked, F.col("key") == F.col("shower"))
     if not unique:
         high, low = lanes(canonical(F.col("text")))
         heads = heads.withColumn("after_high", high).withColumn("after_low", low)
-    heads = heads.select("doc_id", "asker", F.expr("substring(text, 1, asked)").alias("head"), "own_high", "own_low", "after_high", "after_low")
-    whole = dealt.join(heads, F.col("key") == F.col("asker"))
+    heads = _numbered(heads, clashes, canonical(F.col("text")), F.col("after_high"), F.col("after_low"), "after_fingerprint")
+    heads = heads.select("doc_id", "asker", F.expr("substring(text, 1, asked)").alias("head"), "own_high", "own_low", "after_fingerprint")
+    if unique:
+        whole = dealt.join(heads, F.col("key") == F.col("asker"))
+    else:
+        sizes = by_id.select(_key("doc_id").alias("key"), "n_rows")
+        dealt, heads = _deal(dealt, heads, sizes)
+        whole = dealt.join(heads, (F.col("key") == F.col("asker")) & (dealt["salt"] == heads["salt"])).drop("salt")
     if not unique:
         high, low = lanes(canonical(F.col("text")))
         half = F.expr("substring(head, 1, cast(floor(length(text) / 2) as int))")
@@ -181,7 +211,6 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited = _numbered(edited, clashes, text_form, F.col("own_high"), F.col("own_low"), "fingerprint")
     edited = _numbered(edited, clashes, F.col("edited_form"), F.col("e_high"), F.col("e_low"), "edited_fingerprint")
     same_digest = (F.col("own_high") == F.col("e_high")) & (F.col("own_low") == F.col("e_low"))
-    like_next = (F.col("own_high") == F.col("after_high")) & (F.col("own_low") == F.col("after_low"))
     return edited.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -189,5 +218,5 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fingerprint",
         "edited_fingerprint",
         F.when(same_digest, text_form == F.col("edited_form")).otherwise(F.lit(False)).cast("double").alias("near_edited"),
-        like_next.cast("double").alias("near_next"),
+        (F.col("fingerprint") == F.col("after_fingerprint")).cast("double").alias("near_next"),
     )
