@@ -74,7 +74,23 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int, s
     return bins, offsets
 
 
-PACKED = "shard long, bin long, offset long, doc_id long, source string, cluster long, piece long, piece_start long, n_tokens long"
+PACKED = "shard long, bin long, offset long, doc_id {id}, source string, cluster long, piece long, piece_start long, n_tokens long"
+#: Copies of one row that a task writes out at most.
+COPIES = 4096
+
+
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with column ``copy``: 0, 1, 2, ... for rows equal in all columns.
+
+    Equal rows are counted by partial sums and written out again from their number, in
+    parts that are dealt anew, so that a row repeated very often is never one task.
+    """
+    keys = rows.columns
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_copies") - 1) / COPIES).cast("long"))))
+    parts = parts.repartition(*keys, "part")
+    first = F.col("part") * COPIES
+    return parts.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n_copies")) - 1))).select(*keys, "copy")
 
 
 def pack_lengths(rows: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -86,8 +102,13 @@ def pack_lengths(rows: DataFrame, capacity: int = CAPACITY, source_limit: int =
     Documents without tokens come out as one piece of length 0 (they never need a bin of
     their own unless every bin conflicts).  Null sources and clusters never conflict.
     """
-    n_shards = max(1, ceil(rows.count() / shard_docs))
-    sharded = rows.select("doc_id", "source", "cluster", "n_tokens", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens", F.lit(7)), F.lit(n_shards)).alias("shard"))
+    keys = ["doc_id", "source", "cluster", "n_tokens"]
+    rows = rows.select(*keys)
+    n_rows, n_ids = rows.agg(F.count(F.lit(1)), F.count_distinct(F.struct(*keys))).first()
+    n_shards = max(1, ceil(n_rows / shard_docs))
+    # Rows equal in all these have a number each, or they would be one shard.
+    rows = rows.withColumn("copy", F.lit(0).cast("long")) if n_ids == n_rows else numbered_copies(rows)
+    sharded = rows.select(*keys, F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens", F.lit(7), "copy"), F.lit(n_shards)).alias("shard"))
 
     def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "cluster"], ascending=[False, True, True], kind="stable")
@@ -104,7 +125,7 @@ def pack_lengths(rows: DataFrame, capacity: int = CAPACITY, source_limit: int =
         both["piece_start"] = both["piece"] * capacity
         return both[["shard", "bin", "offset", "doc_id", "source", "cluster", "piece", "piece_start", "n_tokens"]]
 
-    packed = sharded.groupBy("shard").applyInPandas(of, PACKED)
+    packed = sharded.groupBy("shard").applyInPandas(of, PACKED.format(id=rows.schema["doc_id"].dataType.simpleString()))
     return packed.select(
         F.shiftleft("shard", 24).bitwiseOR(F.col("bin")).alias("bin_id"), "offset", "doc_id", "source", "cluster", "piece", "piece_start", "n_tokens"
     )
@@ -128,12 +149,12 @@ def pack(
 ) -> DataFrame:
     """Packs whole texts by their encoded lengths; see ``pack_lengths`` for the rows.
 
-    ``cluster`` says which documents are copies of each other (default: equal texts).  A
-    null text counts as empty; repeated rows are packed as often as they come, in bins of
+    ``cluster`` says which documents are copies of each other (default: equal texts).  Ids
+    are of any type, null ones too.  A null text counts as empty; repeated rows are packed as often as they come, in bins of
     their own each; an empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         (text_cluster(F.col(text_col)) if cluster is None else cluster.cast("long")).alias("cluster"),
         F.col(text_col).alias("text"),
