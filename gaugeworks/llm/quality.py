@@ -3,10 +3,10 @@
 Two bags of hashed word unigrams and bigrams are counted: one over the good texts of
 a labelled sample (target), one over the whole corpus (raw).  A document's importance
 is the ratio of the two models' likelihoods, per n-gram and scaled to a reference
-length, so that long texts aren't judged by their length, nor short ones by a few words.  Gumbel noise on the log of
-the weight turns the k largest into a sample without replacement (Gumbel top-k); k is
-given, or is the number of documents that reach the cut that best parts the labelled
-sample.
+length, so that long texts aren't judged by their length, nor short ones by a few
+words.  Gumbel noise on the log of the weight turns the k largest into a sample without
+replacement (Gumbel top-k); k is given, or is the number of documents that reach the
+cut that best parts the labelled sample.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import materialise
+from .tables import free_names
 
 BITS = 16
 #: Labelled rows that the target model and the cut are fitted on, at most.
@@ -33,6 +34,10 @@ NEUTRAL_GRAMS = 100
 #: A good document lost weighs as much as this many bad ones passed, when the cut is fitted.
 KEEP_WEIGHT = 4.0
 CHUNK = 4096
+#: Groups of tasks whose counts are summed before those of all.
+FIRST_SUMS = 1024
+#: Edges counted in one pass, and scores that come to the driver at most, when the k-th largest is sought.
+EDGES, FEW_SCORES = 30, 5000
 KNOWN_WORDS = 400_000
 
 _known: dict[str, int] = {}
@@ -57,36 +62,43 @@ def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """_label_id, good, fits: at most ``rows`` labelled documents, by the hash of their id.
 
     Good: quality 1 and not toxic; bad: quality 0 (of several labels of an id the worst
-    counts); a toxic text of quality 1 is neither.  Half of them (``fits``) make the target
-    model, the other half, which the model has not seen, fits the cut.
+    counts); a toxic text of quality 1 is neither.
     """
     usable = labels.filter("doc_id is not null and quality is not null")
     worst = usable.groupBy(F.col("doc_id").alias("_label_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     return (
         worst.filter("quality = 0 or toxic = 0")
-        .select("_label_id", (F.col("quality") == 1).alias("good"), (F.pmod(F.xxhash64("_label_id", F.lit(2)), F.lit(2)) == 0).alias("fits"))
+        .select("_label_id", (F.col("quality") == 1).alias("good"))
         .orderBy(F.xxhash64("_label_id"), "_label_id")
         .limit(rows)
     )
 
 
+def fits(text: Column) -> Column:
+    """Whether a labelled text belongs to the half that makes the models; copies of a text are all in one half."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(2)), F.lit(2)) == 0
+
+
 def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, bits: int = BITS) -> np.ndarray:
-    """Counts of every bucket: row 0 over all documents, 1 over the fitting half of the sample, 2 over its good ones.
+    """Counts of every bucket: row 0 over all documents (raw), row 1 over the fitting half's good ones (target).
 
-    Each task sums its documents and sends arrays, in chunks that are summed on the way:
-    what reaches the driver is ``3 x 2 ** bits`` counts, whatever the corpus.
+    Each task sums its documents and sends arrays in chunks.  These are summed in two
+    steps, first those of some of the tasks and then all, so that no reducer reads the
+    arrays of every task; what reaches the driver is ``2 x 2 ** bits`` counts.
     """
     size = 1 << bits
     step = min(CHUNK, size)
-    marked = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.filter("fits")), "_label_id", "left")
+    marked = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_label_id", "left")
+    marked = marked.select("text", (F.coalesce("good", F.lit(False)) & fits(F.col("text"))).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, size), np.int64)
+        total = np.zeros((2, size), np.int64)
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 buckets = gram_buckets(text.as_py(), bits)
-                for row in (0,) if good is None else (0, 1, 2) if good else (0, 1):
-                    np.add.at(total[row], buckets, 1)
+                np.add.at(total[0], buckets, 1)
+                if target:
+                    np.add.at(total[1], buckets, 1)
         yield as_rows({k: total[:, k * step : (k + 1) * step] for k in range(size // step)})
 
     def as_rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -96,37 +108,32 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str,
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int64).reshape(3, -1)
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int64).reshape(2, -1)
         if sums:
             yield as_rows(sums)
 
     ddl = "chunk int, counts binary"
-    summed = marked.select("text", "good").mapInArrow(count, ddl).repartition("chunk").mapInArrow(add, ddl).collect()
-    total = np.zeros((3, size), np.int64)
+    counted = marked.mapInArrow(count, ddl)
+    some = counted.withColumn("some", F.pmod(F.spark_partition_id(), F.lit(FIRST_SUMS))).repartition("chunk", "some").select("chunk", "counts")
+    summed = some.mapInArrow(add, ddl).repartition("chunk").mapInArrow(add, ddl).collect()
+    total = np.zeros((2, size), np.int64)
     for row in summed:
-        total[:, row["chunk"] * step : (row["chunk"] + 1) * step] += np.frombuffer(row["counts"], np.int64).reshape(3, -1)
+        total[:, row["chunk"] * step : (row["chunk"] + 1) * step] += np.frombuffer(row["counts"], np.int64).reshape(2, -1)
     return total
 
 
-def log_ratios(raw: np.ndarray, labelled: np.ndarray, target: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
-    """Log of target model over raw model for each bucket, drawn to 0 where the target says little.
-
-    What the raw model expects in the target is no more than what the labelled sample
-    bears out: a text that few labels reach (a large group of copies, say) is rare in the
-    target for that reason alone, and is not held against it.
-    """
+def log_ratios(raw: np.ndarray, target: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
+    """Log of target model over raw model for each bucket, drawn to 0 where the target says little."""
     if not raw.sum() or not target.sum():
         return np.zeros(len(raw))
-    expected = np.minimum(raw * (target.sum() / raw.sum()), labelled * (target.sum() / labelled.sum()))
-    expected *= target.sum() / max(expected.sum(), 1e-9)
     more = max(shrink * target.mean(), 1.0)
-    return np.log((target + more) / (expected + more))
+    return np.log((target + more) / (raw * (target.sum() / raw.sum()) + more))
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """``docs`` with all its columns and ``_n_grams``, ``_log_weight``; a text without words weighs 1 (log 0)."""
+def scored(docs: DataFrame, ratios: np.ndarray, n_grams: str, log_weight: str, text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """``docs`` with all its columns, its n-grams and log weight; a text without words weighs 1 (log 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_grams", T.LongType()), T.StructField("_log_weight", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_grams, T.LongType()), T.StructField(log_weight, T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,27 +174,41 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def top_k_cut(scores: DataFrame, k: int) -> float:
-    """The k-th largest of column ``score``, from counts alone: the range is split in 256 again and again."""
+def ordinal(x: float) -> int:
+    """The place of a double among all doubles; 0 for 0."""
+    n = int(np.abs(np.float64(x)).view(np.int64))
+    return n if x >= 0 else -n
+
+
+def double_at(place: int) -> float:
+    x = float(np.int64(abs(place)).view(np.float64))
+    return x if place >= 0 else -x
+
+
+def top_k_cut(scores: DataFrame, k: int, few: int = FEW_SCORES) -> float:
+    """The k-th largest of column ``score``; inf for none, -inf for all.
+
+    Found by counting: between a score that ``k`` or more reach and one that fewer reach,
+    the scores at ``EDGES`` doubles evenly placed among all doubles are counted (by
+    comparison with the very edges, so rounding moves no score), until few scores or no
+    doubles lie between the two: in 13 passes at most.
+    """
     span = scores.agg(F.min("score"), F.max("score"), F.count(F.lit(1))).first()
     if not span[2] or k <= 0:
         return float("inf")
     if k >= span[2]:
         return float("-inf")
-    lo, hi, above = span[0], span[1], 0
-    for _ in range(12):
-        width = (hi - lo) / 256
-        if width <= 0 or lo + width == lo:
-            break
-        inside = scores.filter((F.col("score") >= lo) & (F.col("score") <= hi))
-        slot = F.least(F.floor((F.col("score") - lo) / width), F.lit(255))
-        counts = dict(inside.groupBy(slot.alias("slot")).count().collect())
-        for slot_no in range(255, -1, -1):
-            if above + counts.get(slot_no, 0) >= k:
-                lo, hi = lo + slot_no * width, min(hi, lo + (slot_no + 1) * width)
-                break
-            above += counts.get(slot_no, 0)
-    return scores.filter(F.col("score") >= lo).agg(F.min("score")).first()[0]
+    lo, hi, reach_lo, reach_hi = ordinal(span[0]), ordinal(span[1]) + 1, span[2], 0
+    while reach_lo - reach_hi > few and hi - lo > 1:
+        inner = sorted({lo + (hi - lo) * j // (EDGES + 1) for j in range(1, EDGES + 1)} - {lo})
+        reach = list(scores.agg(*(F.count_if(F.col("score") >= F.lit(double_at(e))) for e in inner)).first())
+        edges, counts = [lo, *inner, hi], [reach_lo, *reach, reach_hi]
+        at = max(i for i, n in enumerate(counts) if n >= k)
+        lo, hi, reach_lo, reach_hi = edges[at], edges[at + 1], counts[at], counts[at + 1]
+    if hi - lo == 1:
+        return double_at(lo)  # all that lie between are this very score
+    inside = scores.filter((F.col("score") >= F.lit(double_at(lo))) & (F.col("score") < F.lit(double_at(hi)))).collect()  # few at most
+    return sorted((r[0] for r in inside), reverse=True)[k - reach_hi - 1]
 
 
 def resample(
@@ -202,25 +223,28 @@ def resample(
 ) -> DataFrame:
     """``docs`` with all its columns and _n_grams, _log_weight, _score, _kept.
 
-    Gumbel top-k over all documents: ``_score`` is the log weight plus noise; the k
-    largest are kept (ties at the k-th all stay), or without k those that reach the cut
-    fitted on the labelled sample.  With no usable labels, or only one kind, every
-    document is kept.  Null and blank texts have no n-grams, a log weight of 0 and take
-    part like any other.  Repeated rows share their noise.  An empty table stays empty.
+    Gumbel top-k over all documents: ``_score`` is the log weight plus noise, and the k
+    largest are kept (ties at the k-th all stay).  Without k, it is the number of documents
+    that reach the cut which best parts good from bad in the labelled half that the
+    target has not seen.  With no usable labels, or only one kind, every document is kept.
+    Null and blank texts have no n-grams, a log weight of 0 and take part like any other.
+    Repeated rows share their noise.  An empty table stays empty.  The four columns come
+    under these names with more underscores where ``docs`` has them already.
     """
     sample = labelled_sample(labels, sample_rows)
-    sample = docs.sparkSession.createDataFrame(sample.collect(), "_label_id long, good boolean, fits boolean")  # sample_rows at most
+    sample = docs.sparkSession.createDataFrame(sample.collect(), "_label_id long, good boolean")  # sample_rows at most
     ratios = log_ratios(*gram_counts(docs, sample, id_col, text_col, bits))
-    score = F.col("_log_weight") + gumbel(id_col, seed)
-    everything = scored(docs, ratios, text_col, bits).withColumn("_score", score)
+    n_grams, log_weight, score_col, kept = free_names(docs, "_n_grams", "_log_weight", "_score", "_kept")
+    score = F.col(log_weight) + gumbel(id_col, seed)
+    everything = scored(docs, ratios, n_grams, log_weight, text_col, bits).withColumn(score_col, score)
+    scores = materialise(everything.select(F.col(score_col).alias("score")), "scores")
     if k is None:
-        own = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample.filter("not fits").withColumnRenamed("_label_id", id_col)), id_col)
-        fitted = scored(own, ratios, text_col, bits).groupBy(id_col, "good").agg(F.first("_log_weight").alias("_log_weight"))
+        own = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample.withColumnRenamed("_label_id", id_col)), id_col).filter(~fits(F.col(text_col)))
+        fitted = scored(own, ratios, n_grams, log_weight, text_col, bits).groupBy(id_col, "good").agg(F.first(log_weight).alias(log_weight))
         rows = fitted.select(score.alias("score"), "good").collect()  # sample_rows at most
         cut = best_cut(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], bool)) if rows else -np.inf
-    else:
-        cut = top_k_cut(materialise(everything.select(F.col("_score").alias("score")), "scores"), k)
-    return everything.withColumn("_kept", F.col("_score") >= F.lit(float(cut)))
+        k = scores.filter(F.col("score") >= F.lit(float(cut))).count()
+    return everything.withColumn(kept, F.col(score_col) >= F.lit(float(top_k_cut(scores, k))))
 
 
 def decisions(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
@@ -230,5 +254,6 @@ def decisions(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns as they were."""
-    return resample(docs, labels, **more).filter("_kept").select(docs.columns)
+    """The rows of ``docs`` that are kept, with their columns as they were, whatever their names; see ``resample``."""
+    found = resample(docs, labels, **more)
+    return found.filter(F.col(found.columns[-1])).select(docs.columns)
