@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 from math import log
 
+import brute
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import encoding, exact_dedup, fingerprints, html_text, mixing, packing, quality, simhash, storage, token_counts, token_file, url_filter
+from gaugeworks.llm import encoding, exact_dedup, fingerprints, html_text, joins, mixing, packing, quality, simhash, storage, token_counts, token_file, url_filter
 from gaugeworks.llm.components import connected_components
 
 #: doc_id, text, lang, source, n_chars, and columns whose names the operators use inside
@@ -189,6 +190,28 @@ def test_edited_likeness_with_repeated_and_null_ids(spark):
     assert got == sorted([(2, sha("abmn")), (2, sha("wxmn")), (1, sha("mp")), (-1, sha("pa"))])
 
 
+def test_an_id_of_very_many_rows_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "HOT_IDS", 8)
+    texts, ids = [f"text {i % 11} of some length" for i in range(60)] + ["last", None], [7] * 55 + [1, 2, 3, 4, 5, None, 9]
+    out = fingerprints.edited_likeness(docs_of(spark, texts, ids=ids)).collect()
+    order = sorted({i for i in ids if i is not None}, reverse=True) + [None]
+    least = {i: min(t or "" for j, t in zip(ids, texts, strict=True) if j == i) for i in order}
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    want = Counter()
+    for i, t in zip(ids, texts, strict=True):
+        a, b = t or "", least[after[i]]
+        half = len(a) // 2
+        want[i, hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest(), float(canon(a) == canon(b))] += 1
+    assert Counter((r.doc_id, r.edited_sha256, r.near_next) for r in out) == want
+
+
+def test_clashing_digests_in_every_column(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "lanes", lambda form: [F.length(form).cast("long"), F.lit(0).cast("long")])
+    out = {r.doc_id: r for r in fingerprints.edited_likeness(docs_of(spark, ["aa", "bb", "AA ", "cc"], ids=[4, 3, 2, 1])).collect()}
+    assert len({out[i].fingerprint for i in (4, 3, 1)}) == 3 and out[2].fingerprint == out[4].fingerprint
+    assert [out[i].near_next for i in (4, 3, 2, 1)] == [0.0, 0.0, 0.0, 0.0]
+
+
 def test_clashing_digests_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "lanes", lambda form: [F.length(form).cast("long"), F.lit(0).cast("long")])
     out = fingerprints.fingerprint_groups(docs_of(spark, ["aa", "AA ", "bb", "ccc", None])).collect()
@@ -280,6 +303,46 @@ def test_tightest_compatible_bin():
     assert bins == [0, 1, 0, 1] and offsets == [0, 0, 6, 5]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_against_every_bin(seed):
+    rng = np.random.default_rng(seed)
+    n, capacity, limit = 300, [16, 64, 100][seed % 3], 1 + seed % 3
+    lengths = sorted((int(x) for x in rng.integers(0, capacity, n)), reverse=True)
+    sources = [[None, "hot", "hot", "a", "b"][int(x)] for x in rng.integers(0, 5, n)]
+    clusters = [None if x > 30 else int(x) for x in rng.integers(0, 60, n)]
+    alone = iter(range(-1, -3 * n, -1))
+    own = lambda keys: [next(alone) if k is None else k for k in keys]
+    got = packing.best_fit(lengths, own(sources), own(clusters), capacity, limit)
+    assert list(zip(*got, strict=True)) == brute.best_fit(lengths, sources, clusters, capacity, limit)
+
+
+def test_packing_against_every_bin(spark, odd):
+    texts = [t for t in odd if t is not None] + ["copy me now"] * 5
+    rows = [(i, ["x", "y", None][i % 3], xxhash.xxh64(t.encode(), 42).intdigest(), n) for i, (t, n) in enumerate(zip(texts, brute.token_lengths(texts), strict=True))]
+    rows = [(i, s, c - (1 << 64) if c >> 63 else c, n) for i, s, c, n in rows]
+    got = packing.pack(docs_of(spark, texts, sources=[r[1] for r in rows]), capacity=16, source_limit=2).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.pack(rows, 16, 2))
+
+
+def test_packing_rows_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(1, "s", 5, 3)] * 300 + [(2, None, None, 3), (None, "s", 6, 40), (None, "s", 6, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, cluster long, n_tokens long")
+    out = packing.pack_lengths(df, capacity=16, shard_docs=20).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter({(1, 3): 300, (2, 3): 1, (None, 16): 4, (None, 8): 2})
+    shards = Counter(r.bin_id >> 24 for r in out if r.doc_id == 1)
+    assert max(shards.values()) < 60 and len(shards) > 8
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.bin_id].append(r)
+    check_bins(bins, 16, packing.SOURCE_LIMIT)
+
+
+def test_packing_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "one two", "s"), (None, None, None)], "doc_id string, text string, source string")
+    assert {(r.doc_id, r.piece) for r in packing.pack(docs).collect()} == {("a", 0), (None, 0)}
+
+
 def test_packing_texts(spark, odd):
     got = packing.pack(docs_of(spark, odd), capacity=16).collect()
     want = {i: len(x) for i, x in enumerate(whole_ids(odd))}
@@ -328,6 +391,21 @@ def test_schedule_is_budgeted_and_even(spark):
     assert {tuple(r) for r in mixing.mix_lengths(df.repartition(5), max_repeats=2.0, block_tokens=1000, bucket_docs=7).collect()} == {tuple(r) for r in out}
 
 
+@pytest.mark.parametrize("tokens", [10**11, 10**13])
+def test_budgets_beyond_a_long_times_blocks(spark, tokens):
+    rows = [(i, "ab"[i % 2], tokens) for i in range(40)]
+    out = mixing.mix_lengths(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), max_repeats=None).collect()
+    n_blocks = 40 * tokens // mixing.BLOCK_TOKENS
+    assert len(out) == 40 and sorted(r.block for r in out) == sorted(k * tokens * n_blocks // (20 * tokens) for k in range(20) for _ in "ab")
+
+
+def test_schedule_against_a_plain_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, ["hot", "hot", "hot", "b", "c"][int(rng.integers(0, 5))], int(rng.integers(1, 90))) for i in range(300)]
+    out = mixing.mix_lengths(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), bucket_docs=9).collect()
+    assert Counter((r.doc_id, r.epoch) for r in out) == Counter(brute.schedule(rows))
+
+
 def test_take_repeats_rows(spark):
     docs = docs_of(spark, ["a b c", "d", None, "d"], sources=["x", "y", "y", None], ids=[1, 2, 2, 3])
     out = mixing.take(docs, max_repeats=1.0)
@@ -354,6 +432,45 @@ def test_quality_separates_and_keeps_clean(spark):
     assert {r.score for r in k.collect() if r.kept} == set(scores[:37])
 
 
+@pytest.mark.parametrize("few", [0, 60, 1000])
+def test_cut_of_the_k_largest(spark, few):
+    rng = np.random.default_rng(few)
+    values = [float(x) for x in rng.normal(0, 5, 150)] + [0.25] * 60 + [1e300, -1e300, 7.5, 7.5, float(np.nextafter(7.5, 8))]
+    df = spark.createDataFrame([(v,) for v in values], "score double").repartition(3).cache()
+    ordered = sorted(values, reverse=True)
+    for k in (1, 3, 100, len(values) - 1) if few < 3 else (2, 4, 5, 40, 150):
+        assert quality.top_k_cut(df, k, few) == ordered[k - 1]
+    assert quality.top_k_cut(df, 0) == np.inf and quality.top_k_cut(df, len(values)) == -np.inf
+
+
+@pytest.mark.parametrize("k", [None, 5, 31])
+def test_quality_against_a_plain_version(spark, odd, k):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(40)] + [" ".join(w + "$" for w in rng.choice(words, 30)) for _ in range(20)] + odd + ["again and again"] * 6
+    labels = [(i, int(i < 40), int(i % 9 == 0)) for i in range(60)] + [(3, None, 0), (None, 1, 0)]
+    weight, good, fits = brute.quality_scores(list(enumerate(texts)), labels)
+    score = {i: weight[i, t] + brute.gumbel(i) for i, t in enumerate(texts)}
+    if k is None:
+        held = [(score[i], g) for i, g in good.items() if not fits(texts[i])]
+        cut = quality.best_cut(np.array([s for s, _ in held]), np.array([g for _, g in held]))
+        n = sum(s >= cut for s in score.values())
+    else:
+        n = k
+    kept = set(sorted(score, key=score.get, reverse=True)[:n])
+    label_rows = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality.decisions(docs_of(spark, texts), label_rows, k=k).collect()
+    assert {r.doc_id: r.log_weight for r in out} == pytest.approx({i: weight[i, t] for i, t in enumerate(texts)})
+    assert {r.doc_id for r in out if r.kept} == kept
+
+
+def test_copies_of_a_labelled_text_are_in_one_half(spark):
+    df = spark.createDataFrame([(t,) for t in ["a", "a", "b", None, ""]], "text string")
+    half = [r[0] for r in df.select(quality.fits(F.col("text"))).collect()]
+    assert half[0] == half[1] and half[3] == half[4]
+    assert half == [brute.xxh64_chain(t) % 2 == 0 for t in ("a", "a", "b", "", "")]
+
+
 def test_quality_without_labels_keeps_all(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = docs_of(spark, ["a b", None])
@@ -520,10 +637,46 @@ def test_frequent_and_other_keys_are_joined_alike(spark, monkeypatch):
     urls = [f"http://h{i % 3}.com/{'shop' if i % 2 else 'casino'}/{'x' if i % 5 else i}" for i in range(200)] + [None] * 90
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(5, urls[5])], "page_id long, url string")
     want = sorted(map(tuple, url_filter.judge_urls(df).collect()), key=str)
-    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", 4)
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", 4)
     assert sorted(map(tuple, url_filter.judge_urls(df).collect()), key=str) == want and len(want) == 291
 
 
+# --- columns that clash with names used inside
+
+TAKEN = "_row_digest _row_rank row_digest row_rank ROW_ID _row_id _row row _keep_id _keep_digest _score _SCORE _kept _n_grams _log_weight _mix_row _mix_rows mix_row mix_rows _mix_id _mix_epoch _mix_turn salt fp digest key good target n n_rows component node score".split()
+
+
+@pytest.mark.parametrize("ids", [[5, 5, 3, 8], [1, 2, 3, 4], [None, None, 3, 3]])
+def test_rows_are_kept_with_all_their_columns(spark, ids):
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "one two  three four five six", None]
+    names = sorted({c.lower(): c for c in TAKEN}.values())
+    rows = [(i, t, "s", *[f"{c}-{k}" for c in names]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    given = {tuple(r) for r in docs.collect()}
+    for found, n in ((exact_dedup.drop_copies(docs), 3), (simhash.keep_one(docs), 3), (quality.keep_good(docs, labels), 4), (mixing.take(docs, max_repeats=1.0), 4)):
+        out = found.collect()
+        assert found.columns == docs.columns and len(out) == n and {tuple(r) for r in out} <= given
+    scored = quality.resample(docs, labels)
+    assert scored.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in scored.columns}) == len(scored.columns)
+    assert len(packing.pack(docs).collect()) == len(simhash.near_duplicates(docs).collect()) == len(fingerprints.edited_likeness(docs).collect()) == 4
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
+
+
 # --- empty tables
 
 
