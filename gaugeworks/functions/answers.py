@@ -15,11 +15,19 @@ NUMBER_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "none": 0, "no": 0,
 }
 
+#: Answers that name no class (fixed values).
+NONE_PHRASES = ("none", "no foreign objects", "nothing")
+
 
 def _nonempty(found: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends; NULL is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
 def parse_number(text: Column) -> Column:
     """The first run of digits, else the first whole number word, as double."""
     digits = _nonempty(F.regexp_extract(text, r"(\d+)", 1)).cast("double")
@@ -34,11 +42,14 @@ def read_count(text: Column) -> Column:
 
 
 def normalise_answer(text: Column) -> Column:
-    """Trims, and takes a stray final period off integers, yes/no (lower-cased) and lists of clock times."""
-    bare = F.trim(text)
-    cut = F.regexp_replace(bare, r"\.$", "")
-    clock = r"^\d{2}:\d{2}:\d{2}(\s*,\s*\d{2}:\d{2}:\d{2})*\.?$"
-    return F.when(bare.rlike(r"^\d+\.?$"), cut).when(bare.rlike(r"(?i)^(yes|no)\.?$"), F.lower(cut)).when(bare.rlike(clock), cut).otherwise(bare)
+    """Trims, and takes a stray final period (blanks may stand before it) off integers, yes/no (then lower-cased) and lists of clock times.
+
+    Everything else, yes and no without a period too, stays as it is; NULL is empty.
+    """
+    bare = stripped(text)
+    cut = F.regexp_replace(bare, r"\s*\.$", "")
+    clock = r"^\d{1,2}:\d{2}:\d{2}(\s*,\s*\d{1,2}:\d{2}:\d{2})*\s*\.$"
+    return F.when(bare.rlike(r"^\d+\s*\.$") | bare.rlike(clock), cut).when(bare.rlike(r"(?i)^(yes|no)\s*\.$"), F.lower(cut)).otherwise(bare)
 
 
 def key_binary(text: Column) -> Column:
@@ -70,13 +81,13 @@ def join_set(found: Column, empty: str = "none") -> Column:
 
 
 def loose_class_set(text: Column, classes: Sequence[str]) -> Column:
-    """Parts between ``,``, ``;`` and ``and``, final dots taken off; none is the empty set, unknown parts NULL."""
-    lowered = F.transform(F.split(F.lower(text), r"[,;]| and "), lambda x: F.regexp_replace(F.trim(x), r"\.+$", ""))
-    parts = F.filter(lowered, lambda x: x != "")
-    legal = F.array(*(F.lit(c.lower()) for c in classes))
-    nothing = F.forall(parts, lambda x: x.isin("none", "no", "nothing"))
-    known = F.forall(parts, lambda x: F.array_contains(legal, x))
-    return F.when((F.size(parts) > 0) & nothing, F.array().cast("array<string>")).when((F.size(parts) > 0) & known, F.array_sort(F.array_distinct(parts)))
+    """Known classes between ``,``, ``;`` and ``and``, final dots taken off; a whole text that says none is the empty set, an unknown part NULL."""
+    whole = F.lower(F.regexp_replace(stripped(text), r"\.+$", ""))
+    lowered = F.transform(F.filter(F.split(whole, r"[,;]| and "), lambda x: stripped(x) != ""), lambda x: F.regexp_replace(stripped(x), r"\.+$", ""))
+    names = F.create_map(*(x for c in classes for x in (F.lit(c.lower()), F.lit(c))))
+    known = F.transform(lowered, lambda x: F.element_at(names, x))
+    legal = (F.size(known) > 0) & F.forall(known, lambda x: x.isNotNull())
+    return F.when(whole.isin(*NONE_PHRASES), F.array().cast("array<string>")).when(legal, F.array_sort(F.array_distinct(known)))
 
 
 def clamp_classes(text: Column, classes: Sequence[str]) -> Column:
@@ -100,13 +111,13 @@ def count_items(text: Column) -> Column:
 
 
 def parse_count(text: Column) -> Column:
-    """struct(answer, status): bare integer, ``counts: N``, exactly one integer, else 0 and malformed."""
-    bare = _nonempty(F.regexp_extract(text, r"^\s*(\d+)\s*\.?\s*$", 1))
-    told = _nonempty(F.regexp_extract(text, r"(?i)\"?counts?\"?\s*:\s*(\d+)", 1))
+    """struct(answer, status): bare integer, ``counts: N``, exactly one integer, else 0 and malformed; leading zeros go."""
+    bare = _nonempty(F.regexp_extract(text, r"^\s*(\d+)\s*$", 1))
+    told = _nonempty(F.regexp_extract(text, r"(?i)[\"']?counts[\"']?\s*:\s*[\"']?(\d+)", 1))
     every = F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
     only = F.when(F.size(every) == 1, F.element_at(every, 1))
     status = F.when(bare.isNotNull(), "bare_int").when(told.isNotNull(), "structured").when(only.isNotNull(), "salvaged").otherwise("malformed")
-    return F.struct(F.coalesce(bare, told, only, F.lit("0")).alias("answer"), status.alias("status"))
+    return F.struct(F.regexp_replace(F.coalesce(bare, told, only, F.lit("0")), r"^0+(?=\d)", "").alias("answer"), status.alias("status"))
 
 
 def legality(text: Column, fmt: Column, classes: Sequence[str]) -> Column:

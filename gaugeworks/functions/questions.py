@@ -76,12 +76,12 @@ def shift_clock(text: Column, start: Column) -> Column:
 
 
 def swap_sides(text: Column) -> Column:
-    """left and right exchanged in quadrant words (top-left, bottom right), case kept."""
+    """left and right exchanged in every ``top/left`` or ``bottom/right``, case kept; other words stay."""
     out = text
-    for sides in (("left", "right"), ("Left", "Right"), ("LEFT", "RIGHT")):
-        one, two = sides
-        out = F.regexp_replace(out, rf"((?i:top|bottom)[- ]){one}\b", "$1\u0001")
-        out = F.regexp_replace(out, rf"((?i:top|bottom)[- ]){two}\b", f"$1{one}")
+    place = r"\b((?i:top|bottom)/)"
+    for one, two in (("left", "right"), ("Left", "Right"), ("LEFT", "RIGHT")):
+        out = F.regexp_replace(out, rf"{place}{one}\b", "$1\u0001")
+        out = F.regexp_replace(out, rf"{place}{two}\b", f"$1{one}")
         out = F.replace(out, F.lit("\u0001"), F.lit(two))
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import sketches
 from gaugeworks.operators import gates, joining
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.registry import query
@@ -26,10 +27,12 @@ def jon02(spark, sf_dir):
     return rounded(rows.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("quantity")), "quantity")
 
 
-@query("jon03_delta_join", f"WITH {ITEMS} SELECT grp, count(*) AS n, round(avg(correct_b) - avg(correct_a), 6) AS delta FROM ev WHERE event_id % 3 <> 0 GROUP BY grp")
+@query("jon03_delta_join", f"""WITH {ITEMS}, b AS (SELECT l_orderkey AS event_id, max((l_quantity > 25)::INT)::DOUBLE AS correct FROM lineitem GROUP BY l_orderkey)
+    SELECT grp, count(*) AS n, round(avg(b.correct) - avg(ev.correct_a), 6) AS delta FROM ev JOIN b ON ev.event_id = b.event_id GROUP BY grp""")
 def jon03(spark, sf_dir):
     rows = items(spark, sf_dir)
-    a, b = rows.select("qid", F.col("correct_a").alias("correct")), rows.filter("event_id % 3 <> 0").select("qid", F.col("correct_b").alias("correct"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.max((F.col("l_quantity") > 25).cast("double")).alias("correct"))
+    a, b = rows.select("qid", F.col("correct_a").alias("correct")), rows.join(lines, "event_id").select("qid", "correct")
     done = joining.three_way(rows.select("qid", "grp"), a, b, "qid").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), (F.avg("correct_b") - F.avg("correct_a")).alias("delta"))
     return rounded(done, "delta")
 
@@ -65,9 +68,8 @@ def jon13(spark, sf_dir):
 
 @query("jon15_close_hashes")
 def jon15(spark, sf_dir):
-    h = F.xxhash64(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    docs = read(spark, sf_dir, "documents").select("doc_id", h.alias("h"))
-    return joining.close_hashes(docs.filter("doc_id % 50 = 0"), docs, "doc_id", "other_id", 2)
+    docs = read(spark, sf_dir, "documents").select("doc_id", sketches.simhash(sketches.shingle_hashes(F.col("text"))).alias("h"))
+    return joining.close_summary(docs.filter("doc_id % 50 = 0"), docs, "doc_id", 3)
 
 
 @query("jon19_every_source", "SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
@@ -77,10 +79,10 @@ def jon19(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n).select("user_id")
 
 
-@query("snk16_upsert", "SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0")
+@query("snk16_upsert", "SELECT event_id, event_type FROM events UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events)")
 def snk16(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", "event_type")
-    return joining.upsert_missing(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 3 = 0"), ["event_id"])
+    old = read(spark, sf_dir, "events").select("event_id", "event_type")
+    return joining.upsert_missing(old, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("event_type")), ["event_id"])
 
 
 @query("set01_unseen_templates", f"WITH {ITEMS} SELECT DISTINCT grp, k FROM ev WHERE dist = 'ID' AND (k) NOT IN (SELECT k FROM ev WHERE dist = 'OOD')")
@@ -112,10 +114,10 @@ def set09(spark, sf_dir):
     return parts[0].unionByName(parts[1], allowMissingColumns=True).select("section", "dist", "fmt", "n")
 
 
-@query("set07_canonical_difference", "SELECT n_nationkey, n_name FROM nation EXCEPT SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+@query("set07_canonical_difference", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def set07(spark, sf_dir):
-    rows = read(spark, sf_dir, "nation")
-    return rows.select("n_nationkey", "n_name").subtract(rows.filter("n_regionkey = 1").select("n_nationkey", "n_name"))
+    rows = read(spark, sf_dir, "lineitem")
+    return rows.select("l_partkey", "l_suppkey").subtract(rows.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey"))
 
 
 @query("gat06_unique_gate", "SELECT count(*) AS n FROM events")
@@ -136,7 +138,8 @@ def gat14(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n_compared"), F.lit(found["n_equal"]).cast("long").alias("n_equal"))
 
 
-@query("prj32_format_map", "SELECT n_nationkey AS template, min(n_regionkey) AS fmt FROM nation GROUP BY n_nationkey")
+@query("prj32_format_map", "SELECT o_custkey AS template, min(c_nationkey) AS fmt FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
 def prj32(spark, sf_dir):
-    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("template"), F.col("n_regionkey").alias("fmt"))
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("fmt"))
+    rows = read(spark, sf_dir, "orders").join(customers, "o_custkey").select(F.col("o_custkey").alias("template"), "fmt")
     return gates.functional(rows, "template", "fmt")

@@ -20,12 +20,13 @@ def agg11(spark, sf_dir):
     return rounded(per.groupBy("typical").agg(F.count(F.lit(1)).alias("n_videos"), F.avg("a").alias("accuracy")), "accuracy")
 
 
-@query("agg13_jackknife_f1", f"""WITH {SETS}, e AS (SELECT key % 10 AS part, gold, pred, unnest(list_distinct(list_concat(gold, pred))) AS class FROM os),
+@query("agg13_jackknife_f1", f"""WITH {SETS}, e AS (SELECT o_custkey AS part, gold, pred, unnest(list_distinct(list_concat(gold, pred))) AS class FROM os JOIN orders ON key = o_orderkey),
     c AS (SELECT part, class, count(*) FILTER (list_contains(gold, class) AND list_contains(pred, class)) AS tp, count(*) FILTER (NOT list_contains(gold, class) AND list_contains(pred, class)) AS fp, count(*) FILTER (list_contains(gold, class) AND NOT list_contains(pred, class)) AS fn FROM e GROUP BY ALL),
     l AS (SELECT class, 2 * (sum(tp) OVER w - tp) / (2 * (sum(tp) OVER w - tp) + sum(fp) OVER w - fp + sum(fn) OVER w - fn) AS f1 FROM c WINDOW w AS (PARTITION BY class))
     SELECT class, count(*) AS n_parts, round(min(f1), 6) AS lo, round(max(f1), 6) AS hi FROM l GROUP BY class""")
 def agg13(spark, sf_dir):
-    counts = labelling.class_counts(order_sets(spark, sf_dir).withColumn("part", F.col("key") % 10), ["part"])
+    customers = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("part"))
+    counts = labelling.class_counts(order_sets(spark, sf_dir).join(customers, "key"), ["part"])
     totals = counts.groupBy("class").agg(*(F.sum(c).alias(f"all_{c}") for c in ("tp", "fp", "fn")))
     tp, fp, fn = (F.col(f"all_{c}") - F.col(c) for c in ("tp", "fp", "fn"))
     left = counts.join(totals, "class").withColumn("f1", F.try_divide(2 * tp, 2 * tp + fp + fn))
@@ -52,7 +53,7 @@ def agg41(spark, sf_dir):
 
 
 @query("agg47_permutation_null", f"""WITH {SCORED}, b AS (SELECT doc_id, lang, score, quality, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM dl),
-    q AS (SELECT lang, p, quality, row_number() OVER (PARTITION BY lang, p ORDER BY md5('47|perm|' || p || '|' || doc_id), doc_id) AS i FROM b, (SELECT unnest(range(8)) AS p)),
+    q AS (SELECT lang, p, quality, row_number() OVER (PARTITION BY lang, p ORDER BY md5('47|perm|' || p || '|' || doc_id), doc_id) AS i FROM b, (SELECT unnest(range(20)) AS p)),
     r AS (SELECT b.lang, p, q.quality, rank() OVER (PARTITION BY b.lang, p ORDER BY score) + (count(*) OVER (PARTITION BY b.lang, p, score) - 1) / 2 AS k FROM b JOIN q ON b.lang = q.lang AND b.i = q.i),
     s AS (SELECT lang, p, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality <> 1) AS n0, sum(k) FILTER (quality = 1) AS s FROM r GROUP BY ALL),
     a AS (SELECT lang, (s - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0) AS auc FROM s)
@@ -61,7 +62,7 @@ def agg47(spark, sf_dir):
     base = scored_documents(spark, sf_dir).select("doc_id", "lang", "score", "quality")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
     numbered = base.withColumn("i", place)
-    spread = base.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    spread = base.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(19))))
     drawn = spread.select("lang", "p", "quality", F.row_number().over(Window.partitionBy("lang", "p").orderBy(order_key(47, "perm", F.col("p"), F.col("doc_id")), "doc_id")).alias("i"))
     paired = numbered.select("lang", "i", "score").join(drawn, ["lang", "i"])
     done = ranking.auc(paired, ["lang", "p"], "score", F.col("quality") == 1)
@@ -125,9 +126,10 @@ def scl07(spark, sf_dir):
     return sets.select("key", answers.vote_classes(F.col("sets"), ["A", "N", "R"], 2).alias("voted"))
 
 
-@query("scl10_loose_class_set", f"WITH {FLAGS} SELECT key, lower(a) AS found FROM s")
+@query("scl10_loose_class_set", f"WITH {FLAGS} SELECT key, CASE key % 5 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN NULL ELSE a END AS found FROM s")
 def scl10(spark, sf_dir):
-    loose = F.concat(F.replace(F.col("a"), F.lit(", "), F.lit(" and ")), F.lit("."))
+    listed = F.concat(F.replace(F.col("a"), F.lit(", "), F.lit(" and ")), F.lit("."))
+    loose = F.when(F.col("key") % 5 == 0, "no").when(F.col("key") % 5 == 1, " No foreign objects. ").when(F.col("key") % 5 == 2, F.concat(listed, F.lit("; q"))).otherwise(listed)
     return flag_texts(spark, sf_dir).select("key", answers.join_set(answers.loose_class_set(loose, ["A", "N", "R"])).alias("found"))
 
 
@@ -145,23 +147,28 @@ def scl25(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("classes"))
 
 
-@query("prj02_leaf_groups", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'object_recognition' WHEN 1 THEN 'temporal_grounding' WHEN 2 THEN 'aggregation' WHEN 3 THEN 'event_understanding' ELSE 'complex_reasoning' END AS grp FROM nation")
+@query("prj02_leaf_groups", f"WITH {ITEMS} SELECT qid, CASE k % 5 WHEN 0 THEN 'object_recognition' WHEN 1 THEN 'temporal_grounding' WHEN 2 THEN 'aggregation' WHEN 3 THEN 'event_understanding' ELSE 'complex_reasoning' END AS grp FROM ev")
 def prj02(spark, sf_dir):
-    leaf = F.concat((F.col("n_regionkey") + 1).cast("string"), F.lit("a"))
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", questions.leaf_group(leaf).alias("grp"))
+    leaf = F.concat((F.col("k") % 5 + 1).cast("string"), F.substring(F.lit("abcde"), (F.col("event_id") % 5 + 1).cast("int"), F.lit(1)))
+    rows = items(spark, sf_dir).select("qid", questions.leaf_group(leaf).alias("grp"))
     return gates.every_leaf_has_group(rows, F.col("grp"))
 
 
-@query("prj20_shift_clock", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'soon' ELSE printf('00:%02d:%02d', 1, event_id % 60) END AS moved FROM events")
+@query("prj20_shift_clock", f"""WITH {ITEMS}, c AS (SELECT event_id, k, t % 86400 AS s, t % 86400 + k * 60 AS m, k * 60 + 7 AS x FROM ev)
+    SELECT event_id, CASE WHEN k % 4 = 0 THEN printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) || ', soon'
+        ELSE printf('%02d:%02d:%02d', m // 3600, m % 3600 // 60, m % 60) || ', ' || printf('%02d:%02d:%02d', x // 3600, x % 3600 // 60, x % 60) END AS moved FROM c""")
 def prj20(spark, sf_dir):
-    told = F.when(F.col("event_id") % 2 == 0, "soon").otherwise(F.format_string("00:00:%02d", F.col("event_id") % 60))
-    return read(spark, sf_dir, "events").select("event_id", questions.shift_clock(told, F.lit(60.0)).alias("moved"))
+    rows = items(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("clock")), "event_id")
+    told = F.concat(F.col("clock"), F.lit(", "), F.when(F.col("k") % 4 == 0, "soon").otherwise("00:00:07"))
+    return rows.select("event_id", questions.shift_clock(told, F.col("k") * 60.0).alias("moved"))
 
 
-@query("prj24_strip_premise", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Which one?' WHEN 1 THEN 'There are two.' ELSE 'Is it left?' END AS question FROM events")
+@query("prj24_strip_premise", f"""WITH {ITEMS} SELECT event_id, CASE k % 3 WHEN 0 THEN 'Which ' || grp || ' of ' || k || '?' WHEN 1 THEN 'There are ' || k || ' of ' || grp || '.' ELSE 'Is ' || grp || ' there?' END AS question FROM ev""")
 def prj24(spark, sf_dir):
-    told = F.when(F.col("event_id") % 3 == 0, "There are two. There are more! Which one?").when(F.col("event_id") % 3 == 1, "There are two.").otherwise("Is it left?")
-    return read(spark, sf_dir, "events").select("event_id", questions.strip_leading(told, "There (is|are)").alias("question"))
+    of = lambda *parts: F.concat(*(F.lit(p) if p[0].isupper() or not p[0].isalpha() else F.col(p).cast("string") for p in parts))
+    premise, asked = of("There are ", "k", " of ", "grp", "."), of("Which ", "grp", " of ", "k", "?")
+    told = F.when(F.col("k") % 3 == 0, F.concat(premise, F.lit(" There is more! "), asked)).when(F.col("k") % 3 == 1, premise).otherwise(of("Is ", "grp", " there?"))
+    return items(spark, sf_dir).select("event_id", questions.strip_leading(told, "There (is|are)").alias("question"))
 
 
 @query("prj22_first_words", "SELECT array_to_string(string_split_regex(trim(text), '\\s+')[1:2], ' ') AS head, count(*) AS n FROM benchmark GROUP BY 1")

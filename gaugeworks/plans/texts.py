@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import answers, questions
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.registry import query
+from gaugeworks.sources import chat
 from gaugeworks.sources.adapters import ITEMS, items, read
 
 #: Shapes of answers, by event number; the same list in both dialects.
-SHAPES = ("{k}", "{k}.", "about {k} items", "three of them", "Yes.", "none", "no idea", "{k} clips and {j}", " {k} ", "counts: {k}", "")
+SHAPES = (
+    "{k}", "{k}.", "about {k} items", "three of them", "Yes.", "none", "no idea", "{k} clips and {j}", " {k} ", "counts: {k}", "",
+    "{k} .", "No .", "Yes", "1:02:0{j}.", "10:02:00, 1:02:0{j} .", "00{k}", "count: {k}, {j}", '{"counts": "0{k}"', "NO", "1:02:0{j}",
+)
 
 
 def raw_answers(spark, sf_dir):
@@ -30,7 +34,8 @@ def scl01(spark, sf_dir):
 
 
 @query("scl02_normalise_answer", f"""WITH {RAW}, b AS (SELECT event_id, trim(text) AS t FROM raw)
-    SELECT event_id, CASE WHEN regexp_matches(t, '^\\d+\\.?$') THEN regexp_replace(t, '\\.$', '') WHEN regexp_matches(t, '(?i)^(yes|no)\\.?$') THEN lower(regexp_replace(t, '\\.$', '')) ELSE t END AS answer FROM b""")
+    SELECT event_id, CASE WHEN regexp_full_match(t, '\\d+\\s*[.]') OR regexp_full_match(t, '\\d{{1,2}}:\\d{{2}}:\\d{{2}}(\\s*,\\s*\\d{{1,2}}:\\d{{2}}:\\d{{2}})*\\s*[.]') THEN rtrim(rtrim(t, '.'))
+        WHEN regexp_full_match(lower(t), '(yes|no)\\s*[.]') THEN lower(rtrim(rtrim(t, '.'))) ELSE t END AS answer FROM b""")
 def scl02(spark, sf_dir):
     return raw_answers(spark, sf_dir).select("event_id", answers.normalise_answer(F.col("text")).alias("answer"))
 
@@ -45,8 +50,8 @@ def scl05(spark, sf_dir):
     return raw_answers(spark, sf_dir).select("event_id", answers.key_binary(F.col("text")).alias("answer"))
 
 
-@query("scl13_parse_count", f"""WITH {RAW}, p AS (SELECT event_id, nullif(regexp_extract(text, '^\\s*(\\d+)\\s*\\.?\\s*$', 1), '') AS bare, nullif(regexp_extract(text, '(?i)"?counts?"?\\s*:\\s*(\\d+)', 1), '') AS told, regexp_extract_all(text, '(\\d+)') AS every FROM raw)
-    SELECT event_id, coalesce(bare, told, CASE WHEN len(every) = 1 THEN every[1] END, '0') AS answer, CASE WHEN bare IS NOT NULL THEN 'bare_int' WHEN told IS NOT NULL THEN 'structured' WHEN len(every) = 1 THEN 'salvaged' ELSE 'malformed' END AS status FROM p""")
+@query("scl13_parse_count", f"""WITH {RAW}, p AS (SELECT event_id, nullif(regexp_extract(text, '^\\s*(\\d+)\\s*$', 1), '') AS bare, nullif(regexp_extract(text, '(?i)["'']?counts["'']?\\s*:\\s*["'']?(\\d+)', 1), '') AS told, regexp_extract_all(text, '(\\d+)') AS every FROM raw)
+    SELECT event_id, coalesce(bare, told, CASE WHEN len(every) = 1 THEN every[1] END, '0')::BIGINT::VARCHAR AS answer, CASE WHEN bare IS NOT NULL THEN 'bare_int' WHEN told IS NOT NULL THEN 'structured' WHEN len(every) = 1 THEN 'salvaged' ELSE 'malformed' END AS status FROM p""")
 def scl13(spark, sf_dir):
     return raw_answers(spark, sf_dir).select("event_id", answers.parse_count(F.col("text")).alias("p")).select("event_id", "p.answer", "p.status")
 
@@ -71,19 +76,21 @@ def flag_texts(spark, sf_dir):
     )
 
 
-@query("scl04_read_class_set", f"WITH {FLAGS} SELECT key, CASE WHEN b = 'none' THEN 'None' ELSE b END AS found FROM s")
+@query("scl04_read_class_set", f"""WITH {FLAGS} SELECT key, CASE WHEN b = 'none' THEN CASE WHEN key % 7 = 0 THEN NULL ELSE 'None' END WHEN key % 5 = 0 OR key % 7 = 0 THEN NULL ELSE b END AS found FROM s""")
 def scl04(spark, sf_dir):
-    return flag_texts(spark, sf_dir).select("key", answers.join_set(answers.read_class_set(F.lower("b"), ["A", "N", "R"])).alias("found"))
+    more = F.when(F.col("key") % 7 == 0, ", q").when(F.col("key") % 5 == 0, ", NONE").otherwise("")  # an unknown class; none among others
+    return flag_texts(spark, sf_dir).select("key", answers.join_set(answers.read_class_set(F.concat(F.lower("b"), more), ["A", "N", "R"])).alias("found"))
 
 
-@query("scl09_clamp_classes", f"WITH {FLAGS} SELECT key, a AS kept FROM s")
+@query("scl09_clamp_classes", f"""WITH {FLAGS}, l AS (SELECT key, b, list_filter(string_split(b, ', '), lambda x: x IN ('A', 'N')) AS known FROM s)
+    SELECT key, CASE WHEN len(known) = 0 THEN 'Q, ' || b || ', none' ELSE array_to_string(known, ', ') END AS kept FROM l""")
 def scl09(spark, sf_dir):
-    noisy = F.concat(F.lit("Q, "), F.col("a"), F.lit(", none"))
-    return flag_texts(spark, sf_dir).select("key", answers.clamp_classes(noisy, ["A", "N", "R"]).alias("kept"))
+    noisy = F.concat(F.lit("Q, "), F.col("b"), F.lit(", none"))
+    return flag_texts(spark, sf_dir).select("key", answers.clamp_classes(noisy, ["A", "N"]).alias("kept"))  # R is unknown here
 
 
 @query("scl11_arbitrate", f"""WITH {FLAGS}, z AS (SELECT key, a, CASE WHEN b = 'none' THEN 0 ELSE len(string_split(b, ', ')) END AS nb, b, len(string_split(a, ', ')) AS na FROM s)
-    SELECT key, CASE WHEN nb < na THEN CASE WHEN b = 'none' THEN 'none' ELSE lower(b) END ELSE a END AS answer, nb < na AS changed FROM z""")
+    SELECT key, CASE WHEN nb < na THEN b ELSE a END AS answer, nb < na AS changed FROM z""")
 def scl11(spark, sf_dir):
     answer, changed = answers.arbitrate(F.col("a"), F.col("b"), ["A", "N", "R"])
     return flag_texts(spark, sf_dir).select("key", answer.alias("answer"), changed.alias("changed"))
@@ -170,10 +177,14 @@ def prj17(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", questions.cache_name(F.col("p_brand"), F.col("p_type")).alias("name"))
 
 
-@query("prj26_swap_sides", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'bottom-right and Top-Left' WHEN 1 THEN 'left of it, bottom Left' ELSE 'TOP-LEFT' END AS flipped FROM events")
+@query("prj26_swap_sides", f"""WITH {ITEMS}, w AS (SELECT event_id, ['top', 'Bottom', 'TOP', 'atop'][k % 4 + 1] AS v, ['left', 'RIGHT', 'Right', 'leftmost', 'Left'][event_id % 5 + 1] AS h FROM ev)
+    SELECT event_id, v || '/' || CASE WHEN v = 'atop' THEN h WHEN h = 'left' THEN 'right' WHEN h = 'RIGHT' THEN 'LEFT' WHEN h = 'Right' THEN 'Left' WHEN h = 'Left' THEN 'Right' ELSE h END
+        || ' not ' || v || '-' || h || ', bottom/left' AS flipped FROM w""")
 def prj26(spark, sf_dir):
-    text = F.when(F.col("event_id") % 3 == 0, "bottom-left and Top-Right").when(F.col("event_id") % 3 == 1, "left of it, bottom Right").otherwise("TOP-RIGHT")
-    return read(spark, sf_dir, "events").select("event_id", questions.swap_sides(text).alias("flipped"))
+    v = F.element_at(F.array(*(F.lit(x) for x in ("top", "Bottom", "TOP", "atop"))), F.col("k") % 4 + 1)
+    h = F.element_at(F.array(*(F.lit(x) for x in ("left", "RIGHT", "Right", "leftmost", "Left"))), (F.col("event_id") % 5 + 1).cast("int"))
+    text = F.concat(v, F.lit("/"), h, F.lit(" not "), v, F.lit("-"), h, F.lit(", bottom/right"))
+    return items(spark, sf_dir).select("event_id", questions.swap_sides(text).alias("flipped"))
 
 
 @query("prj23_lexical_flags", "SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)\\bthe\\b')) AS with_the, round(avg(regexp_matches(text, '[0-9]')::INT), 6) AS digits FROM documents GROUP BY lang")
@@ -189,10 +200,10 @@ def scl24(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", answers.tag_body(F.col("html"), "title").alias("title"))
 
 
-@query("scl28_manifest_hash", "SELECT sha256(string_agg(n_name || chr(9) || n_regionkey, chr(10) ORDER BY n_name || chr(9) || n_regionkey)) AS digest FROM nation")
+@query("scl28_manifest_hash", """WITH h AS (SELECT sha256(c_name || chr(9) || c_nationkey) AS h FROM customer), b AS (SELECT substr(h, 1, 3) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
+    SELECT sha256(string_agg(h, '' ORDER BY part)) AS digest FROM b""")
 def scl28(spark, sf_dir):
-    line = F.concat_ws("\t", "n_name", F.col("n_regionkey").cast("string"))
-    return read(spark, sf_dir, "nation").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    return chat.digest_of(read(spark, sf_dir, "customer"), ["c_name", "c_nationkey"])
 
 
 @query("scl18_split_thinking", f"WITH {RAW} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE trim(text) END AS answer, event_id % 3 <> 0 AS closed FROM raw")

@@ -40,10 +40,22 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = CHAT) -> DataF
     return spark.read.schema(schema).json(path)
 
 
-def manifest_digest(rows: DataFrame, columns: Sequence[str]) -> str:
-    """sha256 of the sorted, tab-joined lines of a manifest (a table of clusters)."""
+def digest_of(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """digest: one row, the same for the same tab-joined lines in any order.
+
+    sha256 of every line; of the sorted line digests of each of 4,096 parts (by their
+    first three digits); and of the parts' digests in order.
+    """
     line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)).first()[0]
+    lines = rows.select(F.sha2(line, 256).alias("h"))
+    parts = lines.groupBy(F.substring("h", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])
+    return parts.agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"))
+
+
+def manifest_digest(rows: DataFrame, columns: Sequence[str]) -> str:
+    """The digest of a manifest (a table of clusters); see ``digest_of``."""
+    return digest_of(rows, columns).first()[0]
 
 
 def write_manifest(rows: DataFrame, path: str, columns: Sequence[str]) -> str:

@@ -260,3 +260,45 @@ def test_run_log_stream(spark, tmp_path):
     found = {r.run: (r.kind, r.n_events) for r in spark.table("run_state").collect()}
     assert found == {"x": ("finish", 2), "y": ("start", 1)}
     assert [r.run for r in run_log.stale(spark.table("run_state"), 1000.0).collect()] == ["y"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1.", "1"), ("1 .", "1"), (" 12 ", "12"), ("Yes.", "yes"), ("NO .", "no"), ("Yes", "Yes"), ("NO", "NO"), ("1:02:03.", "1:02:03"), ("10:02:03, 1:02:03 .", "10:02:03, 1:02:03"),
+        ("1.5", "1.5"), ("a.", "a."), (None, ""), ("1..", "1.."), ("yes. no.", "yes. no."), ("1:02:03", "1:02:03"),
+    ],
+)
+def test_normalise_answer(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(answers.normalise_answer(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want", "changed"),
+    [
+        ("clip, bag", "clip", "clip", True), ("clip, bag", "none", "none", True), ("clip, bag", "no", "clip, bag", False), ("clip", "No foreign objects.", "none", True), ("clip, bag", "Bag and clip", "clip, bag", False),
+        ("clip, bag", "bag; what", "clip, bag", False), ("3", "none", "3", False), ("none", "clip", "none", False), ("clip, Bag", "BAG.", "Bag", True), (None, "clip", None, False), ("clip", "", "clip", False),
+    ],
+)
+def test_arbitrate(spark, a, b, want, changed):
+    answer, took = answers.arbitrate(F.col("a"), F.col("b"), ["Bag", "clip"])
+    assert tuple(spark.createDataFrame([(a, b)], "a string, b string").select(answer, took).first()) == (want, changed)
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "status"),
+    [
+        ("3", "3", "bare_int"), ("3.", "3", "salvaged"), ("007", "7", "bare_int"), ("000", "0", "bare_int"), ("counts: 4, 5", "4", "structured"), ("count: 4, 5", "0", "malformed"), ("{'counts': '04'", "4", "structured"),
+        ('"Counts" : 12 of 13', "12", "structured"), ("two of 9", "9", "salvaged"), ("1 or 2", "0", "malformed"), ("", "0", "malformed"), (None, "0", "malformed"),
+    ],
+)
+def test_parse_count(spark, text, want, status):
+    assert tuple(spark.createDataFrame([(text,)], "t string").select(answers.parse_count(F.col("t")).alias("p")).select("p.*").first()) == (want, status)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("top/left", "top/right"), ("Bottom/Right, TOP/LEFT", "Bottom/Left, TOP/RIGHT"), ("top-left left", "top-left left"), ("atop/left top/leftmost", "atop/left top/leftmost"), ("top/LEFT", "top/RIGHT")],
+)
+def test_swap_sides(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(questions.swap_sides(F.col("t"))).first()[0] == want

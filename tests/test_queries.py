@@ -44,3 +44,35 @@ def test_close_hashes_against_all_pairs(spark):
     assert got == want
     with pytest.raises(ValueError):
         close_hashes(df, df, "doc_id", "other_id", 8)
+
+
+def test_close_summary_against_all_pairs(spark):
+    from gaugeworks.operators.joining import close_summary
+
+    values = [(i, (i * 0x9E3779B97F4A7C15 ^ (i % 7)) % (1 << 62)) for i in range(40)]
+    values += [(100 + i, h ^ (1 << (i % 60)) ^ (1 << ((3 * i) % 60))) for i, h in values] + [(200 + i, values[5][1]) for i in range(30)]
+    df = spark.createDataFrame(values, "doc_id long, h long")
+    for bits in (0, 2, 3):
+        want = set()
+        for a, x in values:
+            near = [(b, (x ^ y).bit_count()) for b, y in values if (x ^ y).bit_count() <= bits]
+            want.add((a, len(near), sum(d == 0 for _, d in near), min((d for _, d in near if d), default=None), min(b for b, _ in near)))
+        assert {tuple(r) for r in close_summary(df, df, "doc_id", bits).collect()} == want
+
+
+def test_close_texts_against_all_pairs(spark, sf_dir):
+    """Every text whose id 50 divides, against all others by their sketches; near copies count as close."""
+    from pyspark.sql import functions as F
+
+    from gaugeworks.functions import sketches
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    hashed = docs.select("doc_id", sketches.simhash(sketches.shingle_hashes(F.col("text"))).alias("h")).collect()
+    got = {r.doc_id: (r.n_close, r.n_equal) for r in registry.QUERIES["jon15_close_hashes"](spark, sf_dir).collect()}
+    for r in hashed:
+        if r.doc_id % 50 == 0:
+            assert got.pop(r.doc_id) == (sum((r.h ^ x.h).bit_count() <= 3 for x in hashed), sum(r.h == x.h for x in hashed))
+    assert not got
+    words = " ".join(f"word{i}" for i in range(400))
+    near = spark.createDataFrame([(words,), (words.replace("word7 ", "other "),)], "t string").select(sketches.simhash(sketches.shingle_hashes(F.col("t"))).alias("h")).collect()
+    assert (near[0].h ^ near[1].h).bit_count() <= 12
