@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import scoring
@@ -51,3 +51,45 @@ def markdown(tier: DataFrame, columns: list[str]) -> str:
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     lines += ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in tier.toLocalIterator()]
     return "\n".join(lines) + "\n"
+
+
+def run_of_path(path: Column) -> tuple[Column, Column]:
+    """Experiment and run of a path such as ``experiments/<e>/runs/<r>/...``; NULL where it has none."""
+    part = lambda k: F.nullif(F.regexp_extract(path, r"experiments/([^/]+)/runs/([^/]+)", k), F.lit(""))
+    return part(1), part(2)
+
+
+def clean(value: Column) -> Column:
+    """NULL for NaN and the infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+
+
+def report_json(cells: DataFrame, meta: dict[str, str]) -> DataFrame:
+    """One row, column ``report``: the cells of a report (a row for each bucket) as JSON, with its totals and ``_meta``."""
+    doubles = {f.name for f in cells.schema if f.dataType.simpleString() in ("double", "float")}
+    row = F.struct(*((clean(F.col(c)) if c in doubles else F.col(c)).alias(c) for c in cells.columns))
+    whole = cells.agg(F.sum("n").alias("n_total"), F.array_sort(F.collect_list(row)).alias("by_bucket"))
+    named = F.struct(*(F.lit(v).alias(k) for k, v in meta.items()))
+    return whole.select(F.to_json(F.struct(named.alias("_meta"), "n_total", "by_bucket"), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def cell(rows: DataFrame, name: str) -> Column:
+    """A column as a table cell: true and false, four places, nothing for NULL."""
+    kind = rows.schema[name].dataType.simpleString()
+    text = F.format_string("%.4f", F.col(name)) if kind in ("double", "float") else F.col(name).cast("string")
+    return F.when(F.col(name).isNull(), "").otherwise(text)
+
+
+def markdown_line(rows: DataFrame, columns: list[str]) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(rows, c) for c in columns)), F.lit(" |"))
+
+
+def sections(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables under each other, with a column ``section``; what a table has not is NULL."""
+    out = None
+    for name, table in tables.items():
+        part = table.withColumn("section", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no sections")
+    return out

@@ -55,7 +55,12 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def annotated_frames(spark: SparkSession, path: str, code: int) -> DataFrame:
     """video, n_frames, first, n_positive of nested annotation files: frames that carry ``code`` in any tuple."""
-    rows = spark.read.schema(ANNOTATIONS).json(path, multiLine=True).select(path_tag(r"([^/]+)\.json$").alias("video"), F.explode("annotations").alias("frame", "tuples"))
+    return positives_of(spark.read.schema(ANNOTATIONS).json(path, multiLine=True).select(path_tag(r"([^/]+)\.json$").alias("video"), "annotations"), code)
+
+
+def positives_of(rows: DataFrame, code: int) -> DataFrame:
+    """The same of rows of video and annotations (frame to tuples)."""
+    rows = rows.select("video", F.explode("annotations").alias("frame", "tuples"))
     has = F.exists("tuples", lambda t: F.get(t, F.lit(0)) == code)
     frame = F.col("frame").cast("int")
     return rows.groupBy("video").agg(
