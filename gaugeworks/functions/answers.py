@@ -177,3 +177,48 @@ def tag_body(text: Column, tag: str) -> Column:
     """Trimmed body of the first ``<tag>...</tag>``, over lines; NULL without one."""
     found = F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1)
     return F.when(text.rlike(rf"(?s)<{tag}>.*?</{tag}>"), F.trim(found))
+
+
+def correct_for(fmt: Column, pred: Column, gold: Column, classes: Sequence[str]) -> Column:
+    """Right or wrong by the answer's format: equal sets, equal integers, equal yes or no; NULL where a judge is needed."""
+    sets = read_class_set(pred, classes) == read_class_set(gold, classes)
+    numbers = read_count(pred) == read_count(gold)
+    binary = key_binary(pred) == key_binary(gold)
+    return F.when(fmt == "fo_class", F.coalesce(sets, F.lit(False))).when(fmt == "number", F.coalesce(numbers, F.lit(False))).when(fmt == "binary", F.coalesce(binary, F.lit(False)))
+
+
+def by_format(fmt: Column, readers: dict[str, Column], otherwise: Column) -> Column:
+    """The reader that a format has, or ``otherwise``."""
+    out = otherwise
+    for name, reader in readers.items():
+        out = F.when(fmt == name, reader).otherwise(out)
+    return out
+
+
+def bare_count(text: Column) -> Column:
+    """The whole text as an integer, else NULL."""
+    return _nonempty(F.regexp_extract(stripped(text), r"^(\d{1,9})$", 1)).cast("int")
+
+
+def count_points(text: Column) -> Column:
+    """Complete ``point_2d`` pairs in a text, those of a list that breaks off too."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"""["']point_2d["']\s*:\s*[\[(]\s*-?[\d.]+\s*,\s*-?[\d.]+\s*[\])]"""))
+
+
+def last_number(text: Column) -> Column:
+    """The largest number of a numbered list; 0 for an answer that says none, NULL for anything else."""
+    bare = stripped(text)
+    numbers = F.transform(F.regexp_extract_all(bare, F.lit(r"(?m)^\s*(\d{1,9})[.)]"), F.lit(1)), lambda x: x.cast("int"))
+    return F.when(F.size(numbers) > 0, F.array_max(numbers)).when(F.lower(bare).isin("", "none", "no objects", "nothing"), 0)
+
+
+def points_in(text: Column) -> Column:
+    """struct(status, points): pairs of the first JSON list; ``unparseable`` without one, ``malformed`` with no pair in it."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\[.*\])", 1)
+    elements = F.from_json(found, "array<string>")
+    pair = lambda x: F.coalesce(F.from_json(x, "array<double>"), F.array().cast("array<double>"))
+    named = lambda x: F.from_json(x, "struct<x:double,y:double>")
+    points = F.transform(elements, lambda x: F.coalesce(F.when(F.size(pair(x)) >= 2, F.struct(F.get(pair(x), F.lit(0)).alias("x"), F.get(pair(x), F.lit(1)).alias("y"))), F.struct(named(x)["x"].alias("x"), named(x)["y"].alias("y"))))
+    whole = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    status = F.when(elements.isNull(), "unparseable").when((F.size(whole) == 0) & (F.size(elements) > 0), "malformed").otherwise("ok")
+    return F.struct(status.alias("status"), F.coalesce(whole, F.array().cast("array<struct<x:double,y:double>>")).alias("points"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of the answer groups by leaf code (fixed values).
@@ -107,3 +107,39 @@ def strip_leading(question: Column, premise: str) -> Column:
 
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, n), " ")
+
+
+def first_column(rows: DataFrame, names: tuple[str, ...]) -> Column:
+    """The first of several names that a table has; raises if it has none."""
+    for name in names:
+        if name in rows.columns:
+            return F.col(name)
+    raise KeyError(f"none of {names} in {rows.columns}")
+
+
+def mentions(question: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a question has one of the phrases, whatever the case."""
+    out = F.lit(False)
+    for phrase in phrases:
+        out = out | F.contains(F.lower(question), F.lit(phrase))
+    return out
+
+
+def every_nth(values: Column, n: int) -> Column:
+    """Elements 0, n, 2n, ... of an array."""
+    return F.filter(values, lambda x, i: i % n == 0)
+
+
+def nearest_of_grid(at: Column, duration: Column, k: Column) -> Column:
+    """The point nearest to ``at`` of k evenly spaced ones from 0 to ``duration``."""
+    step = duration / (k - 1)
+    return F.least(F.greatest(F.bround(at / step, 0), F.lit(0.0)), (k - 1).cast("double")) * step
+
+
+def count_label(question: Column) -> Column:
+    """What a question asks the number of; NULL for any other question."""
+    return F.nullif(F.regexp_extract(question, r"(?i)^how many (.+?) are\b", 1), F.lit(""))
+
+
+def count_target(label: Column, n: Column) -> Column:
+    return F.to_json(F.struct(label.alias("label"), n.alias("counts")))

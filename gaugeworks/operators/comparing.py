@@ -142,3 +142,18 @@ def sign_test(k: Column, n: Column) -> Column:
 
     steps = F.when(low > 0, F.sequence(F.lit(1), low.cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.least(F.lit(1.0), F.aggregate(steps, start, step, lambda acc: acc["total"] * 2))
+
+
+def decide(clauses: Sequence[Column]) -> Column:
+    """WIN if all clauses hold, NO-WIN if one doesn't, INDETERMINATE if one is unknown."""
+    known, won = F.lit(True), F.lit(True)
+    for clause in clauses:
+        known, won = known & clause.isNotNull(), won & clause
+    return F.when(~known, "INDETERMINATE").when(won, "WIN").otherwise("NO-WIN")
+
+
+def halves(pairs: DataFrame, by: str) -> DataFrame:
+    """half, n, delta: over all pairs, and over those of each value of ``by``."""
+    each = F.explode(F.array(F.lit("ALL"), F.col(by)))
+    rows = pairs.select(each.alias("half"), "correct_a", "correct_b")
+    return rows.groupBy("half").agg(F.count(F.lit(1)).alias("n"), (F.avg("correct_b") - F.avg("correct_a")).alias("delta"))

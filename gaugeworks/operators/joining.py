@@ -86,3 +86,10 @@ def close_summary(left: DataFrame, right: DataFrame, key: str, bits: int) -> Dat
     zero = F.lit(0).cast("long")
     joined = left.select(key, F.col("h").alias("h1")).join(found, "h1", "left")
     return joined.select(key, F.coalesce("n_close", zero).alias("n_close"), F.coalesce("n_equal", zero).alias("n_equal"), "nearest", F.col("least").alias("least_close"))
+
+
+def join_rate(wanted: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """n, found, join_rate: how many of the wanted rows have a member."""
+    there = members.select(key).distinct().withColumn("_there", F.lit(1))
+    done = wanted.join(there, key, "left").agg(F.count(F.lit(1)).alias("n"), F.count("_there").alias("found"))
+    return done.withColumn("join_rate", F.try_divide(F.col("found"), F.col("n")))

@@ -116,3 +116,22 @@ def rank_matched(pairs: DataFrame, arm: str, bin_: Column, key: str, order: str)
     placed = pairs.withColumn("bin", bin_).withColumn("place", F.row_number().over(Window.partitionBy("bin", arm).orderBy(order, key)))
     sides = [placed.filter(F.col(arm) == side).select("bin", "place", F.col(key).alias(f"key_{side}")) for side in ("J", "S")]
     return sides[0].join(sides[1], ["bin", "place"])
+
+
+def apply_split(rows: DataFrame, split: DataFrame, keys: Sequence[str], want: str) -> DataFrame:
+    """Rows of the clusters in one part of a split; raises if the split has no such part."""
+    part = split.filter(F.col("split") == want).select(*keys)
+    if part.isEmpty():
+        raise ValueError(f"the split has no part {want}")
+    return rows.join(part, list(keys), "left_semi")
+
+
+def split_by_shares(clusters: DataFrame, stratum: str, cluster: str, shares: dict[str, float], shifted: Column, seed: int = 0) -> DataFrame:
+    """stratum, cluster, split: shifted strata leave whole as val_ood; of the others each part takes its rounded share, the rest trains."""
+    within = Window.partitionBy(stratum)
+    n, place = F.count(F.lit(1)).over(within), F.row_number().over(within.orderBy(order_key(seed, "v2", F.col(cluster)), cluster))
+    named, upto = F.when(shifted, "val_ood"), F.lit(0.0)
+    for name, share in shares.items():
+        upto = upto + F.bround(F.col("_n") * F.lit(share), 0)
+        named = named.when(F.col("_place") <= upto, name)
+    return clusters.select(stratum, cluster, n.alias("_n"), place.alias("_place")).select(stratum, cluster, named.otherwise("train").alias("split"))

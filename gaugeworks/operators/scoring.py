@@ -141,3 +141,8 @@ def answer_profile(rows: DataFrame, by: Sequence[str], answer: str, correct: str
         F.try_divide(F.col("all_right") - F.col("top.right"), F.col("total") - F.col("top.n")).alias("acc_off_mode"),
         "entropy",
     )
+
+
+def weight_for_share(share: Column, target: float) -> Column:
+    """The weight that gives rows of a share the target share, all others weighing 1."""
+    return F.try_divide(F.lit(target) * (1 - share), share * F.lit(1 - target))
