@@ -130,18 +130,20 @@ def within_cluster_delta(rows: DataFrame, cluster: str, score: str, flag: Column
 def sign_test(k: Column, n: Column) -> Column:
     """Exact two-sided sign test of k successes in n: the binomial tail, doubled, one at most.
 
-    Terms are multiplied up from the first, so the sum is a fold over an array; n of some
-    hundreds at most (the first term underflows beyond a thousand).
+    Terms are built up from the first in logarithms, so no n underflows; the sum is a
+    fold over an array of the smaller side.
     """
     low = F.least(k, n - k)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("total"))
+    first = n * F.log(F.lit(0.5))
+    start = F.struct(first.alias("term"), first.alias("total"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        term = acc["term"] + F.log((n - i + 1) / i)
+        total = F.greatest(term, acc["total"]) + F.log1p(F.exp(-F.abs(term - acc["total"])))
+        return F.struct(term.alias("term"), total.alias("total"))
 
     steps = F.when(low > 0, F.sequence(F.lit(1), low.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.least(F.lit(1.0), F.aggregate(steps, start, step, lambda acc: acc["total"] * 2))
+    return F.least(F.lit(1.0), F.exp(F.aggregate(steps, start, step, lambda acc: acc["total"] + F.log(F.lit(2.0)))))
 
 
 def decide(clauses: Sequence[Column]) -> Column:

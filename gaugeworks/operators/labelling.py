@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.ranges import running_totals
+
 
 def class_counts(rows: DataFrame, by: Sequence[str] = (), gold: str = "gold", pred: str = "pred") -> DataFrame:
     """by, class, tp, fp, fn, n_gold, n_pred; an unreadable (NULL) prediction misses every gold class."""
@@ -114,12 +116,10 @@ def transfer_gain(fit: DataFrame, apply: DataFrame, by: Sequence[str], pred: str
 
 def concentration(rows: DataFrame, key: str, mass: Column) -> DataFrame:
     """key, mass, rank, cumulative mass, and whether the key belongs to the fewest that hold half of it."""
-    sums = rows.groupBy(key).agg(F.sum(mass).alias("mass")).filter("mass > 0")
-    order = Window.orderBy(F.desc("mass"), key)
-    running = F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("mass").over(Window.partitionBy(F.lit(1)))
-    placed = sums.select(key, "mass", F.row_number().over(order).alias("rank"), running.alias("running"), total.alias("total"))
-    return placed.withColumn("in_half", F.col("running") - F.col("mass") < F.col("total") / 2)
+    sums = rows.groupBy(key).agg(F.sum(mass).alias("mass")).filter("mass > 0").withColumn("_one", F.lit(1).cast("long"))
+    placed = running_totals(sums, ["-mass", key], {"rank": "_one", "running": "mass"}).drop("_one")
+    total = placed.agg(F.sum("mass")).first()[0] or 0
+    return placed.withColumn("total", F.lit(total)).withColumn("in_half", F.col("running") - F.col("mass") < F.col("total") / 2)
 
 
 def counterfactual(rows: DataFrame, scenarios: dict[str, Column], correct: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.draws import order_key, uniform
+from gaugeworks.operators.ranges import running_totals
 
 
 def stratified(rows: DataFrame, by: Sequence[str], key: str, frac: float, least: int = 1, seed: int = 0) -> DataFrame:
@@ -59,11 +60,14 @@ def leave_one_out_folds(rows: DataFrame, group: str) -> DataFrame:
     return folds.crossJoin(sizes).select("fold", group, F.when(F.col("fold") == F.col(group), "val").otherwise("train").alias("split"), "n")
 
 
-def mass_balanced(clusters: DataFrame, key: str, mass: str, quotas: dict[str, float]) -> DataFrame:
+def mass_balanced(clusters: DataFrame, key: str, mass: str, quotas: dict[str, float], most: int = 2_000_000) -> DataFrame:
     """key, mass, split: heaviest first, each to the split with the largest relative room left.
 
-    Greedy and sequential by nature, over the table of clusters (one narrow row each).
+    Greedy and sequential by nature, over the table of clusters (one narrow row each);
+    raises if there are more than ``most`` of them, which one task would have to hold.
     """
+    if clusters.count() > most:
+        raise ValueError(f"more than {most} clusters; split_by_shares deals any number")
     names = sorted(quotas)
 
     def fill(pdf):
@@ -104,7 +108,7 @@ def shuffle_donors(rows: DataFrame, cluster: str, key: str) -> DataFrame:
     n, shift = sizes.agg(F.sum("size"), F.max("size")).first()
     if n and shift * 2 > n:
         raise ValueError("a cluster holds more than half of the rows")
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy(cluster).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = running_totals(sizes, [cluster], {"upto": "size"}).select(cluster, (F.col("upto") - F.col("size")).alias("start"))
     inside = F.row_number().over(Window.partitionBy(cluster).orderBy(key)) - 1
     placed = rows.select(key, cluster, inside.alias("inside")).join(starts, cluster).select(key, (F.col("inside") + F.col("start")).alias("at"))
     asked = placed.select(key, ((F.col("at") + F.lit(shift or 0)) % F.lit(n or 1)).alias("at"))

@@ -49,7 +49,8 @@ def nearest_in_time(rows: DataFrame, cluster: str, time: str, key: str, k: int,
     times either side, so only those are looked at: no self-join, and rows at one moment
     do not widen the windows.  Rows without a time come last, in order of their keys.
     """
-    assert k <= reach
+    if k > reach:
+        raise ValueError("k is beyond the reach")
     rows = rows.select(cluster, key, time)
 
     def lowest(some: DataFrame, *by: str) -> DataFrame:

@@ -60,15 +60,15 @@ def _bootstrap(value: str, draws: int) -> str:
 BOOT_SELECT = "SELECT dist, n, n_clusters, round(point, 6) AS point, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM p JOIN c USING (dist)"
 
 
-@query("agg06_paired_cluster_bootstrap", f"WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 50)} {BOOT_SELECT}")
+@query("agg06_paired_cluster_bootstrap", f"WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 2000)} {BOOT_SELECT}")
 def agg06(spark, sf_dir):
-    done = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=50)
+    done = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=2000)
     return rounded(done, "point", "ci_low", "ci_high")
 
 
-@query("agg07_accuracy_bootstrap", f"WITH {ITEMS}, {_bootstrap('correct_a', 50)} {BOOT_SELECT}")
+@query("agg07_accuracy_bootstrap", f"WITH {ITEMS}, {_bootstrap('correct_a', 2000)} {BOOT_SELECT}")
 def agg07(spark, sf_dir):
-    return rounded(comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", F.col("correct_a"), draws=50), "point", "ci_low", "ci_high")
+    return rounded(comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", F.col("correct_a"), draws=2000), "point", "ci_low", "ci_high")
 
 
 def _two_level(value: str, draws: int) -> str:
@@ -121,20 +121,20 @@ def agg14(spark, sf_dir):
     return rounded(done, "min_delta", "max_delta")
 
 
-@query("add01_equivalence", f"""WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 50)}
+@query("add01_equivalence", f"""WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 2000)}
     SELECT dist, CASE WHEN ci_low > -0.1 AND ci_high < 0.1 THEN CASE WHEN ci_low > 0 OR ci_high < 0 THEN 'TRIVIAL_DIFFERENCE' ELSE 'EQUIVALENT' END
                       WHEN ci_low > 0 OR ci_high < 0 THEN 'DIFFERENT' ELSE 'INCONCLUSIVE' END AS verdict,
            round(greatest(abs(ci_low), abs(ci_high)), 6) AS epsilon_min FROM c""")
 def add01(spark, sf_dir):
-    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=50)
+    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=2000)
     done = ci.select("dist", comparing.equivalence(F.col("ci_low"), F.col("ci_high"), 0.1).alias("verdict"), F.greatest(F.abs("ci_low"), F.abs("ci_high")).alias("epsilon_min"))
     return rounded(done, "epsilon_min")
 
 
-@query("add05_arm_verdict", f"""WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 50)}, v AS (SELECT count(*) FILTER (ci_high < 0) AS harmed, count(*) FILTER (dist = 'ID' AND ci_low > 0) AS won FROM c)
+@query("add05_arm_verdict", f"""WITH {ITEMS}, {_bootstrap('correct_b - correct_a', 2000)}, v AS (SELECT count(*) FILTER (ci_high < 0) AS harmed, count(*) FILTER (dist = 'ID' AND ci_low > 0) AS won FROM c)
     SELECT harmed, won, CASE WHEN harmed > 0 THEN 'HARM' WHEN won > 0 THEN 'WIN' ELSE 'NULL_RESULT' END AS verdict FROM v""")
 def add05(spark, sf_dir):
-    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=50)
+    ci = comparing.cluster_bootstrap(items(spark, sf_dir), ["dist"], "video", delta(), draws=2000)
     return comparing.arm_verdict(ci.withColumnRenamed("dist", "cell"), ["ID"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import answers, questions
 from gaugeworks.functions.draws import order_key, uniform
 from gaugeworks.operators import comparing, gates, labelling, ranking, sampling, sequences
+from gaugeworks.operators.ranges import running_totals
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.plans.texts import FLAGS, SAMPLES, flag_texts, sample_rows
 from gaugeworks.registry import query
@@ -193,8 +194,8 @@ def jon16(spark, sf_dir):
 @query("smp12_whole_groups_to_budget", f"""WITH {ITEMS}, s AS (SELECT video, count(*) AS n, md5('12|g|' || video) AS o FROM ev GROUP BY video), r AS (SELECT video, n, sum(n) OVER (ORDER BY o, video) AS running FROM s) SELECT video, n FROM r WHERE running <= 500""")
 def smp12(spark, sf_dir):
     sizes = items(spark, sf_dir).groupBy("video").agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(Window.orderBy(order_key(12, "g", F.col("video")), "video").rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("running", running).filter("running <= 500").select("video", "n")
+    hashed = sizes.withColumn("o", order_key(12, "g", F.col("video")))
+    return running_totals(hashed, ["o", "video"], {"running": "n"}).filter("running <= 500").select("video", "n")
 
 
 @query("smp14_closure_inventory", f"WITH {ITEMS}, n AS (SELECT video, list_sort(list(DISTINCT template)) AS have FROM ev WHERE correct_a = 1 AND k < 30 GROUP BY video) SELECT video, len(have) AS present, 7 - len(have) AS absent FROM n")

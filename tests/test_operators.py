@@ -302,3 +302,57 @@ def test_parse_count(spark, text, want, status):
 )
 def test_swap_sides(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(questions.swap_sides(F.col("t"))).first()[0] == want
+
+
+def test_running_totals(spark):
+    from gaugeworks.operators.ranges import running_totals
+
+    rows = [(i * 37 % 101, i % 7) for i in range(101)]
+    out = running_totals(spark.createDataFrame(rows, "k long, v long").withColumn("one", F.lit(1)), ["-v", "k"], {"rank": "one", "upto": "v"}).collect()
+    total, want = 0, set()
+    for n, (k, v) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        total += v
+        want.add((k, n, total))
+    assert {(r.k, r["rank"], r.upto) for r in out} == want
+    assert running_totals(spark.createDataFrame([], "k long, v long"), ["k"], {"upto": "v"}).collect() == []
+
+
+def test_sign_test_of_many(spark):
+    from math import comb
+
+    cases = [(0, 1), (3, 10), (5, 10), (480, 1000), (900, 2000), (2400, 5000), (0, 3000)]
+    got = spark.createDataFrame(cases, "k int, n int").select(comparing.sign_test(F.col("k"), F.col("n"))).collect()
+    want = [min(1.0, float(2 * sum(comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)) for k, n in cases]
+    assert [r[0] for r in got] == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_mass_balanced_against_a_plain_one(spark, sf_dir):
+    from gaugeworks import registry
+
+    registry.load()
+    out = registry.QUERIES["smp06_mass_balanced"](spark, sf_dir).collect()
+    quotas, total = {"train": 0.8, "val": 0.2}, sum(r.n for r in out)
+    room = {s: q * total for s, q in quotas.items()}
+    want = {}
+    for r in sorted(out, key=lambda r: (-r.n, r.video)):
+        s = max(sorted(quotas), key=lambda x: (room[x] / (quotas[x] * total), x))
+        room[s] -= r.n
+        want[r.video] = s
+    assert {r.video: r.split for r in out} == want
+    with pytest.raises(ValueError):
+        sampling.mass_balanced(spark.createDataFrame([(1, 2), (2, 2)], "k int, n int"), "k", "n", quotas, most=1)
+
+
+def test_linear_probe_learns(spark):
+    from gaugeworks.operators import features
+
+    rng = np.random.default_rng(1)
+    rows = [([float(x) for x in rng.normal(3.0 * (i % 3 == 0), 1, 20)] + [float(4.0 * (i % 3 == 1))], i % 3, i % 5 == 0) for i in range(300)]
+    out = features.linear_probe(spark.createDataFrame(rows, "v array<double>, y int, held boolean"), "v", "y", "held").collect()
+    assert out and max(x for r in out for x in r if isinstance(x, float)) > 0.9
+
+
+def test_points_and_lists(spark):
+    row = spark.createDataFrame([('See [[1, 2], {"x": 3, "y": 4}]', "1. a\n2) b\n7. c", '[{"point_2d": [1, 2]}, {"point_2d": [3,', " 12 ")], "a string, b string, c string, d string")
+    got = row.select(answers.points_in(F.col("a")).alias("p"), answers.last_number(F.col("b")), answers.count_points(F.col("c")), answers.bare_count(F.col("d")), answers.points_in(F.col("b"))).first()
+    assert got.p.status == "ok" and [(x.x, x.y) for x in got.p.points] == [(1, 2), (3, 4)] and tuple(got)[1:4] == (7, 1, 12) and got[4].status == "unparseable"
