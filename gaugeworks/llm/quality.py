@@ -220,8 +220,9 @@ def resample(
     seed: int = 6,
     bits: int = BITS,
     sample_rows: int = SAMPLE_ROWS,
+    narrow: bool = False,
 ) -> DataFrame:
-    """``docs`` with all its columns and _n_grams, _log_weight, _score, _kept.
+    """``docs`` with all its columns (``narrow``: without the text, and written) and _n_grams, _log_weight, _score, _kept.
 
     Gumbel top-k over all documents: ``_score`` is the log weight plus noise, and the k
     largest are kept (ties at the k-th all stay).  Without k, it is the number of documents
@@ -237,7 +238,11 @@ def resample(
     n_grams, log_weight, score_col, kept = free_names(docs, "_n_grams", "_log_weight", "_score", "_kept")
     score = F.col(log_weight) + gumbel(id_col, seed)
     everything = scored(docs, ratios, n_grams, log_weight, text_col, bits).withColumn(score_col, score)
-    scores = materialise(everything.select(F.col(score_col).alias("score")), "scores")
+    if narrow:
+        everything = materialise(everything.drop(text_col), "scored")
+        scores = everything.select(F.col(score_col).alias("score"))
+    else:
+        scores = materialise(everything.select(F.col(score_col).alias("score")), "scores")
     if k is None:
         own = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample.withColumnRenamed("_label_id", id_col)), id_col).filter(~fits(F.col(text_col)))
         fitted = scored(own, ratios, n_grams, log_weight, text_col, bits).groupBy(id_col, "good").agg(F.first(log_weight).alias(log_weight))
@@ -249,7 +254,7 @@ def resample(
 
 def decisions(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
     """doc_id, n_grams, log_weight, score, kept: one row per document."""
-    found = resample(docs.select("doc_id", "text"), labels, **more)
+    found = resample(docs.select("doc_id", "text"), labels, narrow=True, **more)
     return found.select("doc_id", F.col("_n_grams").alias("n_grams"), F.col("_log_weight").alias("log_weight"), F.col("_score").alias("score"), F.col("_kept").alias("kept"))
 
 
