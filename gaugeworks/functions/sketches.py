@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+WIDTH = 5
 
-def shingle_hashes(text: Column, width: int = 5) -> Column:
-    """xxhash64 of every run of ``width`` lower-cased words; of all words where there are fewer, none for an empty text."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    last = F.greatest(F.size(words) - width, F.lit(0))
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, width)))
-    return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<long>"))
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_hashes(texts: pd.Series) -> pd.Series:
+    """XXH64 of every run of five lower-cased words; of all words where there are fewer, none for an empty text."""
+
+    def one(text: str | None) -> np.ndarray:
+        words = (text or "").lower().split()
+        runs = [" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))] if words else []
+        return np.array([xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs], np.uint64).view(np.int64)
+
+    return texts.map(one)
 
 
 @F.pandas_udf(T.LongType())

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.draws import uniform
 
+#: Cluster means that are broadcast at most; more are joined by shuffling.
+BROADCAST_CLUSTERS = 200_000
+
 
 def pair_arms(control: DataFrame, arm: DataFrame, key: str = "qid", value: str = "correct") -> DataFrame:
     """Strict one-to-one pairing: raises unless both have the same, unique keys."""
@@ -63,9 +66,13 @@ def cluster_bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, value: C
     join is on (cell, number): nothing is gathered in one task, and the same on any cluster.
     """
     means = cluster_means(rows, by, cluster, value)
-    slots = means.select(*by, F.col("number").alias("slot"), "clusters").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # Dealt to all cores before it grows by the draws; the means are broadcast as long as they are few.
+    slots = means.select(*by, F.col("number").alias("slot"), "clusters").repartition(rows.sparkSession.sparkContext.defaultParallelism, *by, "slot")
+    slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     drawn = slots.withColumn("number", F.floor(uniform(seed, "c", *(F.col(c) for c in by), F.col("replicate"), F.col("slot")) * F.col("clusters")).cast("int"))
-    picked = drawn.select(*by, "replicate", "number").join(means.select(*by, "number", "mean"), [*by, "number"])
+    numbered = means.select(*by, "number", "mean")
+    numbered = F.broadcast(numbered) if numbered.count() <= BROADCAST_CLUSTERS else numbered
+    picked = drawn.select(*by, "replicate", "number").join(numbered, [*by, "number"])
     replicates = picked.groupBy(*by, "replicate").agg(F.avg("mean").alias("m"))
     tail = (1 - level) / 2
     ci = replicates.groupBy(*by).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
