@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions.draws import uniform
 
 #: Cluster means that are broadcast at most; more are joined by shuffling.
 BROADCAST_CLUSTERS = 200_000
+#: Distinct values of a cluster that the two-level bootstrap takes at most.
+MAX_VALUES = 1024
 
 
 def pair_arms(control: DataFrame, arm: DataFrame, key: str = "qid", value: str = "correct") -> DataFrame:
@@ -80,24 +85,50 @@ def cluster_bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, value: C
     return point.join(ci, list(by)).select(*by, "n", "n_clusters", "point", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 
-def hierarchical_bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, key: str, value: Column, draws: int = 50, seed: int = 0) -> DataFrame:
-    """Two levels: clusters, then rows within each drawn cluster; percentile interval of the mean of means."""
-    numbered = rows.select(*by, F.col(cluster).alias("cluster"), value.alias("v"), (F.row_number().over(Window.partitionBy(*by, cluster).orderBy(key)) - 1).alias("i"))
+def hierarchical_bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, value: Column, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Two levels: clusters, then rows within each drawn cluster; point and percentile interval of the mean of means.
+
+    Rows enter as counts of the distinct values of their cluster, and a resample of n rows
+    is one multinomial draw over those counts, so the work is draws x clusters whatever the
+    number of rows.  A cluster's draws come from a generator seeded by its own name, one for
+    each time that a replicate took it, in the order of the replicates: the same on any
+    partitioning and after any retry.  Raises where a cluster has more than MAX_VALUES
+    distinct values (scores have few; measurements need rounding first).
+    """
+    cells = rows.select(*by, F.col(cluster).alias("cluster"), value.cast("double").alias("v")).filter("v is not null").groupBy(*by, "cluster", "v").agg(F.count(F.lit(1)).alias("n"))
+    most = cells.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if most and most > MAX_VALUES:
+        raise ValueError(f"a cluster has {most} distinct values, at most {MAX_VALUES} are resampled by counts")
+    values = cells.groupBy(*by, "cluster").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("cells"))
     means = cluster_means(rows, by, cluster, value).withColumnRenamed(cluster, "cluster")
-    slots = means.select(*by, F.col("number").alias("slot"), "clusters").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    cells = [F.col(c) for c in by]
-    drawn = slots.withColumn("number", F.floor(uniform(seed, "c", *cells, F.col("replicate"), F.col("slot")) * F.col("clusters")).cast("int"))
-    clusters = drawn.select(*by, "replicate", "slot", "number").join(means.select(*by, "number", "cluster", "n"), [*by, "number"])
-    inner = clusters.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    inner = inner.withColumn("i", F.floor(uniform(seed, "q", *cells, F.col("replicate"), F.col("slot"), F.col("j")) * F.col("n")).cast("int"))
-    picked = inner.select(*by, "replicate", "slot", "cluster", "i").join(numbered, [*by, "cluster", "i"])
-    per_slot = picked.groupBy(*by, "replicate", "slot").agg(F.avg("v").alias("m"))
-    replicates = per_slot.groupBy(*by, "replicate").agg(F.avg("m").alias("m"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    slots = means.select(*by, F.col("number").alias("slot"), "clusters").repartition(cores, *by, "slot")
+    slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    keys = [F.col(c) for c in by]
+    drawn = slots.select(*by, "replicate", F.floor(uniform(seed, "c", *keys, F.col("replicate"), F.col("slot")) * F.col("clusters")).cast("int").alias("number"))
+    taken = drawn.groupBy(*by, "number").agg(F.collect_list("replicate").alias("taken"))
+    named = means.select(*by, "number", "clusters", "cluster").join(values, [*by, "cluster"]).join(taken.repartition(cores, *by, "number"), [*by, "number"])
+    name = F.concat_ws("|", F.lit(str(seed)), F.lit("q"), *(k.cast("string") for k in keys), F.col("cluster").cast("string"))
+    sums = resampled_means(F.xxhash64(name), F.col("cells.v"), F.col("cells.n"), F.col("taken"), F.lit(draws))
+    each = named.select(*by, "clusters", F.posexplode(sums).alias("replicate", "s"))
+    replicates = each.groupBy(*by, "replicate").agg((F.sum("s") / F.max("clusters")).alias("m"))
     ci = replicates.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     point = means.groupBy(*by).agg(F.avg("mean").alias("point"), F.count(F.lit(1)).alias("n_clusters"))
     return point.join(ci, list(by)).select(*by, "n_clusters", "point", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def resampled_means(key: pd.Series, values: pd.Series, counts: pd.Series, taken: pd.Series, draws: pd.Series) -> pd.Series:
+    """For each replicate: the sum of the means of as many resamples as it took of the cluster (``taken``: its replicates, in any order)."""
+    out = []
+    for k, v, n, replicates, d in zip(key, values, counts, taken, draws):
+        n = np.asarray(n, dtype=np.int64)
+        size = int(n.sum())
+        picked = np.random.default_rng(int(k) % (1 << 64)).multinomial(size, n / size, size=len(replicates))
+        out.append(np.bincount(np.sort(replicates), weights=picked @ np.asarray(v, dtype=float) / size, minlength=d))
+    return pd.Series(out)
+
+
 def jackknife(rows: DataFrame, by: Sequence[str], cluster: str, value: Column) -> DataFrame:
     """Leave-one-cluster-out means in closed form: lo, hi, spread, worst cluster and its shift."""
     sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")).filter("n > 0")

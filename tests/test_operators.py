@@ -356,3 +356,53 @@ def test_points_and_lists(spark):
     row = spark.createDataFrame([('See [[1, 2], {"x": 3, "y": 4}]', "1. a\n2) b\n7. c", '[{"point_2d": [1, 2]}, {"point_2d": [3,', " 12 ")], "a string, b string, c string, d string")
     got = row.select(answers.points_in(F.col("a")).alias("p"), answers.last_number(F.col("b")), answers.count_points(F.col("c")), answers.bare_count(F.col("d")), answers.points_in(F.col("b"))).first()
     assert got.p.status == "ok" and [(x.x, x.y) for x in got.p.points] == [(1, 2), (3, 4)] and tuple(got)[1:4] == (7, 1, 12) and got[4].status == "unparseable"
+
+
+def test_two_level_bootstrap_against_plain_draws(spark):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    rows = [(cell, f"v{c}", float(x)) for cell, clusters in (("A", 6), ("B", 1)) for c in range(clusters) for x in rng.integers(-1, 2, size=4 + 5 * c)]
+    df = spark.createDataFrame([*rows, ("A", "v0", None), ("A", "empty", None)], "cell string, video string, x double").repartition(3)
+    got = {r.cell: r for r in comparing.hierarchical_bootstrap(df, ["cell"], "video", F.col("x"), draws=150).collect()}
+    names = spark.createDataFrame([(c, v, f"0|q|{c}|{v}") for c, v in {r[:2] for r in rows}], "c string, v string, t string")
+    keys = {(r.c, r.v): r.h for r in names.select("c", "v", F.xxhash64("t").alias("h")).collect()}
+    for cell in "AB":
+        clusters = sorted({v for c, v, _ in rows if c == cell})
+        took = {v: [] for v in clusters}
+        for r in range(150):
+            for slot in range(len(clusters)):
+                u = int(hashlib.md5(f"0|c|{cell}|{r}|{slot}".encode()).hexdigest()[:8], 16) / 2**32
+                took[clusters[int(u * len(clusters))]].append(r)
+        means = [[] for _ in range(150)]
+        for v in clusters:
+            mine = sorted(x for c, w, x in rows if (c, w) == (cell, v))
+            values = sorted(set(mine))
+            counts = [mine.count(x) for x in values]
+            draws = np.random.default_rng(keys[cell, v] % (1 << 64))
+            for r in took[v]:
+                picked = draws.multinomial(len(mine), [n / len(mine) for n in counts])
+                means[r].append(sum(x * n for x, n in zip(values, picked)) / len(mine))
+        low, high = np.percentile([sum(m) / len(clusters) for m in means], [2.5, 97.5])
+        assert got[cell].ci_low == pytest.approx(low) and got[cell].ci_high == pytest.approx(high)
+        assert got[cell].n_clusters == len(clusters) and all(len(m) == len(clusters) for m in means)
+
+
+def test_two_level_bootstrap_is_that_of_resampled_rows(spark):
+    """The interval of 2,000 draws lies where one from rows drawn one by one does."""
+    rng = np.random.default_rng(5)
+    groups = [rng.random(40) < p for p in rng.uniform(0.3, 0.8, size=25)]
+    df = spark.createDataFrame([("A", i, float(x)) for i, g in enumerate(groups) for x in g], "cell string, video int, x double")
+    r = comparing.hierarchical_bootstrap(df, ["cell"], "video", F.col("x")).first()
+    plain = [np.mean([rng.choice(groups[c], 40).mean() for c in rng.integers(0, 25, 25)]) for _ in range(2000)]
+    low, high = np.percentile(plain, [2.5, 97.5])
+    assert abs(r.ci_low - low) < 0.012 and abs(r.ci_high - high) < 0.012
+    assert r.point == pytest.approx(np.mean([g.mean() for g in groups]))
+
+
+def test_two_level_bootstrap_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "cell string, video string, x double")
+    assert comparing.hierarchical_bootstrap(empty, ["cell"], "video", F.col("x"), draws=5).count() == 0
+    many = spark.range(2000).select(F.lit("A").alias("cell"), F.lit("v").alias("video"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError, match="distinct values"):
+        comparing.hierarchical_bootstrap(many, ["cell"], "video", F.col("x"), draws=5)
