@@ -222,3 +222,55 @@ def points_in(text: Column) -> Column:
     whole = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     status = F.when(elements.isNull(), "unparseable").when((F.size(whole) == 0) & (F.size(elements) > 0), "malformed").otherwise("ok")
     return F.struct(status.alias("status"), F.coalesce(whole, F.array().cast("array<struct<x:double,y:double>>")).alias("points"))
+
+
+def canonical_classes(text: Column, accepted: Sequence[str], definitions: str) -> Column:
+    """A class list made legal, or the trimmed text as it is.
+
+    none goes where classes stand beside it.  Unknown parts go only if a known one is left,
+    every part looks like a name, and no unknown one occurs in the served definitions.
+    """
+    known = F.array(*(F.lit(c.lower()) for c in [*accepted, "none"]))
+    is_known = lambda x: F.array_contains(known, F.lower(x))
+    bare = stripped(F.coalesce(text, F.lit("")))
+    parts = F.filter(F.transform(F.split(bare, ","), lambda x: stripped(x)), lambda x: x != "")
+    named = F.filter(parts, lambda x: F.lower(x) != "none")
+    rest = F.when(F.size(named) > 0, named).otherwise(parts)
+    kept, unknown = F.filter(rest, is_known), F.filter(rest, lambda x: ~is_known(x))
+    shaped = F.forall(rest, lambda x: x.rlike(r"^[A-Za-z][A-Za-z \-]{0,30}$"))
+    documented = F.exists(unknown, lambda x: F.contains(F.lit(definitions.lower()), F.lower(x)))
+    legal = F.when((F.size(unknown) > 0) & shaped & (F.size(kept) > 0) & ~documented, kept).otherwise(rest)
+    return F.when(F.exists(parts, is_known), F.array_join(legal, ", ")).otherwise(bare)
+
+
+def meant_and_valid(text: Column, fmt: Column) -> Column:
+    """struct(value, is_zero, parsed, valid): what an answer means, read leniently, and whether a strict reader takes it."""
+    bare = stripped(F.coalesce(text, F.lit("")))
+    number = F.regexp_replace(_nonempty(F.regexp_extract(bare, r"^(\d+)", 1)), r"^0+(?=\d)", "")
+    word = F.nullif(F.lower(F.regexp_extract(bare, r"(?i)^(yes|no)\b", 1)), F.lit(""))
+    is_number = fmt == "number"
+    value = F.when(is_number, number).otherwise(word)
+    valid = F.when(is_number, bare.rlike(r"^\d+$")).otherwise(F.lower(bare).isin("yes", "no"))
+    zero = F.when(is_number, value == "0").otherwise(value == "no")
+    return F.struct(value.alias("value"), F.coalesce(zero, F.lit(False)).alias("is_zero"), value.isNotNull().alias("parsed"), valid.alias("valid"))
+
+
+# How the labelled files say that there is nothing, and mark a reference.
+NO_TOOLS = "no tools detected"
+REFERENCE_TOKEN = "<|object_ref_start|>"
+
+
+def boxes_count(text: Column) -> Column:
+    """struct(count, names, category) of a labelled answer: zero, corrupted_ref, clean, or unparsed with no count."""
+    bare = stripped(F.coalesce(text, F.lit("")))
+    pair = r"\(\s*\d+\s*,\s*\d+\s*\)"
+    names = F.transform(F.regexp_extract_all(bare, F.lit(rf"([A-Za-z][A-Za-z ]*?)\s*{pair}\s*,\s*{pair}"), F.lit(1)), lambda x: stripped(x))
+    refs = (F.length(bare) - F.length(F.replace(bare, F.lit(REFERENCE_TOKEN), F.lit("")))) / len(REFERENCE_TOKEN)
+    category = F.when(F.startswith(F.lower(bare), F.lit(NO_TOOLS)), "zero").when(refs > 0, "corrupted_ref").when(F.size(names) > 0, "clean").otherwise("unparsed")
+    count = F.when(category == "zero", 0).when(category == "corrupted_ref", refs.cast("int")).when(category == "clean", F.size(names))
+    return F.struct(count.alias("count"), F.when(category == "clean", names).otherwise(F.array().cast("array<string>")).alias("names"), category.alias("category"))
+
+
+def padded_video(path: Column) -> Column:
+    """``/VID2/`` as ``/VID02/``; longer numbers keep their digits, without leading zeros."""
+    return F.regexp_replace(F.regexp_replace(path, r"/VID0*(\d+)/", "/VID$1/"), r"/VID(\d)/", "/VID0$1/")

@@ -197,3 +197,41 @@ def halves(pairs: DataFrame, by: str) -> DataFrame:
     each = F.explode(F.array(F.lit("ALL"), F.col(by)))
     rows = pairs.select(each.alias("half"), "correct_a", "correct_b")
     return rows.groupBy("half").agg(F.count(F.lit(1)).alias("n"), (F.avg("correct_b") - F.avg("correct_a")).alias("delta"))
+
+
+def difference_in_differences(cells: DataFrame, key: str, tolerance: float, early: tuple[str, str], late: tuple[str, str]) -> DataFrame:
+    """key, control, effect_a, effect_b, did, verdict from the early and late means of two corpora.
+
+    control is GREEN where the early means agree within the tolerance; verdict says whether
+    both corpora moved alike.  NULL where a mean is missing.
+    """
+    (a0, b0), (a1, b1) = early, late
+    effect_a, effect_b = F.col(a1) - F.col(a0), F.col(b1) - F.col(b0)
+    gap, did = F.abs(F.col(a0) - F.col(b0)), effect_a - effect_b
+    control = F.when(gap <= tolerance, "GREEN").when(gap > tolerance, "RED")
+    verdict = F.when(F.abs(did) <= tolerance, "SAME_EFFECT").when(F.abs(did) > tolerance, "NOT_SEPARABLE")
+    return cells.select(key, control.alias("control"), effect_a.alias("effect_a"), effect_b.alias("effect_b"), did.alias("did"), verdict.alias("verdict"))
+
+
+def run_liveness(log: DataFrame, run: str, order: Sequence[str], gradient: str, loss: str, ends: int = 10) -> DataFrame:
+    """run, n_logged, moved (share of gradients above 0), first, last (mean loss of both ends); NULL values are no entries.
+
+    Only the ends of each run are ranked, and a limit on ranks cuts each run before it is shuffled.
+    """
+    moved = log.groupBy(run).agg(F.count(gradient).alias("n_logged"), F.avg((F.col(gradient) > 0).cast("double")).alias("moved"))
+    losses = log.filter(F.col(loss).isNotNull()).select(run, *order, loss)
+    out = moved
+    for name, by in (("first", [F.asc(c) for c in order]), ("last", [F.desc(c) for c in order])):
+        ranked = losses.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(*by))).filter(F.col("place") <= ends)
+        out = out.join(ranked.groupBy(run).agg(F.avg(loss).alias(name)), run, "left")
+    return out
+
+
+def argument_diff(a: DataFrame, b: DataFrame, key: str, value: str, allowed: Sequence[str]) -> DataFrame:
+    """key, in_a, in_b, declared: arguments that differ, a missing one included; declared if their name has an allowed part."""
+    both = a.select(key, F.col(value).alias("in_a"), F.lit(True).alias("has_a")).join(b.select(key, F.col(value).alias("in_b"), F.lit(True).alias("has_b")), key, "full_outer")
+    differs = both.filter(F.col("has_a").isNull() | F.col("has_b").isNull() | ~F.col("in_a").eqNullSafe(F.col("in_b")))
+    declared = F.lit(False)
+    for part in allowed:
+        declared = declared | F.contains(F.col(key), F.lit(part))
+    return differs.select(key, "in_a", "in_b", declared.alias("declared"))

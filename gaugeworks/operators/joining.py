@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,3 +93,9 @@ def join_rate(wanted: DataFrame, members: DataFrame, key: str) -> DataFrame:
     there = members.select(key).distinct().withColumn("_there", F.lit(1))
     done = wanted.join(there, key, "left").agg(F.count(F.lit(1)).alias("n"), F.count("_there").alias("found"))
     return done.withColumn("join_rate", F.try_divide(F.col("found"), F.col("n")))
+
+
+def resumed(rows: DataFrame, done: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an earlier run has done, and ``make`` of the rows it has not; done twice counts once."""
+    todo = rows.join(done.select(key), key, "left_anti")
+    return done.dropDuplicates([key]).unionByName(make(todo))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import answers, questions
-from gaugeworks.operators import comparing, gates, joining, labelling, ranking, sampling, scoring, sequences
+from gaugeworks.operators import comparing, features, gates, joining, labelling, ranking, sampling, scoring, sequences
 from gaugeworks.plans import ledger
 from gaugeworks.sources import chat
 from gaugeworks.streaming import run_log
@@ -406,3 +406,76 @@ def test_two_level_bootstrap_of_odd_tables(spark):
     many = spark.range(2000).select(F.lit("A").alias("cell"), F.lit("v").alias("video"), F.col("id").cast("double").alias("x"))
     with pytest.raises(ValueError, match="distinct values"):
         comparing.hierarchical_bootstrap(many, ["cell"], "video", F.col("x"), draws=5)
+
+
+@pytest.mark.parametrize(
+    ("text", "legal"),
+    [("None, Clip", "Clip"), ("clip,BAG", "clip, BAG"), ("Clip, Fork", "Clip"), ("Clip, Needle", "Clip, Needle"), ("Clip, 10:02", "Clip, 10:02"), ("Fork", "Fork"), ("none, Fork", "Fork"), (" none ", "none"), ("", ""), (None, "")],
+)
+def test_canonical_classes(spark, text, legal):
+    assert value(spark, answers.canonical_classes(F.col("t"), CLASSES, "A needle is thin."), t=text) == legal
+
+
+@pytest.mark.parametrize(
+    ("text", "fmt", "read"),
+    [("1.", "number", ("1", False, True, False)), ("0", "number", ("0", True, True, True)), ("007 clips", "number", ("7", False, True, False)), ("none", "number", (None, False, False, False)),
+     ("No.", "binary", ("no", True, True, False)), (" YES", "binary", ("yes", False, True, True)), ("yesterday", "binary", (None, False, False, False)), (None, "binary", (None, False, False, False))],
+)
+def test_meant_and_valid(spark, text, fmt, read):
+    assert tuple(value(spark, answers.meant_and_valid(F.col("t"), F.col("f")), t=text, f=fmt)) == read
+
+
+def test_boxes_count_and_padded_video(spark):
+    of = lambda t: tuple(value(spark, answers.boxes_count(F.col("t")), t=t))
+    assert of("No tools detected.") == (0, [], "zero")
+    assert of("hook (1, 2), (3, 4) and big hook(5,6),(7,8)") == (2, ["hook", "and big hook"], "clean")
+    assert of(f"{answers.REFERENCE_TOKEN}hook (1, 2), (3, 4){answers.REFERENCE_TOKEN}") == (2, [], "corrupted_ref")
+    assert of("hook (1, 2)") == of("") == of(None) == (None, [], "unparsed")
+    for path, padded in (("a/VID2/1.png", "a/VID02/1.png"), ("a/VID002/1.png", "a/VID02/1.png"), ("a/VID123/1.png", "a/VID123/1.png"), ("a/VID0/VID7", "a/VID00/VID7")):
+        assert value(spark, answers.padded_video(F.col("t")), t=path) == padded
+
+
+def test_difference_in_differences(spark):
+    df = spark.createDataFrame([("x", 0.5, 0.52, 0.6, 0.61), ("y", 0.5, 0.7, 0.6, 0.6), ("z", None, 0.5, 0.5, 0.5)], "k string, a0 double, b0 double, a1 double, b1 double")
+    got = {r.k: r for r in comparing.difference_in_differences(df, "k", 0.05, ("a0", "b0"), ("a1", "b1")).collect()}
+    assert [got[k].control for k in "xyz"] == ["GREEN", "RED", None]
+    assert [got[k].verdict for k in "xyz"] == ["SAME_EFFECT", "NOT_SEPARABLE", None]
+    assert got["y"].did == pytest.approx(0.2)
+
+
+def test_run_liveness(spark):
+    rows = [("r", i, 0.0 if i == 3 else 1.0, None if i % 2 else float(50 - i)) for i in range(40)] + [("dead", i, None, None) for i in range(2)]
+    got = {r.run: r for r in comparing.run_liveness(spark.createDataFrame(rows, "run string, step int, grad double, loss double"), "run", ["step"], "grad", "loss").collect()}
+    assert (got["r"].n_logged, got["r"].moved, got["r"]["first"], got["r"]["last"]) == (40, 39 / 40, 41.0, 21.0)
+    assert (got["dead"].n_logged, got["dead"].moved, got["dead"]["first"]) == (0, None, None)
+
+
+def test_argument_diff(spark):
+    a = spark.createDataFrame([("lr", "1"), ("model", "x"), ("same", None), ("only_a", None)], "k string, v string")
+    b = spark.createDataFrame([("lr", "2"), ("model", "y"), ("same", None), ("only_b", "1")], "k string, v string")
+    got = {tuple(r) for r in comparing.argument_diff(a, b, "k", "v", ["model"]).collect()}
+    assert got == {("lr", "1", "2", False), ("model", "x", "y", True), ("only_a", None, None, False), ("only_b", None, "1", False)}
+
+
+def test_resumed_run(spark):
+    rows = spark.range(10).withColumnRenamed("id", "key")
+    seen = []
+
+    def make(todo):
+        seen.extend(r.key for r in todo.collect())
+        return todo.select("key", (F.col("key") * 2).alias("v"))
+
+    done = spark.createDataFrame([(1, 100), (1, 100), (4, 400)], "key long, v long")
+    assert {tuple(r) for r in joining.resumed(rows, done, "key", make).collect()} == {(k, k * 100 if k in (1, 4) else 2 * k) for k in range(10)}
+    assert sorted(seen) == [0, 2, 3, 5, 6, 7, 8, 9]
+
+
+def test_one_vs_rest_probe(spark):
+    rng = np.random.default_rng(2)
+    rows = [([float(x) for x in rng.normal(0, 0.3, 4) + 3 * np.eye(4)[c]], c, i % 4 == 0) for i, c in enumerate(np.repeat([0, 1, 2], [60, 25, 10]).tolist())]
+    df = spark.createDataFrame(rows, "x array<double>, y int, held boolean")
+    for r in features.one_vs_rest_probe(df, "x", "y", "held").collect():
+        assert r.exact > 0.95 and r.n == sum(h == r.held for _, _, h in rows)
+    alike = features.one_vs_rest_probe(df.withColumn("y", F.lit(7)), "x", "y", "held").collect()
+    assert all(r.exact == 1 and r.n_named == 1 for r in alike)
+    assert features.one_vs_rest_probe(df.limit(0), "x", "y", "held").count() == 0
