@@ -146,3 +146,38 @@ def answer_profile(rows: DataFrame, by: Sequence[str], answer: str, correct: str
 def weight_for_share(share: Column, target: float) -> Column:
     """The weight that gives rows of a share the target share, all others weighing 1."""
     return F.try_divide(F.lit(target) * (1 - share), share * F.lit(1 - target))
+
+
+def point_scores(points: Column, regions: Column) -> Column:
+    """struct(n_points, n_inside, precision, n_covered, coverage) of points against boxes (x0, y0, x1, y1), edges included; NULL where a share has no whole."""
+    within = lambda p, r: p["x"].between(r["x0"], r["x1"]) & p["y"].between(r["y0"], r["y1"])
+    inside = F.size(F.filter(points, lambda p: F.exists(regions, lambda r: within(p, r))))
+    covered = F.size(F.filter(regions, lambda r: F.exists(points, lambda p: within(p, r))))
+    n = F.size(points)
+    return F.struct(n.alias("n_points"), inside.alias("n_inside"), F.try_divide(inside, n).alias("precision"), covered.alias("n_covered"), F.try_divide(covered, F.size(regions)).alias("coverage"))
+
+
+def point_report(rows: DataFrame, stratum: str) -> DataFrame:
+    """A row for each stratum, none pooled: failures to parse apart, means over what parsed.
+
+    ``rows`` has status and score (``point_scores``), count_status, count_correct and legal.
+    """
+    ok, counted = F.col("status") == "ok", F.col("count_status") == "ok"
+    mean = lambda when, x: F.avg(F.when(when, x.cast("double")))
+    return rows.groupBy(stratum).agg(
+        F.count(F.lit(1)).alias("n_frames"),
+        F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_point_parse_fail"),
+        F.count_if(~F.coalesce(counted, F.lit(False))).alias("n_count_parse_fail"),
+        mean(ok, F.col("score.n_points")).alias("mean_n_points"),
+        mean(ok, F.col("score.precision")).alias("mean_precision"),
+        mean(ok, F.col("score.coverage")).alias("mean_coverage"),
+        mean(counted, F.col("count_correct")).alias("count_accuracy"),
+        mean(counted, ~F.col("legal")).alias("illegal_rate"),
+    )
+
+
+def point_verdict(report: DataFrame, stratum: str, tolerance: float = 0.25) -> DataFrame:
+    """verdict, spread: collapse where mean numbers of points hardly differ between strata above 0; inconclusive below two strata."""
+    used = report.filter((F.col(stratum) > 0) & F.col("mean_n_points").isNotNull())
+    done = used.agg(F.count(F.lit(1)).alias("n"), (F.max("mean_n_points") - F.min("mean_n_points")).alias("s"))
+    return done.select(F.when(F.col("n") < 2, "inconclusive").when(F.col("s") < tolerance, "collapse").otherwise("individuates").alias("verdict"), F.when(F.col("n") >= 2, F.col("s")).alias("spread"))

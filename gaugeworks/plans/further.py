@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import answers, questions
-from gaugeworks.operators import comparing, features, gates, joining
+from gaugeworks.operators import comparing, features, gates, joining, ranges, sampling, scoring
 from gaugeworks.plans.assembly import ASKED, asked
 from gaugeworks.plans.rounding import rounded
+from gaugeworks.plans.scans import SPLIT
 from gaugeworks.plans.texts import FLAGS, RAW, flag_texts, raw_answers
 from gaugeworks.registry import query
-from gaugeworks.sources import folders, index
+from gaugeworks.sources import chat, folders, index
 from gaugeworks.sources.adapters import ITEMS, items, read
 
 # --- readers
@@ -165,3 +166,58 @@ def idx06(spark, sf_dir):
 def agg74(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
     return features.one_vs_rest_probe(rows, "embedding", "label", "held")
+
+
+POINTS = """pts AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unparseable' WHEN event_id % 13 = 0 THEN 'malformed' ELSE 'ok' END AS status, event_id % 4 AS gold_n, k % 4 AS np,
+        CASE WHEN k % 3 < 2 THEN least(k % 4, event_id % 4) ELSE 0 END AS hit, fmt = 'number' AS counted, answer = event_id % 4 AS count_correct, k % 5 <> 0 AS legal FROM ev),
+    rep AS (SELECT gold_n, count(*) AS n_frames, count(*) FILTER (status <> 'ok') AS n_point_parse_fail, count(*) FILTER (NOT counted) AS n_count_parse_fail, avg(np) FILTER (status = 'ok') AS mean_n_points,
+        avg(hit / np) FILTER (status = 'ok' AND np > 0) AS mean_precision, avg(hit / gold_n) FILTER (status = 'ok' AND gold_n > 0) AS mean_coverage,
+        avg(count_correct::INT) FILTER (counted) AS count_accuracy, avg((NOT legal)::INT) FILTER (counted) AS illegal_rate FROM pts GROUP BY gold_n)"""
+
+
+def pointed(spark, sf_dir):
+    """Answers that are lists of points, k % 4 of them; gold boxes, event_id % 4 of them, ten apart and five wide."""
+    rows = items(spark, sf_dir)
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    gold = (F.col("event_id") % 4).cast("bigint")
+    at = lambda j: F.concat(F.lit("["), (j * 10 + F.col("k") % 3 * 4).cast("string"), F.lit(", 5]"))
+    listed = F.concat(F.lit("So: ["), F.array_join(F.transform(each((F.col("k") % 4).cast("bigint")), at), ", "), F.lit("]"))
+    text = F.when(F.col("event_id") % 11 == 0, "nothing").when(F.col("event_id") % 13 == 0, '["x"]').otherwise(listed)
+    box = lambda j: F.struct((j * 10).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (j * 10 + 5).cast("double").alias("x1"), F.lit(10.0).alias("y1"))
+    read_as = rows.select("fmt", "answer", "k", gold.alias("gold_n"), answers.points_in(text).alias("r"), F.transform(each(gold), box).alias("regions"))
+    return read_as.select(
+        "gold_n",
+        F.col("r.status").alias("status"),
+        scoring.point_scores(F.col("r.points"), F.col("regions")).alias("score"),
+        F.when(F.col("fmt") == "number", "ok").otherwise("unparsed").alias("count_status"),
+        (F.col("answer") == F.col("gold_n")).alias("count_correct"),
+        (F.col("k") % 5 != 0).alias("legal"),
+    )
+
+
+@query("agg63_points_by_stratum", f"WITH {ITEMS}, {POINTS} SELECT gold_n, n_frames, n_point_parse_fail, n_count_parse_fail, round(mean_n_points, 6) AS mean_n_points, round(mean_precision, 6) AS mean_precision, round(mean_coverage, 6) AS mean_coverage, round(count_accuracy, 6) AS count_accuracy, round(illegal_rate, 6) AS illegal_rate FROM rep")
+def agg63(spark, sf_dir):
+    return rounded(scoring.point_report(pointed(spark, sf_dir), "gold_n"), "mean_n_points", "mean_precision", "mean_coverage", "count_accuracy", "illegal_rate")
+
+
+@query("agg63_point_verdict", f"WITH {ITEMS}, {POINTS}, v AS (SELECT count(*) AS n, max(mean_n_points) - min(mean_n_points) AS s FROM rep WHERE gold_n > 0) SELECT CASE WHEN n < 2 THEN 'inconclusive' WHEN s < 0.25 THEN 'collapse' ELSE 'individuates' END AS verdict, round(s, 6) AS spread FROM v")
+def agg63_verdict(spark, sf_dir):
+    return rounded(scoring.point_verdict(scoring.point_report(pointed(spark, sf_dir), "gold_n"), "gold_n"), "spread")
+
+
+# --- corpus files
+
+
+@query("add09_place_among_equals", f"WITH {ITEMS} SELECT qid, template || '|' || answer AS asked, row_number() OVER (PARTITION BY template, answer ORDER BY qid) AS place FROM ev")
+def add09(spark, sf_dir):
+    """Which of the items with the same question and answer a row takes, in the order of their ids."""
+    rows = items(spark, sf_dir).select("template", "answer", "qid")
+    placed = ranges.place_within(rows, ["template", "answer"], ["qid"], "place")
+    return placed.select("qid", F.concat_ws("|", "template", F.col("answer").cast("string")).alias("asked"), "place")
+
+
+@query("add12_manifest_read_back", f"WITH {ITEMS}, {SPLIT} SELECT dist, video, split FROM sp")
+def add12(spark, sf_dir):
+    path = folders.fresh_path(spark, "manifest")
+    chat.write_manifest(sampling.cluster_split(items(spark, sf_dir), "dist", "video", 0.2), path, ["dist", "video", "split"])
+    return chat.read_manifest(spark, path, ["dist", "video", "split"])

@@ -479,3 +479,25 @@ def test_one_vs_rest_probe(spark):
     alike = features.one_vs_rest_probe(df.withColumn("y", F.lit(7)), "x", "y", "held").collect()
     assert all(r.exact == 1 and r.n_named == 1 for r in alike)
     assert features.one_vs_rest_probe(df.limit(0), "x", "y", "held").count() == 0
+
+
+def test_point_scores_and_verdict(spark):
+    rows = [(1, "ok", [(1.0, 1.0), (9.0, 9.0)], [(0.0, 0.0, 2.0, 2.0)]), (2, "ok", [(1.0, 2.0), (2.0, 1.0)], [(0.0, 0.0, 2.0, 2.0), (5.0, 5.0, 6.0, 6.0)]), (0, "ok", [], []), (2, "unparseable", [], [(0.0, 0.0, 1.0, 1.0)])]
+    df = spark.createDataFrame(rows, "g int, status string, p array<struct<x:double,y:double>>, r array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    df = df.select("g", "status", scoring.point_scores(F.col("p"), F.col("r")).alias("score"), F.lit("ok").alias("count_status"), F.lit(True).alias("count_correct"), F.lit(False).alias("legal"))
+    report = scoring.point_report(df, "g")
+    got = {r.g: r for r in report.collect()}
+    assert (got[1].mean_precision, got[1].mean_coverage) == (0.5, 1.0)
+    assert (got[2].mean_precision, got[2].mean_coverage, got[2].n_point_parse_fail, got[2].illegal_rate) == (1.0, 0.5, 1, 1.0)
+    assert (got[0].mean_n_points, got[0].mean_precision, got[0].mean_coverage) == (0.0, None, None)
+    assert tuple(scoring.point_verdict(report, "g").first()) == ("collapse", 0.0)
+    assert tuple(scoring.point_verdict(report.filter("g < 2"), "g").first()) == ("inconclusive", None)
+
+
+def test_place_within_a_hot_key(spark):
+    from gaugeworks.operators import ranges
+
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 5}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(5)
+    got = {(r.k, r.i): r.place for r in ranges.place_within(df, ["k"], ["i"], "place").collect()}
+    assert got == {(k, i): sum(1 for a, b in rows if a == k and b <= i) for k, i in rows}
