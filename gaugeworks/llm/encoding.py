@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .bpe_automaton import octet_letters
+
 #: Entries of one generation of the look-up table; there are two of them.
 CACHE_CHUNKS = 500_000
 CACHED_OCTETS = 64
@@ -35,13 +37,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def octet_letters() -> dict[int, str]:
-    """The letter that stands for each octet in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [x for x in range(256) if x not in printable]
-    return {x: chr(x) for x in printable} | {x: chr(256 + k) for k, x in enumerate(rest)}
-
-
 class ChunkTable(dict):
     """Ids of chunks, encoded when first asked for."""
 

@@ -12,7 +12,7 @@ NAMES = {int(re.match(r"op(\d+)_", n)[1]): n for n in queries.QUERIES}
 
 
 def test_one_query_for_each_operator():
-    assert sorted(NAMES) == list(range(1, 11))
+    assert sorted(NAMES) == list(range(1, len(NAMES) + 1)) and len(NAMES) >= 11
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
