@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import link_scores
 from .byte_bpe import round_trip_digests
 from .exact_dedup import exact_dedup
 from .fingerprints import edited_likeness
@@ -14,6 +15,7 @@ from .mixing import mix
 from .packing import pack
 from .quality import decisions
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .tables import table
 from .token_counts import token_counts
 from .token_file import token_file_digest
@@ -65,6 +67,14 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
