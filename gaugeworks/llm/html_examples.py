@@ -86,7 +86,9 @@ def menu(rng: Random) -> str:
 
 
 def teasers(rng: Random) -> str:
-    """A heading over links to other articles."""
+    """A heading over links to other articles, or links around a heading and a line each."""
+    if rng.random() < 0.4:
+        return "<div>" + "".join(f"<a href=/{rng.randrange(999)}><h3>{sentence(rng, rng.randint(2, 6))[:-1]}</h3><p>{sentence(rng, rng.randint(6, 20))}</p></a>" for _ in range(rng.randint(2, 5))) + "</div>"
     return f"<div><h3>{sentence(rng, rng.randint(1, 3))[:-1]}</h3>" + "".join(f"<p>{link(rng, rng.randint(4, 12))}</p>" for _ in range(rng.randint(2, 5))) + "</div>"
 
 
@@ -112,6 +114,8 @@ def article(rng: Random, markup: tuple[str, str], body: str) -> tuple[str, list[
     def linked(text: str) -> str:
         """A link around some words of a longer text."""
         words = told(text).split(" ")
+        if told_apart and rng.random() < 0.06:
+            return f"<a href=/x>{text}</a>"  # only where the mark-up tells that this is the article
         if len(words) > 12 and rng.random() < 0.3:
             at = rng.randrange(len(words) - 4)
             words[at], words[at + 2] = f"<a href=/x>{words[at]}", f"{words[at + 2]}</a>"
@@ -127,10 +131,11 @@ def article(rng: Random, markup: tuple[str, str], body: str) -> tuple[str, list[
         inside = rng.choice((sentence(rng, rng.randint(2, 12)), f"<p>{prose(rng)}</p>", f"{link(rng, 2)} {link(rng, 3)}"))
         return f"{opened[:at]} data-apart>{opened[at + 1:]}{inside}{closed}"
 
+    told_apart = any(x in markup[0] for x in ("article", "main", "content"))
     n = rng.randint(2, 9)
     inner = f"<h{rng.randint(1, 2)}>{told(sentence(rng, rng.randint(2, 9))[:-1])}</h1>".replace("</h1>", "") if rng.random() < 0.8 else ""
     inner = inner + f"</h{inner[2]}>" if inner else ""
-    if not any(x in markup[0] for x in ("article", "main", "content")) or body == "breaks":
+    if not told_apart or body == "breaks":
         inner += f"<p>{linked(sentence(rng, 30))}</p>"  # nothing else tells that this is the article
     if body == "paragraphs":
         inner += "".join(f"<p>{linked(prose(rng))}</p>{amid()}" for _ in range(n))

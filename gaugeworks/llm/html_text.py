@@ -11,6 +11,7 @@ which blocks are main text; nothing else decides.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 from html import unescape
@@ -57,15 +58,21 @@ TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 BLOCK_START = re.compile(r"<(?:" + "|".join(sorted(BLOCK_TAGS)) + r")(?![-\w])", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Beginnings of class names that say what a page has or lacks, not what the element is.
+STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|show|enable|disable|js)(?=[-_A-Z])")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 CONTENT, FRAME, NAMED, HIDDEN, LABELLED = 1, 2, 4, 8, 16
+#: Marks of an element alone: a header or a name of one (frames, unless an article encloses them), what is apart from labelled text, and what wraps a page.
+HEAD, HEAD_NAMED, APART, WRAPS = 32, 64, 128, 256
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
     "in_content", "in_frame", "in_named", "page_has_content", "heading", "list_item", "paragraph", "container_share",
 )
+#: A frame wraps the page if it has so large a share of the words: with all that is marked as content inside, and where nothing is so marked.
+WRAPPER_SHARE, BARE_SHARE = 0.5, 0.9
 #: Pages of every mark-up that the tree is grown on, and its bounds.
-TRAINING_ROUNDS, DEPTH, LEAF = 8, 30, 6
+TRAINING_ROUNDS, DEPTH, LEAF = 16, 30, 6
 
 
 def head_word(name: str) -> str:
@@ -76,32 +83,60 @@ def head_word(name: str) -> str:
     return words[-1] if words else ""
 
 
-def element_flags(name: str, attributes: str, inside: int) -> int:
-    """What an element adds to the flags of what encloses it."""
-    flags = inside
+def marks(name: str, attributes: str) -> int:
+    """What an element says of itself: tag, role, names, whether it is hidden."""
+    own = 0
     if name in CONTENT_TAGS:
-        flags |= CONTENT
-    if name in FRAME_TAGS and not (name == "header" and inside & CONTENT):
-        flags |= FRAME
+        own |= CONTENT
+    if name == "header":
+        own |= HEAD
+    elif name in FRAME_TAGS:
+        own |= FRAME
+    if name in ("html", "body"):
+        own |= WRAPS
     if attributes and attributes.strip("/ \t\r\n"):
         found = {a.lower(): (b or c or d) for a, b, c, d in ATTRIBUTE.findall(attributes)}
-        heads = {head_word(w) for key in ("class", "id") for w in found.get(key, "").split()}
+        heads = {head_word(w) for key in ("class", "id") for w in found.get(key, "").split() if not STATE.match(w)}
         role = found.get("role", "").lower()
         if role in CONTENT_ROLES:
-            flags |= CONTENT
+            own |= CONTENT
         if role in FRAME_ROLES:
-            flags |= FRAME
-        if heads & FRAME_WORDS and not (heads & FRAME_WORDS <= {"header"} and inside & CONTENT):
-            flags |= NAMED
+            own |= FRAME
+        if heads & FRAME_WORDS:
+            own |= HEAD_NAMED if heads & FRAME_WORDS <= {"header"} else NAMED
         elif heads & CONTENT_WORDS:
-            flags |= CONTENT
+            own |= CONTENT
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-            flags |= HIDDEN
+            own |= HIDDEN
         if "data-main" in found:
-            flags |= LABELLED
+            own |= LABELLED
         elif "data-apart" in found:
-            flags &= ~LABELLED
+            own |= APART
+    return own
+
+
+def enclosing_flags(parents: list[int], own: list[int], words: list[int]) -> list[int]:
+    """The flags of what encloses each element, itself among it; parents stand before their children.
+
+    ``html`` and ``body`` are no frames whatever they are called, and neither is an element
+    that has most of the page's words and all elements inside that are marked as content
+    and not as frames, or, on a page without such marks, nearly all words.
+    """
+    n = len(own)
+    within, marked = list(words), [0] * n
+    for k in range(n - 1, 0, -1):
+        within[parents[k]] += within[k]
+        marked[parents[k]] += marked[k] + bool(own[k] & CONTENT and not own[k] & (FRAME | NAMED | HIDDEN))
+    flags = [0] * n
+    for k in range(n):
+        inside, mine = flags[parents[k]] if k else 0, own[k]
+        wraps = mine & WRAPS or not inside & CONTENT and marked[k] == marked[0] and within[k] > (WRAPPER_SHARE if marked[0] else BARE_SHARE) * within[0]
+        if mine & (HEAD | HEAD_NAMED) and not inside & CONTENT:
+            mine |= FRAME if mine & HEAD else NAMED
+        if wraps and mine & (FRAME | NAMED) and (mine & WRAPS or not mine & HEAD):
+            mine &= ~(FRAME | NAMED)
+        flags[k] = (inside | mine & (CONTENT | FRAME | NAMED | HIDDEN | LABELLED)) & ~(LABELLED if mine & APART else 0)
     return flags
 
 
@@ -127,11 +162,13 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str, int]]:
     """Text, words, words in links, flags, tag and container of every block that has text, in page order."""
     html = page or ""
     found: list[tuple[str, int, int, int, str, int]] = []
-    n_elements = 0
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, flags, number
+    parents, own, words_in = [0], [0], [0]  # by element
+    stack: list[tuple[str, int]] = [("", 0)]  # name, number
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
     links: list[str] = []
-    in_link = 0
+    in_link = link_end = 0
+    block_from = block_at = -1  # the first block-level tag from a place on
     ends: dict[str, dict[int, tuple[int, int]]] = {}
 
     def end_of(name: str, opening: int) -> tuple[int, int] | None:
@@ -139,13 +176,29 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str, int]]:
             ends[name] = matching_ends(html, name)
         return ends[name].get(opening)
 
+    def link_ends(opening: int) -> int:
+        """Where the link that starts here has its end tag; 0 if another link starts before."""
+        if "a" not in ends:
+            ends["a"] = {}
+            started = None
+            for tag in tags_named("a").finditer(html):
+                if tag[1]:
+                    if started is not None:
+                        ends["a"][started] = tag.span()
+                    started = None
+                else:
+                    started = tag.start()
+        return ends["a"].get(opening, (0, 0))[0]
+
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
-            name, flags, number = stack[-1]
-            if text and not flags & HIDDEN:
-                container = stack[-2][2] if len(stack) > 1 else number
-                found.append((text, text.count(" ") + 1, len(unescape(" ".join(links)).split()), flags, name, container))
+            if text:
+                name, number = stack[-1]
+                container = stack[-2][1] if len(stack) > 1 else number
+                n_words = text.count(" ") + 1
+                words_in[number] += n_words
+                found.append((text, n_words, len(unescape(" ".join(links)).split()), number, name, container))
             parts.clear()
             links.clear()
 
@@ -155,16 +208,31 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str, int]]:
             if in_link:
                 links.append(text)
 
-    def push(name: str, attributes: str) -> None:
-        nonlocal n_elements
-        n_elements += 1
-        stack.append((name, element_flags(name, attributes, stack[-1][1]), n_elements))
+    def push(name: str, mine: int) -> None:
+        parents.append(stack[-1][1])
+        own.append(mine)
+        words_in.append(0)
+        stack.append((name, len(own) - 1))
+        is_open[name] += 1
+
+    def pop_one() -> str:
+        name, _ = stack.pop()
+        is_open[name] -= 1
+        return name
 
     def pop(name: str) -> None:
-        if any(x[0] == name for x in stack):
-            while stack.pop()[0] != name:
+        if is_open[name] > 0:
+            while pop_one() != name:
                 pass
 
+    def block_before(at: int, stop: int) -> int:
+        """Where the first block-level start tag between two places is; ``stop`` if there is none."""
+        nonlocal block_from, block_at
+        if not block_from <= at <= block_at:
+            block = BLOCK_START.search(html, at)
+            block_from, block_at = at, block.start() if block else len(html)
+        return min(block_at, stop)
+
     at, end = 0, len(html)
     while at < end:
         opening = html.find("<", at)
@@ -199,37 +267,40 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, str, int]]:
         elif name in SKIPPED_TAGS:
             closing = None if slash or attributes.endswith("/") else end_of(name, opening)
             if closing is not None:
-                block = BLOCK_START.search(html, at, closing[0]) if name in FOREIGN_TAGS else None
-                at = block.start() if block else closing[1]
+                block = block_before(at, closing[0]) if name in FOREIGN_TAGS else closing[0]
+                at = block if block < closing[0] else closing[1]
             add(" ")
         elif name == "br":
             add(" ")
         elif name == "a":
             in_link = 0 if slash else 1
+            link_end = 0 if slash or "href" not in attributes.lower() else link_ends(opening)
         elif name in BLOCK_TAGS:
             close()
-            in_link = 0
+            if opening >= link_end:
+                in_link = 0  # only a link that has an end tag goes on in other blocks
             if slash:
                 pop(name)
             elif name not in VOID_TAGS:
                 if name in SELF_CLOSING and stack[-1][0] == name:
-                    stack.pop()
+                    pop_one()
                 elif stack[-1][0] == "p":
-                    stack.pop()  # any block ends a paragraph
-                push(name, attributes)
+                    pop_one()  # any block ends a paragraph
+                push(name, marks(name, attributes))
         elif slash:
             if stack[-1][0] == f"<{name}":
                 close()
-                stack.pop()
-        elif attributes and element_flags("", attributes, 0) & (HIDDEN | NAMED) and not attributes.endswith("/"):
+                pop_one()
+        elif attributes and (mine := marks("", attributes)) & (HIDDEN | NAMED | HEAD_NAMED) and not attributes.endswith("/"):
             closing = end_of(name, opening)  # an inline element that is hidden or named as a frame
-            if closing is not None and BLOCK_START.search(html, at, closing[0]) is None:
+            if closing is not None and block_before(at, closing[0]) == closing[0]:
                 at = closing[1]
             elif closing is not None:
                 close()
-                push(f"<{name}", attributes)
+                push(f"<{name}", mine)
     close()
-    return found
+    flags = enclosing_flags(parents, own, words_in)
+    return [(text, n, in_links, flags[number], name, container) for text, n, in_links, number, name, container in found if not flags[number] & HIDDEN]
 
 
 def features(found: list[tuple[str, int, int, int, str, int]]) -> np.ndarray:
