@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,18 +11,82 @@ from gaugeworks.functions.draws import order_key, uniform
 from gaugeworks.operators.ranges import running_totals
 
 
+#: Cells that rows are matched with on the map side, rows that the driver sorts, and parts of a score that are counted in one pass.
+HOT_CELLS, FEW_ROWS, SCORE_PARTS = 10_000, 5_000, 1024
+
+
+def exactly_k(rows: DataFrame, score: str, ties: Sequence[str], k: int, few: int = FEW_ROWS) -> DataFrame:
+    """The k rows with the largest ``score``; of equal scores those that come first by ``ties``.
+
+    The cut is found by counting: the range of scores is cut into parts, and the part that
+    holds the k-th is cut again, until it has few rows.  Only these are put in order, so
+    ``rows``, which should be a written table, is never sorted.  NULL scores are never
+    drawn.  Equal scores that stay too many are cut by the hash of their ties.
+    """
+    rows = rows.filter(F.col(score).isNotNull())
+    lo, hi, n = rows.agg(F.min(score), F.max(score), F.count(F.lit(1))).first()
+    if k <= 0:
+        return rows.limit(0)
+    if k >= n:
+        return rows
+    above, s = 0, F.col(score)
+    while n > few and lo < hi:
+        part = F.least(F.floor((s - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(SCORE_PARTS))), F.lit(SCORE_PARTS - 1))
+        parts = rows.filter(s.between(lo, hi)).groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.min(s), F.max(s)).orderBy(F.desc("part")).collect()  # SCORE_PARTS at most
+        for _, n, lo, hi in parts:  # noqa: B007
+            if above + n >= k:
+                break
+            above += n
+    within = rows.filter(s.between(lo, hi))
+    if n > few and score != "_tie":
+        rest = exactly_k(within.withColumn("_tie", F.xxhash64(*ties).cast("double")), "_tie", ties, k - above, few).drop("_tie")
+    else:
+        rest = within.orderBy(s.desc(), *ties).limit(k - above)
+    return rows.filter(s > F.lit(hi)).unionByName(rest)
+
+
+def lowest_per_cell(rows: DataFrame, by: Sequence[str], hashed: Column, ties: Sequence[str], quota: Callable[[Column], Column], cells: int = HOT_CELLS) -> DataFrame:
+    """Of every cell the ``quota`` (of the cell's size) rows that come first by a hex hash, then ``ties``.
+
+    Cells with more than a ``cells``-th of all rows (so at most as many) are told of a hash
+    below which rows are surely in, and one above which they are surely out, by their size;
+    only the narrow band between the two is numbered.  So no cell is one task.  The
+    others are numbered whole.
+    """
+    keyed = rows.withColumn("_o", hashed)
+    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    q = quota(F.col("_n")).cast("double")
+    slack = 8 * F.sqrt(F.greatest(q, F.lit(1.0))) + 16
+    named = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    same = lambda: [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    hot = sizes.filter(F.col("_n") * F.lit(cells) > F.lit(total)).select(*named, "_n", q.alias("_q"), ((q - slack) / F.col("_n")).alias("_lo"), ((q + slack) / F.col("_n")).alias("_hi"))
+    told = keyed.join(F.broadcast(hot), same(), "left").select(*keyed.columns, "_n", "_q", "_lo", "_hi")
+    u = F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    told = told.withColumn("_side", F.when(F.col("_n").isNull(), "cold").when(u < F.col("_lo"), "in").when(u < F.col("_hi"), "band").otherwise("out"))
+    own = Window.partitionBy(*by)
+    surely = told.filter("_side in ('in', 'band')").groupBy(*by).agg(F.count_if(F.col("_side") == "in").alias("_in"), F.count_if(F.col("_side") == "band").alias("_band"), F.max("_q").alias("_want"))
+    if surely.filter("_in > _want or _in + _band < _want").limit(1).count():  # the draws are far from even
+        place, n = F.row_number().over(own.orderBy("_o", *ties)), F.count(F.lit(1)).over(own)
+        return keyed.withColumn("_place", place).withColumn("_n", n).filter(F.col("_place") <= q).select(*rows.columns)
+    band = told.filter("_side = 'band'").join(F.broadcast(surely.select(*named, "_in")), same())
+    place = F.row_number().over(own.orderBy("_o", *ties)) + F.col("_in")
+    cold = told.filter("_side = 'cold'").withColumn("_place", F.row_number().over(own.orderBy("_o", *ties))).withColumn("_n", F.count(F.lit(1)).over(own))
+    taken = [told.filter("_side = 'in'"), band.withColumn("_place", place).filter("_place <= _q"), cold.filter(F.col("_place") <= q)]
+    found = taken[0].select(*rows.columns)
+    for more in taken[1:]:
+        found = found.unionByName(more.select(*rows.columns))
+    return found
+
+
 def stratified(rows: DataFrame, by: Sequence[str], key: str, frac: float, least: int = 1, seed: int = 0) -> DataFrame:
     """max(least, n x frac rounded half-even) rows of every stratum, all if it has fewer; no stratum vanishes."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, "s", F.col(key)), key))
-    quota = F.greatest(F.bround(size * F.lit(frac), 0), F.lit(float(least)))
-    return rows.withColumn("_place", place).withColumn("_quota", quota).filter("_place <= _quota").drop("_place", "_quota")
+    return lowest_per_cell(rows, by, order_key(seed, "s", F.col(key)), [key], lambda n: F.greatest(F.bround(n * F.lit(frac), 0), F.lit(float(least))))
 
 
 def equal_per_cell(rows: DataFrame, by: Sequence[str], key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows of every cell."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, "e", F.col(key)), key))
-    return rows.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+    return lowest_per_cell(rows, by, order_key(seed, "e", F.col(key)), [key], lambda n: F.least(n, F.lit(k)))
 
 
 def round_robin(rows: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -60,32 +124,6 @@ def leave_one_out_folds(rows: DataFrame, group: str) -> DataFrame:
     return folds.crossJoin(sizes).select("fold", group, F.when(F.col("fold") == F.col(group), "val").otherwise("train").alias("split"), "n")
 
 
-def mass_balanced(clusters: DataFrame, key: str, mass: str, quotas: dict[str, float], most: int = 2_000_000) -> DataFrame:
-    """key, mass, split: heaviest first, each to the split with the largest relative room left.
-
-    Greedy and sequential by nature, over the table of clusters (one narrow row each);
-    raises if there are more than ``most`` of them, which one task would have to hold.
-    """
-    if clusters.count() > most:
-        raise ValueError(f"more than {most} clusters; split_by_shares deals any number")
-    names = sorted(quotas)
-
-    def fill(pdf):
-        pdf = pdf.sort_values(["m", "k"], ascending=[False, True])
-        room = {s: quotas[s] * pdf["m"].sum() for s in names}
-        whole = dict(room)
-        out = []
-        for m in pdf["m"]:
-            s = max(names, key=lambda x: (room[x] / whole[x] if whole[x] else float("-inf"), x))
-            room[s] -= m
-            out.append(s)
-        return pdf[["k", "m"]].assign(split=out)
-
-    kind = clusters.schema[key].dataType.simpleString()
-    narrow = clusters.select(F.col(key).alias("k"), F.col(mass).cast("double").alias("m"))
-    return narrow.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(fill, f"k {kind}, m double, split string").select(F.col("k").alias(key), F.col("m").alias(mass), "split")
-
-
 def cap_per_bucket(rows: DataFrame, by: Sequence[str], key: str, cap: Column, seed: int = 0) -> DataFrame:
     """At most ``cap`` (an expression over the row's bucket) rows of every bucket."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, "k", F.col(key)), key))
@@ -128,14 +166,3 @@ def apply_split(rows: DataFrame, split: DataFrame, keys: Sequence[str], want: st
     if part.isEmpty():
         raise ValueError(f"the split has no part {want}")
     return rows.join(part, list(keys), "left_semi")
-
-
-def split_by_shares(clusters: DataFrame, stratum: str, cluster: str, shares: dict[str, float], shifted: Column, seed: int = 0) -> DataFrame:
-    """stratum, cluster, split: shifted strata leave whole as val_ood; of the others each part takes its rounded share, the rest trains."""
-    within = Window.partitionBy(stratum)
-    n, place = F.count(F.lit(1)).over(within), F.row_number().over(within.orderBy(order_key(seed, "v2", F.col(cluster)), cluster))
-    named, upto = F.when(shifted, "val_ood"), F.lit(0.0)
-    for name, share in shares.items():
-        upto = upto + F.bround(F.col("_n") * F.lit(share), 0)
-        named = named.when(F.col("_place") <= upto, name)
-    return clusters.select(stratum, cluster, n.alias("_n"), place.alias("_place")).select(stratum, cluster, named.otherwise("train").alias("split"))

@@ -134,13 +134,6 @@ def scl10(spark, sf_dir):
     return flag_texts(spark, sf_dir).select("key", answers.join_set(answers.loose_class_set(loose, ["A", "N", "R"])).alias("found"))
 
 
-@query("scl19_numbers_in_text", "WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(\\d{1,9})'), lambda x: x::INT) AS v FROM documents) SELECT doc_id, len(list_filter(v, lambda x: x <= 500)) AS n, list_last(list_filter(v, lambda x: x <= 500)) AS last FROM n WHERE len(v) > 0")
-def scl19(spark, sf_dir):
-    every = answers.numbers_in(F.col("text"), 500)
-    rows = read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\d")).select("doc_id", every.alias("v"))
-    return rows.select("doc_id", F.size("v").alias("n"), F.try_element_at("v", F.lit(-1)).alias("last"))
-
-
 @query("scl25_classes_by_position", "SELECT p_partkey, array_to_string(list_transform(list_sort(list_filter([{'i': instr(lower(p_type), 'steel'), 'c': 'steel'}, {'i': instr(lower(p_type), 'promo'), 'c': 'promo'}, {'i': instr(lower(p_type), 'small'), 'c': 'small'}], lambda x: x.i > 0)), lambda x: x.c), ',') AS classes FROM part")
 def scl25(spark, sf_dir):
     at = F.array(*(F.struct(F.instr(F.lower("p_type"), c).alias("i"), F.lit(c).alias("c")) for c in ("steel", "promo", "small")))
@@ -198,13 +191,6 @@ def smp12(spark, sf_dir):
     return running_totals(hashed, ["o", "video"], {"running": "n"}).filter("running <= 500").select("video", "n")
 
 
-@query("smp14_closure_inventory", f"WITH {ITEMS}, n AS (SELECT video, list_sort(list(DISTINCT template)) AS have FROM ev WHERE correct_a = 1 AND k < 30 GROUP BY video) SELECT video, len(have) AS present, 7 - len(have) AS absent FROM n")
-def smp14(spark, sf_dir):
-    vocabulary = F.array(*(F.lit(f"T{i}") for i in range(7)))
-    have = items(spark, sf_dir).filter("correct_a = 1 and k < 30").groupBy("video").agg(F.collect_set("template").alias("have"))
-    return have.select("video", F.size("have").alias("present"), F.size(F.array_except(vocabulary, F.col("have"))).alias("absent"))
-
-
 @query("smp23_every_kth", f"WITH {ITEMS}, n AS (SELECT qid, dist, row_number() OVER (PARTITION BY dist ORDER BY qid) AS rn FROM ev) SELECT qid, dist FROM n WHERE (rn - 1) % 25 = 0")
 def smp23(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("dist").orderBy("qid"))

@@ -54,12 +54,6 @@ def smp05(spark, sf_dir):
     return sampling.leave_one_out_folds(items(spark, sf_dir), "grp")
 
 
-@query("smp06_mass_balanced")
-def smp06(spark, sf_dir):
-    clusters = items(spark, sf_dir).groupBy("video").agg(F.count(F.lit(1)).alias("n"))
-    return sampling.mass_balanced(clusters, "video", "n", {"train": 0.8, "val": 0.2})
-
-
 @query("smp18_cap_per_bucket", f"WITH {ITEMS}, s AS (SELECT qid, answer, dist, row_number() OVER (PARTITION BY dist, answer ORDER BY md5('0|k|' || qid), qid) AS p FROM ev) SELECT qid, answer, dist FROM s WHERE p <= CASE WHEN dist = 'ID' THEN 20 ELSE 5 END")
 def smp18(spark, sf_dir):
     cap = F.when(F.col("dist") == "ID", 20).otherwise(5)
@@ -89,13 +83,3 @@ def smp11(spark, sf_dir):
     counted = items(spark, sf_dir).groupBy(op.alias("op")).agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     return rounded(counted.crossJoin(F.broadcast(total)).select("op", "n", (F.col("n") / F.col("total")).alias("share")), "share")
-
-
-@query("smp17_mint_negatives", f"""WITH {ITEMS}, named AS (SELECT video || '-' || template AS video, list_sort(list(DISTINCT grp)) AS have FROM ev GROUP BY 1), a AS (SELECT video, unnest(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(have, x))) AS class FROM named)
-    SELECT video, class, 0 AS answer FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY md5('17|m|' || video || '|' || class), class) AS p FROM a) WHERE p <= 2""")
-def smp17(spark, sf_dir):
-    vocabulary = F.array(*(F.lit(x) for x in ("click", "error", "purchase", "signup", "view")))
-    have = items(spark, sf_dir).groupBy(F.concat_ws("-", "video", "template").alias("video")).agg(F.collect_set("grp").alias("have"))
-    absent = have.select("video", F.explode(F.array_except(vocabulary, F.col("have"))).alias("class"))
-    place = F.row_number().over(Window.partitionBy("video").orderBy(order_key(17, "m", F.col("video"), F.col("class")), "class"))
-    return absent.withColumn("p", place).filter("p <= 2").select("video", "class", F.lit(0).alias("answer"))
