@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.hamming import near_hashes
+
 
 def first_row(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of every key in a stated order (an arbitrary one is never taken)."""
@@ -43,30 +45,15 @@ def upsert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return old.unionByName(new.join(old, list(keys), "left_anti"))
 
 
-def _near(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
-    """h1, h2: distinct hashes of both sides that differ in at most ``bits`` bits, which share one of ``bits + 1`` parts."""
-    if not 0 <= bits < 8:
-        raise ValueError("between 0 and 7 bits")
-    edges = [64 * i // (bits + 1) for i in range(bits + 2)]
-
-    def parted(rows: DataFrame, name: str) -> DataFrame:
-        part = lambda i: F.shiftrightunsigned(F.col(name), edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1 if bits else -1).cast("long"))
-        each = F.array(*(F.struct(F.lit(i).alias("part"), part(i).alias("bits")) for i in range(bits + 1)))
-        return rows.select(F.col("h").alias(name)).distinct().select(name, F.explode(each).alias("p")).select(name, "p.*")
-
-    pairs = parted(left, "h1").join(parted(right, "h2"), ["part", "bits"])
-    return pairs.filter(F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))) <= bits).select("h1", "h2").distinct()
-
-
 def close_hashes(left: DataFrame, right: DataFrame, key: str, other: str, bits: int) -> DataFrame:
-    """Pairs of 64-bit hashes (column ``h``) that differ in at most ``bits`` bits: an equi-join on ``bits + 1`` equal parts.
+    """Pairs of 64-bit hashes (column ``h``) that differ in at most ``bits`` bits, by the index of ``hamming``.
 
     Equal hashes are taken together first on both sides, so copies do not multiply in the
     join; the result has every pair of rows (``close_summary`` has one row for each of the left).
     """
     a = left.select(key, F.col("h").alias("h1"))
     b = right.select(F.col(key).alias(other), F.col("h").alias("h2"))
-    return _near(left, right, bits).join(a, "h1").join(b, "h2").select(key, other, F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))).alias("distance"))
+    return near_hashes(left, right, bits).join(a, "h1").join(b, "h2").select(key, other, "distance")
 
 
 def close_summary(left: DataFrame, right: DataFrame, key: str, bits: int) -> DataFrame:
@@ -76,8 +63,8 @@ def close_summary(left: DataFrame, right: DataFrame, key: str, bits: int) -> Dat
     very hash.  Copies are counted, never expanded into pairs.
     """
     whole = right.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-    distance = F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))
-    found = _near(left, right, bits).join(whole, "h2").groupBy("h1").agg(
+    distance = F.col("distance")
+    found = near_hashes(left, right, bits).join(whole, "h2").groupBy("h1").agg(
         F.sum("n").alias("n_close"),
         F.sum(F.when(distance == 0, F.col("n")).otherwise(0)).alias("n_equal"),
         F.min(F.when(distance > 0, distance)).alias("nearest"),
