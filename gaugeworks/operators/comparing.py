@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugeworks.functions.draws import uniform
+from gaugeworks.operators.resampling import tree_bootstrap
 
 #: Cluster means that are broadcast at most; more are joined by shuffling.
 BROADCAST_CLUSTERS = 200_000
-#: Distinct values of a cluster that the two-level bootstrap takes at most.
-MAX_VALUES = 1024
 
 
 def pair_arms(control: DataFrame, arm: DataFrame, key: str = "qid", value: str = "correct") -> DataFrame:
@@ -86,47 +82,8 @@ def cluster_bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, value: C
 
 
 def hierarchical_bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, value: Column, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Two levels: clusters, then rows within each drawn cluster; point and percentile interval of the mean of means.
-
-    Rows enter as counts of the distinct values of their cluster, and a resample of n rows
-    is one multinomial draw over those counts, so the work is draws x clusters whatever the
-    number of rows.  A cluster's draws come from a generator seeded by its own name, one for
-    each time that a replicate took it, in the order of the replicates: the same on any
-    partitioning and after any retry.  Raises where a cluster has more than MAX_VALUES
-    distinct values (scores have few; measurements need rounding first).
-    """
-    cells = rows.select(*by, F.col(cluster).alias("cluster"), value.cast("double").alias("v")).filter("v is not null").groupBy(*by, "cluster", "v").agg(F.count(F.lit(1)).alias("n"))
-    most = cells.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if most and most > MAX_VALUES:
-        raise ValueError(f"a cluster has {most} distinct values, at most {MAX_VALUES} are resampled by counts")
-    values = cells.groupBy(*by, "cluster").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("cells"))
-    means = cluster_means(rows, by, cluster, value).withColumnRenamed(cluster, "cluster")
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    slots = means.select(*by, F.col("number").alias("slot"), "clusters").repartition(cores, *by, "slot")
-    slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    keys = [F.col(c) for c in by]
-    drawn = slots.select(*by, "replicate", F.floor(uniform(seed, "c", *keys, F.col("replicate"), F.col("slot")) * F.col("clusters")).cast("int").alias("number"))
-    taken = drawn.groupBy(*by, "number").agg(F.collect_list("replicate").alias("taken"))
-    named = means.select(*by, "number", "clusters", "cluster").join(values, [*by, "cluster"]).join(taken.repartition(cores, *by, "number"), [*by, "number"])
-    name = F.concat_ws("|", F.lit(str(seed)), F.lit("q"), *(k.cast("string") for k in keys), F.col("cluster").cast("string"))
-    sums = resampled_means(F.xxhash64(name), F.col("cells.v"), F.col("cells.n"), F.col("taken"), F.lit(draws))
-    each = named.select(*by, "clusters", F.posexplode(sums).alias("replicate", "s"))
-    replicates = each.groupBy(*by, "replicate").agg((F.sum("s") / F.max("clusters")).alias("m"))
-    ci = replicates.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
-    point = means.groupBy(*by).agg(F.avg("mean").alias("point"), F.count(F.lit(1)).alias("n_clusters"))
-    return point.join(ci, list(by)).select(*by, "n_clusters", "point", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def resampled_means(key: pd.Series, values: pd.Series, counts: pd.Series, taken: pd.Series, draws: pd.Series) -> pd.Series:
-    """For each replicate: the sum of the means of as many resamples as it took of the cluster (``taken``: its replicates, in any order)."""
-    out = []
-    for k, v, n, replicates, d in zip(key, values, counts, taken, draws):
-        n = np.asarray(n, dtype=np.int64)
-        size = int(n.sum())
-        picked = np.random.default_rng(int(k) % (1 << 64)).multinomial(size, n / size, size=len(replicates))
-        out.append(np.bincount(np.sort(replicates), weights=picked @ np.asarray(v, dtype=float) / size, minlength=d))
-    return pd.Series(out)
+    """Two levels: clusters, then rows within each drawn cluster; point and percentile interval of the mean of means (``resampling``)."""
+    return tree_bootstrap(rows, by, cluster, value, draws, seed, inner=True).drop("n")
 
 
 def jackknife(rows: DataFrame, by: Sequence[str], cluster: str, value: Column) -> DataFrame:
@@ -158,6 +115,32 @@ def arm_verdict(cells: DataFrame, granting: Sequence[str], cell: str = "cell", l
     return done.withColumn("verdict", F.when(F.col("harmed") > 0, "HARM").when(F.col("won") > 0, "WIN").otherwise("NULL_RESULT"))
 
 
+def paired_verdict(cells: DataFrame, whole: str = "ALL", cell: str = "cell", least: float = 0.01) -> DataFrame:
+    """One row: harmed (cells whose interval lies below zero, sorted), delta of the whole, verdict.
+
+    HARM with any such cell; WIN if there is none, the whole's interval lies above zero and
+    its delta is ``least`` or more; NULL_RESULT otherwise.  A cell without an interval
+    neither harms nor grants.  ``cells``: cell, point, ci_low, ci_high.
+    """
+    of_whole = lambda c: F.max(F.when(F.col(cell) == whole, F.col(c)))
+    told = cells.agg(F.array_sort(F.collect_set(F.when(F.col("ci_high") < 0, F.col(cell)))).alias("harmed"), of_whole("point").alias("delta"), of_whole("ci_low").alias("low"))
+    granted = F.coalesce((F.col("low") > 0) & (F.abs("delta") >= least), F.lit(False))
+    return told.select(F.array_join("harmed", ",").alias("harmed"), "delta", F.when(F.size("harmed") > 0, "HARM").when(granted, "WIN").otherwise("NULL_RESULT").alias("verdict"))
+
+
+def policies(wide: DataFrame, key: str, gold: str, models: Sequence[str]) -> DataFrame:
+    """policy, n, n_right, accuracy: each model alone, and the shorter answer of each two of them (of equal lengths that of the one named first).
+
+    ``wide`` has a row for each key, with the gold and a column for each model; a missing
+    answer is never right, and never the shorter one.
+    """
+    length = lambda m: F.coalesce(F.length(m), F.lit(1 << 30))
+    told = [(m, F.col(m)) for m in models] + [(f"shorter_{a}_{b}", F.when(length(b) < length(a), F.col(b)).otherwise(F.col(a))) for k, a in enumerate(models) for b in models[k + 1 :]]
+    each = wide.select(key, gold, F.inline(F.array(*(F.struct(F.lit(name).alias("policy"), answer.alias("answer")) for name, answer in told))))
+    right = F.coalesce(F.col("answer") == F.col(gold), F.lit(False))
+    return each.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("n_right"), F.avg(right.cast("double")).alias("accuracy"))
+
+
 def within_cluster_delta(rows: DataFrame, cluster: str, score: str, flag: Column, least: int) -> DataFrame:
     """Mean score with and without the flag in every cluster that has ``least`` rows on both sides, and the delta."""
     yes, no = F.when(flag, F.col(score)), F.when(~flag, F.col(score))

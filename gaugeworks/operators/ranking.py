@@ -7,6 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.ranges import running_totals
+from gaugeworks.sources import folders
+
+#: Distinct values of a cell that one window orders at most.
+WINDOW_VALUES = 1_000_000
+
+
+def counts_upto(counted: DataFrame, by: Sequence[str], value: str, n: str, name: str, most: int = WINDOW_VALUES) -> DataFrame:
+    """``counted`` (a row for each value of a cell) with the rows of the cell up to and with the value.
+
+    In a window as long as no cell has more than ``most`` values, else by ranges of all of them.
+    """
+    path = folders.fresh_path(counted.sparkSession, "values")
+    counted.write.parquet(path)
+    counted = counted.sparkSession.read.schema(counted.schema).parquet(path)
+    if (counted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= most:
+        return counted.withColumn(name, F.sum(n).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    summed = running_totals(counted, [*by, value], {"_upto": n})
+    starts = summed.groupBy(*by).agg(F.min(F.col("_upto") - F.col(n)).alias("_start"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return summed.alias("s").join(starts.alias("t"), same).select(*(F.col(f"s.{c}") for c in counted.columns), (F.col("_upto") - F.col("_start")).alias(name))
+
 
 def value_ranks(rows: DataFrame, by: Sequence[str], value: str, weights: Sequence[tuple[str, Column]] = ()) -> DataFrame:
     """by, value, n, rank: average rank of every distinct value, with summed ``weights``.
@@ -14,8 +38,7 @@ def value_ranks(rows: DataFrame, by: Sequence[str], value: str, weights: Sequenc
     Ranks come from running counts over distinct values, so windows see grouped rows only.
     """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(name) for name, c in weights))
-    before = F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("rank", before - (F.col("n") - 1) / 2)
+    return counts_upto(counted, by, value, "n", "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2).drop("upto")
 
 
 def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -24,9 +47,9 @@ def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3)
     expanded = [F.col("pairs")]
     rx = pairs.groupBy(*by, x).agg(F.sum("pairs").alias("nx"))
     ry = pairs.groupBy(*by, y).agg(F.sum("pairs").alias("ny"))
-    rank_x = F.sum("nx").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("nx") - 1) / 2
-    rank_y = F.sum("ny").over(Window.partitionBy(*by).orderBy(y).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("ny") - 1) / 2
-    joined = pairs.join(rx.withColumn("rx", rank_x), [*by, x]).join(ry.withColumn("ry", rank_y), [*by, y])
+    rank_x = counts_upto(rx, by, x, "nx", "upto").select(*by, x, (F.col("upto") - (F.col("nx") - 1) / 2).alias("rx"))
+    rank_y = counts_upto(ry, by, y, "ny", "upto").select(*by, y, (F.col("upto") - (F.col("ny") - 1) / 2).alias("ry"))
+    joined = pairs.join(rank_x, [*by, x]).join(rank_y, [*by, y])
     w, a, b = expanded[0], F.col("rx"), F.col("ry")
     sums = joined.groupBy(*by).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab")

@@ -326,23 +326,6 @@ def test_sign_test_of_many(spark):
     assert [r[0] for r in got] == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
-def test_mass_balanced_against_a_plain_one(spark, sf_dir):
-    from gaugeworks import registry
-
-    registry.load()
-    out = registry.QUERIES["smp06_mass_balanced"](spark, sf_dir).collect()
-    quotas, total = {"train": 0.8, "val": 0.2}, sum(r.n for r in out)
-    room = {s: q * total for s, q in quotas.items()}
-    want = {}
-    for r in sorted(out, key=lambda r: (-r.n, r.video)):
-        s = max(sorted(quotas), key=lambda x: (room[x] / (quotas[x] * total), x))
-        room[s] -= r.n
-        want[r.video] = s
-    assert {r.video: r.split for r in out} == want
-    with pytest.raises(ValueError):
-        sampling.mass_balanced(spark.createDataFrame([(1, 2), (2, 2)], "k int, n int"), "k", "n", quotas, most=1)
-
-
 def test_linear_probe_learns(spark):
     from gaugeworks.operators import features
 
@@ -358,34 +341,48 @@ def test_points_and_lists(spark):
     assert got.p.status == "ok" and [(x.x, x.y) for x in got.p.points] == [(1, 2), (3, 4)] and tuple(got)[1:4] == (7, 1, 12) and got[4].status == "unparseable"
 
 
-def test_two_level_bootstrap_against_plain_draws(spark):
-    import hashlib
-
-    rng = np.random.default_rng(3)
-    rows = [(cell, f"v{c}", float(x)) for cell, clusters in (("A", 6), ("B", 1)) for c in range(clusters) for x in rng.integers(-1, 2, size=4 + 5 * c)]
-    df = spark.createDataFrame([*rows, ("A", "v0", None), ("A", "empty", None)], "cell string, video string, x double").repartition(3)
-    got = {r.cell: r for r in comparing.hierarchical_bootstrap(df, ["cell"], "video", F.col("x"), draws=150).collect()}
-    names = spark.createDataFrame([(c, v, f"0|q|{c}|{v}") for c, v in {r[:2] for r in rows}], "c string, v string, t string")
-    keys = {(r.c, r.v): r.h for r in names.select("c", "v", F.xxhash64("t").alias("h")).collect()}
-    for cell in "AB":
-        clusters = sorted({v for c, v, _ in rows if c == cell})
-        took = {v: [] for v in clusters}
-        for r in range(150):
-            for slot in range(len(clusters)):
-                u = int(hashlib.md5(f"0|c|{cell}|{r}|{slot}".encode()).hexdigest()[:8], 16) / 2**32
-                took[clusters[int(u * len(clusters))]].append(r)
-        means = [[] for _ in range(150)]
-        for v in clusters:
-            mine = sorted(x for c, w, x in rows if (c, w) == (cell, v))
-            values = sorted(set(mine))
-            counts = [mine.count(x) for x in values]
-            draws = np.random.default_rng(keys[cell, v] % (1 << 64))
-            for r in took[v]:
-                picked = draws.multinomial(len(mine), [n / len(mine) for n in counts])
-                means[r].append(sum(x * n for x, n in zip(values, picked)) / len(mine))
-        low, high = np.percentile([sum(m) / len(clusters) for m in means], [2.5, 97.5])
-        assert got[cell].ci_low == pytest.approx(low) and got[cell].ci_high == pytest.approx(high)
-        assert got[cell].n_clusters == len(clusters) and all(len(m) == len(clusters) for m in means)
+@pytest.mark.parametrize(("clusters", "buckets"), [(1, 1), (40, 3), (700, 3), (900, 4096)])
+def test_counts_of_the_tree_are_those_of_draws(clusters, buckets):
+    """Each replicate draws every cluster once on the mean, as many as there are in all, with the spread and the covariance of a multinomial."""
+    from gaugeworks.operators import resampling
+
+    edges = sorted(np.random.default_rng(clusters).integers(0, clusters + 1, buckets - 1).tolist()) if buckets < 10 else list(range(1, 4)) * 1
+    starts = [0, *edges, clusters]
+    draws, total, seen = 400, np.zeros(400), []
+    for bucket in range(len(starts) - 1):
+        n = starts[bucket + 1] - starts[bucket]
+        # A cluster of mean 1 each: the sum is the number of draws that fell into the bucket.
+        sums = resampling.bucket_sums(3, 99, starts, bucket, [[1.0]] * n, [[2]] * n, draws, False) if n else resampling.counts_of(3, 99, starts, bucket, draws).astype(float)
+        assert (sums == resampling.counts_of(3, 99, starts, bucket, draws)).all() and (n or not sums.any())
+        total += sums
+        seen.append((n, sums))
+    assert (total == clusters).all()
+    for n, sums in seen:
+        p = n / clusters
+        assert abs(sums.mean() - n) <= 5 * np.sqrt(clusters * p * (1 - p) / draws) + 1e-9
+        if 0 < p < 1 and clusters * p * (1 - p) > 5:
+            assert 0.75 < sums.var() / (clusters * p * (1 - p)) < 1.3
+
+
+def test_tree_bootstrap_is_that_of_plain_draws(spark, monkeypatch):
+    """One level, hot cells, null cells, clusters of NULLs; leaves small enough that the tree has several levels."""
+    from gaugeworks.operators import resampling
+
+    monkeypatch.setattr(resampling, "LEAF", 16)
+    rng = np.random.default_rng(2)
+    means = {c: rng.normal(size=n) for c, n in (("A", 300), ("B", 1), (None, 20))}
+    rows = [(c, f"v{i:03d}", float(m + d)) for c, ms in means.items() for i, m in enumerate(ms) for d in (-0.5, 0.5)] + [("A", "empty", None)]
+    df = spark.createDataFrame(rows, "cell string, video string, x double")
+    found = set()
+    for n in (1, 5):
+        got = {r.cell: r for r in resampling.tree_bootstrap(df.repartition(n), ["cell"], "video", F.col("x"), draws=800, seed=4).collect()}
+        found.add(tuple(sorted((str(c), r.ci_low, r.ci_high) for c, r in got.items())))
+    assert len(found) == 1
+    for c, ms in means.items():
+        assert (got[c].n, got[c].n_clusters) == (2 * len(ms), len(ms)) and got[c].point == pytest.approx(ms.mean())
+        plain = np.percentile([rng.choice(ms, len(ms)).mean() for _ in range(4000)], [2.5, 97.5])
+        slack = 0.25 * (plain[1] - plain[0]) + 1e-9
+        assert abs(got[c].ci_low - plain[0]) < slack and abs(got[c].ci_high - plain[1]) < slack
 
 
 def test_two_level_bootstrap_is_that_of_resampled_rows(spark):
