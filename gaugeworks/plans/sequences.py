@@ -9,7 +9,7 @@ from gaugeworks.operators import sequences
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.registry import query
 from gaugeworks.sources.adapters import ITEMS, items, read
-from gaugeworks.streaming import run_log
+from gaugeworks.streaming import progress, run_log
 
 PAIRS = "p AS (SELECT video, event_id, t, lag(event_id) OVER w AS before, t - lag(t) OVER w AS gap, abs(answer - lag(answer) OVER w) AS jump FROM ev WINDOW w AS (PARTITION BY video ORDER BY t, event_id))"
 
@@ -111,3 +111,19 @@ def win11(spark, sf_dir):
 def win13(spark, sf_dir):
     rows = items(spark, sf_dir).select(F.col("t").cast("double").alias("ts"), F.col("video").alias("run"), F.col("grp").alias("kind"), F.lit(None).cast("string").alias("stage"))
     return run_log.latest_state(rows).select("run", "ts", "kind", "n_events")
+
+
+@query("win12_throttled_reports", f"""WITH RECURSIVE {ITEMS}, l AS (SELECT video AS run, t, event_id, CASE grp WHEN 'purchase' THEN 'stage' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind, row_number() OVER (PARTITION BY video ORDER BY t, event_id) AS rn, min(t) OVER (PARTITION BY video) AS t0 FROM ev),
+    s AS (SELECT *, count(*) FILTER (kind = 'stage') OVER (PARTITION BY run ORDER BY rn) AS stage, max(CASE WHEN kind <> 'progress' THEN rn END) OVER (PARTITION BY run ORDER BY rn) AS turned FROM l),
+    p AS (SELECT run, rn, event_id, row_number() OVER w AS place, first_value(t) OVER f AS t_old, first_value(event_id) OVER f AS s_old, count(*) OVER f AS held, t AS t_new FROM s WHERE kind = 'progress' WINDOW w AS (PARTITION BY run, stage ORDER BY rn), f AS (PARTITION BY run, stage ORDER BY rn ROWS 63 PRECEDING)),
+    m AS (SELECT s.run, s.rn, max(p.rn) AS at FROM s LEFT JOIN (SELECT p.*, stage FROM p JOIN s USING (run, rn)) p ON p.run = s.run AND p.stage = s.stage AND p.rn <= s.rn GROUP BY ALL),
+    due AS (SELECT run, rn, t, true AS due, t AS reported FROM s WHERE rn = 1
+        UNION ALL SELECT s.run, s.rn, s.t, s.kind <> 'progress' OR s.t - due.reported >= 28800, CASE WHEN s.kind <> 'progress' OR s.t - due.reported >= 28800 THEN s.t ELSE due.reported END FROM due JOIN s ON s.run = due.run AND s.rn = due.rn + 1)
+    SELECT s.run, s.t::DOUBLE AS at, s.event_id AS key, CASE WHEN l2.kind = 'failed' THEN 'failed' ELSE 'running' END AS status, p.event_id AS step, CASE WHEN p.event_id IS NOT NULL THEN 1000000 END AS total,
+           format('{{:.2f}}', 100.0::DOUBLE * nullif(p.event_id, 0) / 1000000)::DOUBLE AS pct, format('{{:.1f}}', CASE WHEN held >= 4 AND p.event_id > s_old AND t_new > t_old THEN (1000000 - p.event_id)::DOUBLE * (t_new - t_old) / (p.event_id - s_old) END)::DOUBLE AS eta_seconds, (s.t - s.t0)::DOUBLE AS elapsed_seconds
+    FROM s JOIN due ON due.run = s.run AND due.rn = s.rn AND due.due JOIN m ON m.run = s.run AND m.rn = s.rn LEFT JOIN p ON p.run = m.run AND p.rn = m.at LEFT JOIN s l2 ON l2.run = s.run AND l2.rn = s.turned""")
+def win12_reports(spark, sf_dir):
+    """Users as runs: purchases start a stage, errors fail, other events are steps."""
+    kind = F.when(F.col("grp") == "purchase", "stage").when(F.col("grp") == "error", "failed").otherwise("progress")
+    log = progress.as_events(items(spark, sf_dir), F.col("video"), F.col("t"), F.col("event_id"), kind, F.col("event_id"), F.lit(1_000_000))
+    return progress.reports(log, 28_800.0)
