@@ -120,26 +120,52 @@ def parse_count(text: Column) -> Column:
     return F.struct(F.regexp_replace(F.coalesce(bare, told, only, F.lit("0")), r"^0+(?=\d)", "").alias("answer"), status.alias("status"))
 
 
+def bare(text: Column) -> Column:
+    """The text without white space at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
 def legality(text: Column, fmt: Column, classes: Sequence[str]) -> Column:
-    """struct(legal, tag) of an answer for its format; the first violation names the tag."""
-    bare = F.trim(F.coalesce(text, F.lit("")))
+    """struct(legal, tag) of an answer for its format; the first violation names the tag, ``ok`` is none.
+
+    Numbers are digits alone; yes or no stand alone; class lists name known classes (or
+    ``none``), whatever the case, and have no two spaces in a row; other answers have a length.
+    """
+    told = bare(text)
     known = F.array(*(F.lit(c.lower()) for c in [*classes, "None"]))
-    unknown = F.filter(F.transform(F.split(bare, ","), lambda x: F.trim(x)), lambda x: ~F.array_contains(known, F.lower(x)))
+    parts = F.filter(F.transform(F.split(F.lower(told), ","), bare), lambda x: x != "")
+    unknown = F.filter(parts, lambda x: ~F.array_contains(known, x))
     number = (
-        F.when(bare.rlike(r"^\d+$"), "ok")
-        .when(bare.rlike(r"^\d+\.$"), "trailing_period")
-        .when(bare.rlike(r"^\d+\.\d+$"), "decimal")
-        .when(bare.rlike(r"^\d+\s*[A-Za-z%]+\.?$"), "number_plus_unit")
-        .when(bare.rlike(r"\d"), "number_in_prose")
+        F.when(told.rlike(r"^\d+$"), "ok")
+        .when(told.rlike(r"^\d+\s*\.$"), "trailing_period")
+        .when(told.rlike(r"^\d+\s*[a-zA-Z]"), "number_plus_unit")
+        .when(told.rlike(r"^\d+[.,]\d+$"), "decimal")
+        .when(told.rlike(r"\d"), "number_in_prose")
         .otherwise("no_digits")
     )
-    binary = F.when(F.lower(bare).isin("yes", "no"), "ok").when(bare.rlike(r"(?i)^(yes|no)\b"), "yesno_plus_text").otherwise("not_yesno")
-    listed = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown_class:"), F.substring(F.element_at(unknown, 1), 1, 24))).otherwise("ok")
-    other = F.when(F.length(bare) > 300, "over_300_chars").otherwise("ok")
-    tag = F.when(bare == "", "empty").when(fmt == "number", number).when(fmt == "binary", binary).when(fmt == "fo_class", listed).otherwise(other)
+    binary = F.when(F.lower(told).isin("yes", "no"), "ok").when(told.rlike(r"(?i)^(yes|no)\b"), "yesno_plus_text").otherwise("not_yesno")
+    listed = (
+        F.when(F.size(parts) == 0, "empty")
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown_class:"), F.substring(F.element_at(unknown, 1), 1, 24)))
+        .when(F.contains(told, F.lit("  ")), "whitespace")
+        .otherwise("ok")
+    )
+    other = F.when(F.length(told) > 300, "over_300_chars").otherwise("ok")
+    tag = F.when(told == "", "empty").when(fmt == "number", number).when(fmt == "binary", binary).when(fmt == "fo_class", listed).otherwise(other)
     return F.struct((tag == "ok").alias("legal"), tag.alias("tag"))
 
 
+def as_number(text: Column) -> Column:
+    """A text as double where it is a plain number (white space around it aside), else NULL."""
+    return F.when(bare(text).rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), bare(text).try_cast("double"))
+
+
+def as_whole(text: Column) -> Column:
+    """The whole part of a number; NULL for what is none."""
+    number = as_number(text)
+    return F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")
+
+
 def split_thinking(text: Column, tag: str = "</think>") -> Column:
     """struct(trace, answer, closed): split at the last closing tag; without one there is no answer."""
     closed = F.contains(text, F.lit(tag))

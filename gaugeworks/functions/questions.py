@@ -143,3 +143,30 @@ def count_label(question: Column) -> Column:
 
 def count_target(label: Column, n: Column) -> Column:
     return F.to_json(F.struct(label.alias("label"), n.alias("counts")))
+
+
+def is_duration(question: Column) -> Column:
+    """Whether a question asks how long something lasts, so that its answer is no place in time."""
+    return F.lower(question).rlike(r"\bhow long\b")
+
+
+def chat_row(system: str, question: Column, answer: Column, is_time: Column, video: Column, start: Column, duration: Column, k: Column, stride: Column, fps: float, n_frames: Column) -> Column:
+    """struct(messages, videos, raw_fps, meta) of a clip's question.
+
+    Frames are every ``stride``-th of the grid of k points, as many as it has after
+    repeated ones and those past the end are taken together.  Times in the answer become
+    times in the clip, as many as they were, unless they say how long something lasts.
+    """
+    grid = frame_indices(start, duration, k, fps, n_frames)
+    taken = F.filter(grid, lambda x, i: i % stride == 0)
+    n = F.size(taken)
+    kind = F.when(is_time & is_duration(question), "2b_elapsed").when(is_time, "2a_relative")
+    told = F.when(kind == "2a_relative", shift_clock(answer, -start)).otherwise(answer)
+    window = F.concat(F.lit("Clip ["), seconds_clock(start), F.lit(" - "), seconds_clock(start + duration), F.lit("] of the procedure."))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.struct(
+        F.array(message("system", F.lit(system)), message("user", F.concat(F.lit("<video>"), window, F.lit("\n"), question)), message("assistant", told)).alias("messages"),
+        F.transform(taken, lambda i: F.concat(video, F.lit("/"), i.cast("string"))).alias("videos"),
+        F.bround(F.when((duration > 0) & (n > 1), (n - 1) / duration).otherwise(1.0), 6).alias("raw_fps"),
+        F.struct(n.alias("k"), k.alias("k_fine"), stride.alias("stride"), kind.alias("time_kind"), answer.alias("gold_original")).alias("meta"),
+    )

@@ -47,13 +47,6 @@ def prj07(spark, sf_dir):
     return rows.select(questions.first_column(rows, ("qID", "qid_", "question_id", "id")).alias("qID"), questions.first_column(rows, ("correctness", "correct")).cast("double").alias("correct"))
 
 
-@query("prj08_first_of_aliases", f"WITH {RAW} SELECT event_id, try_cast(coalesce(nullif(text, ''), k::VARCHAR) AS DOUBLE) AS num, try_cast(coalesce(nullif(text, ''), k::VARCHAR) AS BIGINT) AS whole FROM raw WHERE NOT regexp_matches(text, '^\\s|\\s$|[.]')")
-def prj08(spark, sf_dir):
-    rows = raw_answers(spark, sf_dir).filter(~F.col("text").rlike(r"^\s|\s$|[.]"))
-    first = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("k").cast("string"))
-    return rows.select("event_id", first.try_cast("double").alias("num"), first.try_cast("bigint").alias("whole"))
-
-
 @query("prj09_apply_split", f"WITH {ITEMS}, {SPLIT} SELECT qid FROM ev WHERE (dist, video) IN (SELECT dist, video FROM sp WHERE split = 'train')")
 def prj09(spark, sf_dir):
     rows = items(spark, sf_dir)
@@ -102,14 +95,6 @@ def prj14(spark, sf_dir):
     return rounded(rows, "tolerance")
 
 
-@query("prj18_chat_row_of_frames", """WITH l AS (SELECT l_orderkey AS key, list(l_linenumber ORDER BY l_linenumber) AS v FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey)
-    SELECT key, array_to_string(list_transform(v[1:len(v):2], lambda x: 'f' || x), ',') AS images, ceil(len(v) / 2)::BIGINT AS n, round((len(v) - 1) / 10.0, 6) AS raw_fps FROM l""")
-def prj18(spark, sf_dir):
-    frames = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("v"))
-    images = questions.every_nth(F.transform("v", lambda x: F.concat(F.lit("f"), x.cast("string"))), 2)
-    return rounded(frames.select("key", F.array_join(images, ",").alias("images"), F.size(images).cast("long").alias("n"), ((F.size("v") - 1) / 10.0).alias("raw_fps")), "raw_fps")
-
-
 @query("prj21_nearest_grid_point", """WITH g AS (SELECT event_id, (event_id % 97)::DOUBLE AS x, greatest(1.0::DOUBLE, event_id % 50)::DOUBLE AS dur FROM events), n AS (SELECT event_id, x, dur, least(greatest(round_even(x / (dur / 3), 0), 0), 3) * (dur / 3) AS nearest FROM g)
     SELECT event_id, round(nearest, 6) AS nearest, abs(x - nearest) <= least(5.0::DOUBLE, 1.0 + dur * 4.0::DOUBLE / 360.0::DOUBLE) AS reached FROM n""")
 def prj21(spark, sf_dir):
@@ -133,13 +118,6 @@ def prj33(spark, sf_dir):
     return rows.select("video", comparing.decide(clauses).alias("decision"))
 
 
-@query("prj34_arm_verdict_of_cells", f"""WITH {ITEMS}, c AS (SELECT grp AS cell, avg(correct_b - correct_a) AS d, count(*) AS n FROM ev GROUP BY grp), v AS (SELECT cell, d - 0.02 AS lo, d + 0.02 AS hi FROM c)
-    SELECT count(*) FILTER (hi < 0) AS harmed, count(*) FILTER (cell IN ('click', 'view') AND lo > 0) AS won, CASE WHEN count(*) FILTER (hi < 0) > 0 THEN 'HARM' WHEN count(*) FILTER (cell IN ('click', 'view') AND lo > 0) > 0 THEN 'WIN' ELSE 'NULL_RESULT' END AS verdict FROM v""")
-def prj34(spark, sf_dir):
-    d = items(spark, sf_dir).groupBy(F.col("grp").alias("cell")).agg(F.avg(F.col("correct_b") - F.col("correct_a")).alias("d"))
-    return comparing.arm_verdict(d.select("cell", (F.col("d") - 0.02).alias("ci_low"), (F.col("d") + 0.02).alias("ci_high")), ["click", "view"])
-
-
 @query("prj35_correct_by_format", f"WITH {FLAGS} SELECT key, CASE key % 3 WHEN 0 THEN a = b WHEN 1 THEN len(string_split(a, ', ')) = (CASE WHEN b = 'none' THEN 0 ELSE len(string_split(b, ', ')) END) END AS correct FROM s")
 def prj35(spark, sf_dir):
     fmt = F.element_at(F.array(F.lit("fo_class"), F.lit("number"), F.lit("open")), (F.col("key") % 3 + 1).cast("int"))
@@ -172,15 +150,6 @@ def jon06(spark, sf_dir):
     return rounded(done, "control", "arm")
 
 
-@query("jon08_prepared_answers", f"WITH {ITEMS} SELECT qid, answer = pred AS truth, CASE WHEN fmt = 'fo_class' THEN round(1.0 / (1 + abs(answer - pred)), 6) END AS dice, k % 7 < 3 AS in_target FROM ev WHERE k >= 10")
-def jon08(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    preds, refs = rows.filter("k >= 10").select("qid", "pred"), rows.select("qid", "answer", "k")
-    joined = rows.select("qid", "fmt").join(preds, "qid").join(refs, "qid")
-    dice = F.when(F.col("fmt") == "fo_class", F.lit(1.0) / (1 + F.abs(F.col("answer") - F.col("pred"))))
-    return rounded(joined.select("qid", (F.col("answer") == F.col("pred")).alias("truth"), dice.alias("dice"), (F.col("k") % 7 < 3).alias("in_target")), "dice")
-
-
 @query("jon09_frame_scores", f"WITH {ITEMS}, f AS (SELECT user_id::VARCHAR AS video, round(avg(value), 6) AS score FROM events GROUP BY 1) SELECT qid, grp || '__' || ev.video AS video, correct_a, score FROM ev LEFT JOIN f ON ev.video = f.video")
 def jon09(spark, sf_dir):
     scores = rounded(read(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("frame")).agg(F.avg("value").alias("score")), "score")
@@ -212,29 +181,9 @@ def jon21(spark, sf_dir):
     return each[0].unionByName(each[1]).groupBy("model", "grp").agg(F.sum("correct").cast("long").alias("n_right"), F.count(F.lit(1)).alias("n"))
 
 
-@query("jon22_probe_gate", f"""WITH {ITEMS}, f AS (SELECT dist, template, count(*) AS n, count(*) FILTER (answer = 0) AS z FROM ev GROUP BY ALL), m AS (SELECT dist, avg(correct_a) - 0.5 AS margin FROM ev GROUP BY dist)
-    SELECT CASE WHEN min(margin) > 0 THEN 'GO' WHEN max(margin) <= 0 THEN 'STOP' ELSE 'INDETERMINATE' END AS verdict FROM m""")
-def jon22(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    joined = rows.select("qid", "correct_a").join(rows.select("qid", "dist"), "qid", "left")
-    gates.require(joined, "rows without metadata", F.col("dist").isNotNull())
-    margins = gates.unique(joined, ["qid"]).groupBy("dist").agg((F.avg("correct_a") - 0.5).alias("margin"))
-    return margins.agg(F.when(F.min("margin") > 0, "GO").when(F.max("margin") <= 0, "STOP").otherwise("INDETERMINATE").alias("verdict"))
-
-
 # --- aggregates, orders and sets
 
 
-@query("agg15_policies", f"WITH {FLAGS} SELECT round(avg((a = b)::INT), 6) AS second, round(avg((CASE WHEN len(b) < len(a) THEN b ELSE a END = a)::INT), 6) AS shortest, count(*) AS n FROM s")
-def agg15(spark, sf_dir):
-    rows = flag_texts(spark, sf_dir)
-    a, b = rows.select("key", "a"), rows.select("key", "b")
-    joined = a.join(b, "key")
-    right = lambda c: F.avg((c == F.col("a")).cast("double"))
-    done = joined.agg(right(F.col("b")).alias("second"), right(F.when(F.length("b") < F.length("a"), F.col("b")).otherwise(F.col("a"))).alias("shortest"), F.count(F.lit(1)).alias("n"))
-    return rounded(done, "second", "shortest")
-
-
 @query("agg24_mean_class_f1", f"""WITH {SETS}, e AS (SELECT gold, pred, unnest(list_distinct(list_concat(gold, pred))) AS class FROM os),
     c AS (SELECT class, count(*) FILTER (list_contains(gold, class) AND list_contains(pred, class)) AS tp, count(*) FILTER (NOT list_contains(gold, class)) AS fp, count(*) FILTER (NOT list_contains(pred, class)) AS fn FROM e GROUP BY class)
     SELECT round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1, count(*) AS n_classes FROM c WHERE tp + fn > 0""")
@@ -347,13 +296,6 @@ def smp03(spark, sf_dir):
     return last.select("video", F.when(F.col("grp").isin("error", "purchase"), "val_ood").when(F.col("grp") == "view", "val_id").otherwise("train").alias("split"))
 
 
-@query("smp04_split_with_shift", """WITH c AS (SELECT c_nationkey AS stratum, c_custkey AS cluster FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('4|v2|' || cluster), cluster) AS rn, count(*) OVER (PARTITION BY stratum) AS n FROM c)
-    SELECT stratum, cluster, CASE WHEN stratum = 3 THEN 'val_ood' WHEN rn <= round_even(n * 0.2, 0) THEN 'val_id' WHEN rn <= round_even(n * 0.2, 0) + round_even(n * 0.1, 0) THEN 'test_id' ELSE 'train' END AS split FROM r""")
-def smp04(spark, sf_dir):
-    clusters = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("stratum"), F.col("c_custkey").alias("cluster"))
-    return sampling.split_by_shares(clusters, "stratum", "cluster", {"val_id": 0.2, "test_id": 0.1}, F.col("stratum") == 3, seed=4)
-
-
 @query("smp16_templates_of_numbers", f"WITH {ITEMS}, {ASKED} SELECT event_id, question FROM asked WHERE regexp_matches(lower(question), 'how many\\s+(click|view)')")
 def smp16(spark, sf_dir):
     return asked(spark, sf_dir).filter(F.lower("question").rlike(r"how many\s+(click|view)")).select("event_id", "question")
@@ -485,13 +427,6 @@ def gat15(spark, sf_dir):
     return rows.groupBy("grp", "dist").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gat17_dose_and_mix_gate", f"WITH {ITEMS} SELECT template, count(*) AS n FROM ev GROUP BY template")
-def gat17(spark, sf_dir):
-    rows = gates.class_mix(items(spark, sf_dir), "template")
-    gates.rates_are(rows.withColumn("dosed", F.col("correct_b") == 1), {"dosed": 0.6}, 0.1)
-    return rows.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("gat19_no_held_out_cluster_gate", f"WITH {ITEMS}, {SPLIT} SELECT count(*) AS minted FROM ev WHERE (dist, video) IN (SELECT dist, video FROM sp WHERE split = 'train') AND k % 10 = 0")
 def gat19(spark, sf_dir):
     rows = items(spark, sf_dir)

@@ -14,8 +14,8 @@ from gaugeworks.registry import query
 from gaugeworks.sources import readers
 from gaugeworks.sources.adapters import ITEMS, items, read
 
-TAGS = """b AS (SELECT grp, trim(text) AS t FROM raw WHERE fmt = 'number'), g AS (SELECT grp, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '^\\d+$') THEN 'ok' WHEN regexp_matches(t, '^\\d+\\.$') THEN 'trailing_period'
-    WHEN regexp_matches(t, '^\\d+\\.\\d+$') THEN 'decimal' WHEN regexp_matches(t, '^\\d+\\s*[A-Za-z%]+\\.?$') THEN 'number_plus_unit' WHEN regexp_matches(t, '\\d') THEN 'number_in_prose' ELSE 'no_digits' END AS tag FROM b),
+TAGS = """b AS (SELECT grp, trim(text) AS t FROM raw WHERE fmt = 'number'), g AS (SELECT grp, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '^\\d+$') THEN 'ok' WHEN regexp_matches(t, '^\\d+\\s*\\.$') THEN 'trailing_period'
+    WHEN regexp_matches(t, '^\\d+\\s*[a-zA-Z]') THEN 'number_plus_unit' WHEN regexp_matches(t, '^\\d+[.,]\\d+$') THEN 'decimal' WHEN regexp_matches(t, '\\d') THEN 'number_in_prose' ELSE 'no_digits' END AS tag FROM b),
     c AS (SELECT grp, tag, count(*) AS n FROM g GROUP BY ALL),
     v AS (SELECT grp, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (tag <> 'ok'), 0) / sum(n) AS rate FROM c GROUP BY grp),
     p AS (SELECT grp, tag, n, row_number() OVER (PARTITION BY grp ORDER BY n DESC, tag) AS rn FROM c WHERE tag <> 'ok')"""

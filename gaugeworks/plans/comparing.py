@@ -47,8 +47,8 @@ def jon04(spark, sf_dir):
     return rounded(done, "delta")
 
 
-def _bootstrap(value: str, draws: int) -> str:
-    return f"""m AS (SELECT dist, video, avg({value}) AS mean, count({value}) AS n FROM ev GROUP BY ALL),
+def _bootstrap(value: str, draws: int, table: str = "ev") -> str:
+    return f"""m AS (SELECT dist, video, avg({value}) AS mean, count({value}) AS n FROM {table} GROUP BY ALL),
         w AS (SELECT *, row_number() OVER (PARTITION BY dist ORDER BY video) - 1 AS number, count(*) OVER (PARTITION BY dist) AS clusters FROM m),
         s AS (SELECT dist, number AS slot, clusters, unnest(range({draws})) AS replicate FROM w),
         d AS (SELECT dist, replicate, floor(('0x' || substr(md5('0|c|' || dist || '|' || replicate || '|' || slot), 1, 8))::UBIGINT / 4294967296.0 * clusters)::INT AS number FROM s),

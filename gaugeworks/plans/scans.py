@@ -262,13 +262,6 @@ def snk09(spark, sf_dir):
     return rounded(ledger.sections({"by_group": rows.groupBy("grp").agg(delta), "by_format": rows.groupBy("fmt").agg(delta), "all": rows.agg(delta)}).select("section", "grp", "fmt", "delta"), "delta")
 
 
-@query("snk10_inspection_rows", f"WITH {ITEMS} SELECT qid, correct_a::INT AS correct, fmt, CASE WHEN k >= 20 THEN pred END AS our_answer, answer AS ground_truth FROM ev WHERE k < 90")
-def snk10(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    responses, results = rows.filter("k >= 20").select("qid", F.col("pred").alias("our_answer")), rows.filter("k < 90").select("qid", F.col("correct_a").cast("int").alias("correct"))
-    return rows.select("qid", "fmt", F.col("answer").alias("ground_truth")).join(results, "qid").join(responses, "qid", "left").select("qid", "correct", "fmt", "our_answer", "ground_truth").orderBy("correct", "fmt", "qid")
-
-
 @query("snk11_corpus_pair", "WITH r AS (SELECT conv_id::VARCHAR AS key, count(*) AS n_turns FROM conversations GROUP BY conv_id) SELECT key, n_turns, n_turns AS n_meta FROM r")
 def snk11(spark, sf_dir):
     rows = chat.chat_rows(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")

@@ -56,16 +56,6 @@ def scl13(spark, sf_dir):
     return raw_answers(spark, sf_dir).select("event_id", answers.parse_count(F.col("text")).alias("p")).select("event_id", "p.answer", "p.status")
 
 
-@query("scl17_legality", f"""WITH {RAW}, b AS (SELECT event_id, fmt, trim(text) AS t FROM raw WHERE fmt <> 'fo_class'),
-    g AS (SELECT event_id, fmt, CASE WHEN t = '' THEN 'empty' WHEN fmt = 'number' THEN CASE WHEN regexp_matches(t, '^\\d+$') THEN 'ok' WHEN regexp_matches(t, '^\\d+\\.$') THEN 'trailing_period' WHEN regexp_matches(t, '^\\d+\\.\\d+$') THEN 'decimal' WHEN regexp_matches(t, '^\\d+\\s*[A-Za-z%]+\\.?$') THEN 'number_plus_unit' WHEN regexp_matches(t, '\\d') THEN 'number_in_prose' ELSE 'no_digits' END
-        ELSE CASE WHEN lower(t) IN ('yes', 'no') THEN 'ok' WHEN regexp_matches(t, '(?i)^(yes|no)\\b') THEN 'yesno_plus_text' ELSE 'not_yesno' END END AS tag FROM b)
-    SELECT fmt, tag, count(*) AS n, count(*) FILTER (tag = 'ok') AS legal FROM g GROUP BY ALL""")
-def scl17(spark, sf_dir):
-    rows = raw_answers(spark, sf_dir).filter("fmt <> 'fo_class'")
-    tagged = rows.select("fmt", answers.legality(F.col("text"), F.col("fmt"), ["A", "N", "R"]).alias("l"))
-    return tagged.groupBy("fmt", "l.tag").agg(F.count(F.lit(1)).alias("n"), F.count_if("l.legal").alias("legal"))
-
-
 FLAGS = "s AS (SELECT l_orderkey AS key, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS a, coalesce(string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) FILTER (WHERE l_quantity > 30), 'none') AS b FROM lineitem GROUP BY l_orderkey)"
 
 

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "agg01_stratified_report"
-PLANS = ("scoring", "comparing", "labelling", "ranking", "sampling", "joining", "texts", "sequences", "corpora", "checks", "reports", "scans", "assembly", "further")
+PLANS = ("scoring", "comparing", "labelling", "ranking", "sampling", "minting", "joining", "texts", "sequences", "corpora", "checks", "reports", "scans", "assembly", "further", "probes", "decisions")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -21,7 +21,7 @@ def test_query_agrees_with_sql(spark, sf_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).columns
+    assert registry.QUERIES[name](spark, sf_dir).collect()
 
 
 def test_entry_has_rows(spark):
@@ -43,7 +43,7 @@ def test_close_hashes_against_all_pairs(spark):
     want = {(a, b, (x ^ y).bit_count()) for a, x in values for b, y in values if (x ^ y).bit_count() <= 3}
     assert got == want
     with pytest.raises(ValueError):
-        close_hashes(df, df, "doc_id", "other_id", 8)
+        close_hashes(df, df, "doc_id", "other_id", 65)
 
 
 def test_close_summary_against_all_pairs(spark):
@@ -71,8 +71,5 @@ def test_close_texts_against_all_pairs(spark, sf_dir):
     got = {r.doc_id: (r.n_close, r.n_equal) for r in registry.QUERIES["jon15_close_hashes"](spark, sf_dir).collect()}
     for r in hashed:
         if r.doc_id % 50 == 0:
-            assert got.pop(r.doc_id) == (sum((r.h ^ x.h).bit_count() <= 3 for x in hashed), sum(r.h == x.h for x in hashed))
+            assert got.pop(r.doc_id) == (sum(((r.h ^ x.h) & (1 << 64) - 1).bit_count() <= 8 for x in hashed), sum(r.h == x.h for x in hashed))
     assert not got
-    words = " ".join(f"word{i}" for i in range(400))
-    near = spark.createDataFrame([(words,), (words.replace("word7 ", "other "),)], "t string").select(sketches.simhash(sketches.shingle_hashes(F.col("t"))).alias("h")).collect()
-    assert (near[0].h ^ near[1].h).bit_count() <= 12
