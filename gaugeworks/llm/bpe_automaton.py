@@ -24,18 +24,12 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 
-#: The longest arc is known by so many octets at its start.
-REACH_OCTETS = 3
-
-
-def octet_letters() -> dict[int, str]:
-    """The letter that stands for each octet in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [x for x in range(256) if x not in printable]
-    return {x: chr(x) for x in printable} | {x: chr(256 + k) for k, x in enumerate(rest)}
+from .encoding import octet_letters
 
 
 def letter_octets() -> dict[str, int]:
@@ -82,17 +76,25 @@ def read_merges(path: str) -> Merges:
 
 @dataclass(frozen=True)
 class Automaton:
-    """The compiled tables: ``number``, ``target`` and ``labels`` by id, ``starts`` and ``ends`` (the ranges taken away) by state."""
+    """The compiled tables: ``arcs`` by label (a Latin-1 letter for each octet), ``number``, ``target`` and ``labels`` by id, ``starts`` and ``ends`` (the ranges taken away) by state."""
 
-    arcs: dict[bytes, int]
+    arcs: dict[str, int]
     labels: list[bytes]
     number: list[int]
     target: list[int]
     starts: list[list[int]]
     ends: list[list[int]]
-    reach: dict[bytes, int]
+    longest: int
     special: dict[str, int]
 
+    @cached_property
+    def trie(self) -> ahocorasick.Automaton:
+        """The labels by their first octets: how far a text goes on like one of them."""
+        made = ahocorasick.Automaton()
+        for octets, token in self.arcs.items():
+            made.add_word(octets, token)
+        return made
+
     def has_arc(self, state: int, token: int) -> bool:
         n = self.number[token]
         k = bisect_right(self.starts[state], n)
@@ -100,18 +102,19 @@ class Automaton:
 
     def path(self, word: bytes) -> list[int]:
         """The one accepted path of ``word``."""
-        arcs, reach, number, target, starts, ends, n = self.arcs, self.reach, self.number, self.target, self.starts, self.ends, len(word)
-        token = arcs.get(word)
+        arcs, number, target, starts, ends, reach, longest, n = self.arcs, self.number, self.target, self.starts, self.ends, self.trie.longest_prefix, self.longest, len(word)
+        octets = word.decode("latin-1")  # a letter for each octet
+        token = arcs.get(octets)
         if token is not None:
             return [token]  # a token with an arc anywhere has one from the start
         found: list[int] = []
         places = [0]
         dead: set[int] = set()
         at = state = 0
-        end = min(n, reach.get(word[:REACH_OCTETS], REACH_OCTETS))
+        end = reach(octets[:longest])
         while at < n:
             while end > at:
-                token = arcs.get(word[at:end])
+                token = arcs.get(octets[at:end])
                 if token is not None:
                     x = number[token]
                     k = bisect_right(starts[state], x)
@@ -131,7 +134,7 @@ class Automaton:
             found.append(token)
             places.append(end)
             at, state = end, target[token]
-            end = min(n, at + reach.get(word[at : at + REACH_OCTETS], REACH_OCTETS))
+            end = at + reach(octets[at : at + longest])
         return found
 
     def emit(self, path: Iterable[int]) -> bytes:
@@ -213,12 +216,8 @@ def compile_merges(told: Merges) -> Automaton:
     labels = [told.labels.get(i, b"") for i in range(max(size, *(i + 1 for i in told.special.values()), 0))]
     for content, i in told.special.items():
         labels[i] = content.encode()
-    arcs = {told.labels[t]: t for t in known}
-    reach: dict[bytes, int] = {}
-    for label in arcs:
-        for k in range(1, min(len(label), REACH_OCTETS) + 1):
-            reach[label[:k]] = max(len(label), reach.get(label[:k], 0))
-    return Automaton(arcs, labels, number, [place.get(target[t], 0) for t in range(size)], starts, ends, reach, told.special)
+    arcs = {told.labels[t].decode("latin-1"): t for t in known}
+    return Automaton(arcs, labels, number, [place.get(target[t], 0) for t in range(size)], starts, ends, max(map(len, arcs)), told.special)
 
 
 def with_range(starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:

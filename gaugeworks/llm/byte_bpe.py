@@ -10,11 +10,13 @@ accepts.  Chunks recur, so their ids are remembered.  Decoding emits the arcs' l
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -24,12 +26,14 @@ from .tables import free_names
 
 ID_TYPE = np.dtype("<i4")
 #: Remembered chunks of one generation (there are two), and the longest that are remembered.
-KEPT_CHUNKS, KEPT_POINTS = 300_000, 64
+KEPT_CHUNKS, KEPT_POINTS = 150_000, 64
 TWO_BLANKS = re.compile(r"\s\s")
 #: A single space between two characters that aren't white space.
 SINGLE_SPACE = re.compile(r" (?<=\S )(?=\S)")
 #: Up to this code point, letters are the same in every version of Unicode.
 OLD_LETTERS = "ɏ"
+#: The pre-tokenizer's rule, used up to there.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def default_tokenizer() -> str:
@@ -56,6 +60,17 @@ class Remembered(dict):
             self[key] = value
         return value
 
+    def fill(self, keys: Iterable[str], make: Callable[[list[str]], Iterable[bytes]]) -> None:
+        """Makes those of the keys at once that aren't there and are short enough to stay."""
+        missing = set(keys).difference(self)
+        kept = {k: self.before[k] for k in missing if k in self.before}
+        new = [k for k in missing if k not in kept and len(k) <= KEPT_POINTS]
+        if len(self) + len(missing) > self.most:
+            self.before = dict(self)
+            self.clear()
+        self.update(kept)
+        self.update(zip(new, make(new), strict=True))
+
 
 def chunks(text: str) -> list[str]:
     """The parts of a text between single spaces that have other characters on both sides (or the text's ends, where no white space is doubled)."""
@@ -65,28 +80,36 @@ def chunks(text: str) -> list[str]:
 class TextEncoder:
     """Ids of whole texts as little-endian 32-bit octets."""
 
-    def __init__(self, automaton: Automaton) -> None:
+    def __init__(self, automaton: Automaton) -> None:  # or what has its labels, special tokens and paths
         from tokenizers import pre_tokenizers
 
         self.automaton = automaton
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.first = Remembered(self.ids_of)
-        self.spaced = Remembered(lambda chunk: self.ids_of(" " + chunk))
+        self.spaced = Remembered(self.after_space)
+        self.path = automaton.path
         self.special = {}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.automaton.special, key=len, reverse=True)))) if self.automaton.special else None
         for content, i in self.automaton.special.items():
             self.special[content] = np.array([i], ID_TYPE).tobytes()
 
+    def after_space(self, chunk: str) -> bytes:
+        """Ids of a space and a chunk."""
+        if chunk.isalpha() and max(chunk) <= OLD_LETTERS:
+            return array("i", self.path((" " + chunk).encode())).tobytes()  # a run of letters is one word
+        return self.ids_of(" " + chunk)
+
     def ids_of(self, chunk: str) -> bytes:
         """Ids of a text, word by word."""
         if not chunk:
             return b""
-        if chunk[chunk[0] == " " :].isalpha() and max(chunk) <= OLD_LETTERS:
-            words = [chunk]  # a run of letters is one word
-        else:
+        if max(chunk) > OLD_LETTERS:
             words = [chunk[a:b] for _, (a, b) in self.split(chunk)]
-        path = self.automaton.path
-        return np.array([i for w in words for i in path(w.encode())], ID_TYPE).tobytes()
+        else:
+            words = WORD.findall(chunk)
+        if len(words) == 1:
+            return array("i", self.path(chunk.encode())).tobytes()
+        return b"".join([self.spaced[w[1:]] if w[0] == " " and len(w) > 1 else self.first[w] for w in words])
 
     def plain(self, text: str) -> bytes:
         """Ids of a text in which the strings of special tokens are like any other."""
