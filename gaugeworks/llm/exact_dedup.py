@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
-from .tables import free_names
+from .tables import free_names, row_digest
 
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 CAPACITY = 1024
@@ -107,7 +107,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_id; a null doc_id comes after every other.  A null text counts as empty,
     and all empty texts are one group.  Rows repeated with the same doc_id count
     in ``group_size`` and carry the same ``kept``; ``drop_copies`` leaves one.
-    An empty table gives an empty result.  Other columns are not looked at.
+    An empty table gives an empty result.  Other columns are not looked at.  Ids are
+    numbers (of two the smaller one stays).
     """
     return resolve(materialise(digests(docs, id_col, text_col), "digests"), capacity)
 
@@ -116,7 +117,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns as they were.
 
     Decisions are joined back by (doc_id, digest).  If the same doc_id is repeated
-    with an equal text, one of those rows stays.  Null and empty texts are one group; a
+    with an equal text, the longest of those rows stays, then the one of the least digest
+    of all columns.  Null and empty texts are one group; a
     row without doc_id stays only where no row of its group has one; very long texts are
     compared whole; an empty table stays empty; extra columns may have any names.
     """
@@ -127,6 +129,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(digest, F.sha2(squeezed(F.col(text_col)), 256))
     out = keyed.join(unique, keyed[id_col].eqNullSafe(unique["_keep_id"]) & (keyed[digest] == unique["_keep_digest"]), "left_semi")
     if unique.count() < n_kept:
-        first = Window.partitionBy(id_col, digest).orderBy(F.desc(F.length(F.col(text_col))))
-        out = out.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
+        # One of the rows that share id and text, by partial results: no id is one task.
+        better = F.struct((-F.length(F.col(text_col))).alias("n"), row_digest(docs).alias("d"))
+        out = out.groupBy(id_col, digest).agg(F.min_by(F.struct(*docs.columns), better).alias(rank)).select(f"{rank}.*")
     return out.select(*docs.columns)

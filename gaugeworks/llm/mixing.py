@@ -20,8 +20,9 @@ from math import ceil, exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packing import COPIES, numbered_copies
 from .storage import materialise
-from .tables import free_names
+from .tables import free_names, row_digest
 
 MAX_REPEATS = 1.25
 BLOCK_TOKENS = 1_000_000
@@ -97,6 +98,7 @@ def mix_lengths(
     block_tokens: int = BLOCK_TOKENS,
     bucket_docs: int = BUCKET_DOCS,
     seed: int = 1,
+    apart: str | None = None,
 ) -> DataFrame:
     """The schedule for rows of doc_id, source, n_tokens: one row for each time a document is read.
 
@@ -105,9 +107,21 @@ def mix_lengths(
     all tokens unless given, and is lowered to ``max_repeats`` times that sum if larger.
     A source's documents are taken while the tokens before them are within its part of
     the budget.  A null source is a source of its own; rows of no tokens take no budget.
-    Ties between equal draws go by doc_id.  An empty table gives an empty result.
+    Ties between equal draws go by doc_id, then n_tokens.  An empty table gives an empty result.
+
+    Rows without an id, and those equal to another one, have a number among their like in
+    their draw, so neither is one bucket, and the schedule is the same on any
+    partitioning.  With ``apart`` (a string column, handed on) rows are told apart by it too.
     """
-    rows = rows.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), "n_tokens")
+    more = [apart] if apart else []
+    rows = rows.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), "n_tokens", *more)
+    like = ["doc_id", "source", "n_tokens", *more]
+    n_rows, n_apart = rows.agg(F.count(F.lit(1)), F.count_distinct(F.struct(*like))).first()
+    rows = rows.withColumn("copy", F.lit(0).cast("long")) if n_rows == n_apart else materialise(numbered_copies(rows), "mix-copies")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    told = [F.col("n_tokens"), *map(F.col, more), F.col("copy")]
+    own = F.when(F.col("doc_id").isNull() | (F.col("copy") > 0) | F.lit(bool(apart)), F.concat_ws("|", own, *(c.cast("string") for c in told))).otherwise(own)
+    ties = ["doc_id", "n_tokens", *more, "copy"]
     totals = materialise(source_totals(rows), "sources")
     n_sources, total = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_tokens"), F.lit(0))).first()
     budget = total if budget_tokens is None else budget_tokens
@@ -129,11 +143,11 @@ def mix_lengths(
     passes = (
         rows.join(plan, "source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-        .withColumn("u", draw(F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        .withColumn("u", draw(F.lit(seed), F.col("epoch"), own))
         .withColumn("bucket", F.shiftright(F.col("u") * F.col("n_buckets"), 32))
     )
     keys = ["source", "epoch", "bucket"]
-    inside = Window.partitionBy(*keys).orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy("u", *ties).rowsBetween(Window.unboundedPreceding, -1)
     summed = passes.withColumn("before_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     above = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -144,8 +158,8 @@ def mix_lengths(
     placed = summed.join(offsets, keys).withColumn("start", F.col("epoch") * F.col("source_tokens") + F.col("bucket_start") + F.col("before_in"))
     n_blocks = max(1, ceil(budget / block_tokens))  # times a place in tokens: beyond a long at some 1e12 tokens
     taken = placed.filter("start < part").withColumn("block", F.expr(f"cast(start as decimal(20, 0)) * cast({n_blocks} as decimal(18, 0)) div cast(part as decimal(20, 0))"))
-    order = Window.partitionBy("block").orderBy(draw(F.lit(seed), F.lit("slot"), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "epoch")
-    return taken.select("doc_id", "source", F.col("epoch").cast("long").alias("epoch"), "n_tokens", "weight", "block", F.row_number().over(order).cast("long").alias("slot"))
+    order = Window.partitionBy("block").orderBy(draw(F.lit(seed), F.lit("slot"), F.col("epoch"), own), "doc_id", "epoch", "source", *ties[1:])
+    return taken.select("doc_id", "source", F.col("epoch").cast("long").alias("epoch"), "n_tokens", "weight", "block", F.row_number().over(order).cast("long").alias("slot"), *more)
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -157,8 +171,8 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 def mix(docs: DataFrame, **more) -> DataFrame:
     """The schedule over ``docs`` (doc_id, source, text); see ``mix_lengths``.
 
-    A null text has one token, its end.  Rows repeated with one doc_id count each, with
-    the same draw.  Other columns are not looked at.
+    A null text has one token, its end.  Rows repeated with one doc_id count each.  Other
+    columns are not looked at.
     """
     return mix_lengths(lengths(docs), **more)
 
@@ -166,23 +180,26 @@ def mix(docs: DataFrame, **more) -> DataFrame:
 def take(docs: DataFrame, **more) -> DataFrame:
     """The rows of ``docs`` as often as the schedule reads them, with their columns as they were.
 
-    A doc_id that is repeated in ``docs`` has its rows read as often as the schedule reads
-    any of them, divided evenly: the k-th reading of an id takes its row k modulo their number.
-    Null ids are one repeated id.  Null and empty texts and null sources are rows like any
-    other, ties are broken by doc_id; an empty table gives an empty result; extra columns
-    come out as they were, whatever their names.
+    Where ids are repeated or missing, rows are told apart by all their columns, and rows
+    equal in all are read as often as the schedule reads any of them.  Null and empty
+    texts and null sources are rows like any other; an empty table gives an empty result;
+    extra columns come out as they were, whatever their names and types.
     """
     found = lengths(docs)
-    schedule = materialise(mix_lengths(found, **more).select(F.col("doc_id").alias("_mix_id"), F.col("epoch").alias("_mix_epoch")), "mix")
-    if found.count() == found.select("doc_id").distinct().count():
+    n, n_ids, n_null = found.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if n == n_ids + n_null and n_null <= 1:
+        schedule = materialise(mix_lengths(found, **more).select(F.col("doc_id").alias("_mix_id"), F.col("epoch").alias("_mix_epoch")), "mix")
         joined = docs.join(schedule, docs["doc_id"].eqNullSafe(schedule["_mix_id"]))
         return joined.select([docs[c] for c in docs.columns])
-    own = Window.partitionBy("doc_id").orderBy("text", "source")
-    row, n_rows = free_names(docs, "mix_row", "mix_rows")
-    numbered = docs.withColumn(row, F.row_number().over(own)).withColumn(n_rows, F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    turns = schedule.withColumn("_mix_turn", F.row_number().over(Window.partitionBy("_mix_id").orderBy("_mix_epoch")))
-    same = numbered["doc_id"].eqNullSafe(turns["_mix_id"]) & ((turns["_mix_turn"] - 1) % numbered[n_rows] + 1 == numbered[row])
-    return numbered.join(turns, same).select([numbered[c] for c in docs.columns])
+    digest, times, part, row = free_names(docs, "mix_digest", "mix_times", "mix_part", "mix_row")
+    keyed = docs.withColumn(digest, row_digest(docs))
+    own = keyed.select("doc_id", "source", word_tokens(F.col("text")).alias("n_tokens"), F.col(digest).alias("apart"))
+    read = mix_lengths(materialise(own, "mix-apart"), **more, apart="apart").groupBy(F.col("apart").alias("_mix_digest")).agg(F.count(F.lit(1)).alias("_mix_times"))
+    # One row for those that are equal, then as many as are read, written out in parts that are dealt anew.
+    unique = keyed.groupBy(digest).agg(F.any_value(F.struct(*docs.columns)).alias(row)).join(materialise(read, "mix"), F.col(digest) == F.col("_mix_digest"))
+    parts = unique.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_times") - 1) / COPIES).cast("long")))).repartition(digest, part)
+    left = F.least(F.lit(COPIES).cast("long"), F.col("_mix_times") - F.col(part) * COPIES)
+    return parts.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), left))).select(f"{row}.*")
 
 
 def entropy_of(weights: list[float]) -> float:

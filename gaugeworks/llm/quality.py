@@ -5,13 +5,14 @@ a labelled sample (target), one over the whole corpus (raw).  A document's impor
 is the ratio of the two models' likelihoods, per n-gram and scaled to a reference
 length, so that long texts aren't judged by their length, nor short ones by a few
 words.  Gumbel noise on the log of the weight turns the k largest into a sample without
-replacement (Gumbel top-k); k is given, or is the number of documents that reach the
-cut that best parts the labelled sample.
+replacement (Gumbel top-k); k is given, or is the share of good ones among the labels,
+somewhat raised, of all documents.  No score decides k, so it is the ranking that selects.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,15 @@ from .storage import materialise
 from .tables import free_names
 
 BITS = 16
-#: Labelled rows that the target model and the cut are fitted on, at most.
+#: Labelled rows that the target model is fitted on, at most.
 SAMPLE_ROWS = 20_000
 #: Pseudo-counts that draw the ratio of a rare bucket to 1, as a share of the target's mean count.
 SHRINK = 0.5
 #: Length that weights are scaled to, and n-grams of ratio 1 that every text is taken to have besides its own.
 REFERENCE_GRAMS = 200.0
 NEUTRAL_GRAMS = 100
-#: A good document lost weighs as much as this many bad ones passed, when the cut is fitted.
-KEEP_WEIGHT = 4.0
+#: Part of the bad share that is kept on top of the good share: a good document lost is worse than a bad one passed.
+SLACK = 0.05
 CHUNK = 4096
 #: Groups of tasks whose counts are summed before those of all.
 FIRST_SUMS = 1024
@@ -58,29 +59,25 @@ def gram_buckets(text: str | None, bits: int = BITS) -> np.ndarray:
     return (one & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """_label_id, good, fits: at most ``rows`` labelled documents, by the hash of their id.
-
-    Good: quality 1 and not toxic; bad: quality 0 (of several labels of an id the worst
-    counts); a toxic text of quality 1 is neither.
-    """
+def worst_labels(labels: DataFrame) -> DataFrame:
+    """_label_id, quality, toxic: of several labels of an id the worst counts."""
     usable = labels.filter("doc_id is not null and quality is not null")
-    worst = usable.groupBy(F.col("doc_id").alias("_label_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    return (
-        worst.filter("quality = 0 or toxic = 0")
-        .select("_label_id", (F.col("quality") == 1).alias("good"))
-        .orderBy(F.xxhash64("_label_id"), "_label_id")
-        .limit(rows)
-    )
+    return usable.groupBy(F.col("doc_id").alias("_label_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+
+
+def labelled_sample(worst: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """_label_id, good (true) of at most ``rows`` documents of quality 1 that aren't toxic, by the hash of their id."""
+    return worst.filter("quality = 1 and toxic = 0").select("_label_id", F.lit(True).alias("good")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(rows)
 
 
-def fits(text: Column) -> Column:
-    """Whether a labelled text belongs to the half that makes the models; copies of a text are all in one half."""
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(2)), F.lit(2)) == 0
+def good_share(worst: DataFrame) -> float | None:
+    """Share of labelled documents of quality 1; None where all are alike, or there are none."""
+    n, n_good = worst.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
+    return n_good / n if 0 < n_good < n else None
 
 
 def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, bits: int = BITS) -> np.ndarray:
-    """Counts of every bucket: row 0 over all documents (raw), row 1 over the fitting half's good ones (target).
+    """Counts of every bucket: row 0 over all documents (raw), row 1 over the sample's (target).
 
     Each task sums its documents and sends arrays in chunks.  These are summed in two
     steps, first those of some of the tasks and then all, so that no reducer reads the
@@ -89,7 +86,7 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str,
     size = 1 << bits
     step = min(CHUNK, size)
     marked = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_label_id", "left")
-    marked = marked.select("text", (F.coalesce("good", F.lit(False)) & fits(F.col("text"))).alias("target"))
+    marked = marked.select("text", F.coalesce("good", F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int64)
@@ -155,25 +152,6 @@ def gumbel(id_col: str, seed: int) -> Column:
     return -F.log(-F.log((draw + F.lit(0.5)) / F.lit(4294967296.0)))
 
 
-def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
-    """The cut that parts good from bad with the least error, shares of each side, lost good ones weighed up; -inf if a side is missing.
-
-    Of equal cuts the middle of the widest gap is taken.
-    """
-    if good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    lost = np.concatenate(([0], np.cumsum(g))) / g.sum()  # good below the cut
-    passed = 1 - np.concatenate(([0], np.cumsum(~g))) / (~g).sum()  # bad above the cut
-    error = KEEP_WEIGHT * lost + passed
-    least = np.flatnonzero(error <= error.min() + 1e-12)
-    edges = np.concatenate(([s[0] - 1], s, [s[-1] + 1]))
-    gaps = edges[least + 1] - edges[least]
-    k = least[int(np.argmax(gaps))]
-    return float((edges[k] + edges[k + 1]) / 2)
-
-
 def ordinal(x: float) -> int:
     """The place of a double among all doubles; 0 for 0."""
     n = int(np.abs(np.float64(x)).view(np.int64))
@@ -225,15 +203,15 @@ def resample(
     """``docs`` with all its columns (``narrow``: without the text, and written) and _n_grams, _log_weight, _score, _kept.
 
     Gumbel top-k over all documents: ``_score`` is the log weight plus noise, and the k
-    largest are kept (ties at the k-th all stay).  Without k, it is the number of documents
-    that reach the cut which best parts good from bad in the labelled half that the
-    target has not seen.  With no usable labels, or only one kind, every document is kept.
+    largest are kept (ties at the k-th all stay).  Without k, it is the good share of the
+    labels, raised by ``SLACK`` of what is missing to 1, times the documents, rounded up.
+    With no usable labels, or only one kind, every document is kept.
     Null and blank texts have no n-grams, a log weight of 0 and take part like any other.
     Repeated rows share their noise.  An empty table stays empty.  The four columns come
     under these names with more underscores where ``docs`` has them already.
     """
-    sample = labelled_sample(labels, sample_rows)
-    sample = docs.sparkSession.createDataFrame(sample.collect(), "_label_id long, good boolean")  # sample_rows at most
+    worst = materialise(worst_labels(labels), "labels")
+    sample = docs.sparkSession.createDataFrame(labelled_sample(worst, sample_rows).collect(), "_label_id long, good boolean")  # sample_rows at most
     ratios = log_ratios(*gram_counts(docs, sample, id_col, text_col, bits))
     n_grams, log_weight, score_col, kept = free_names(docs, "_n_grams", "_log_weight", "_score", "_kept")
     score = F.col(log_weight) + gumbel(id_col, seed)
@@ -244,11 +222,8 @@ def resample(
     else:
         scores = materialise(everything.select(F.col(score_col).alias("score")), "scores")
     if k is None:
-        own = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample.withColumnRenamed("_label_id", id_col)), id_col).filter(~fits(F.col(text_col)))
-        fitted = scored(own, ratios, n_grams, log_weight, text_col, bits).groupBy(id_col, "good").agg(F.first(log_weight).alias(log_weight))
-        rows = fitted.select(score.alias("score"), "good").collect()  # sample_rows at most
-        cut = best_cut(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], bool)) if rows else -np.inf
-        k = scores.filter(F.col("score") >= F.lit(float(cut))).count()
+        share, n = good_share(worst), scores.count()
+        k = n if share is None else ceil(n * (share + SLACK * (1 - share)))
     return everything.withColumn(kept, F.col(score_col) >= F.lit(float(top_k_cut(scores, k))))
 
 

@@ -25,6 +25,7 @@ from .components import connected_components
 from .joins import split_join
 from .storage import materialise
 from .tables import free_names
+from .tables import row_digest as all_columns
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -232,7 +233,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows are told apart by doc_id and text, so different texts may share a doc_id or have
     none.  A row without doc_id stays only where no row of its component has one; among
     rows of one doc_id and component the least digest of the text decides, and of rows
-    equal in both one remains.  Null and empty texts have fingerprint 0; very long texts
+    equal in both that of the least digest of all columns remains.  Null and empty texts have fingerprint 0; very long texts
     are read whole; an empty table stays empty; extra columns may have any names.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, width, digest=True), "simhash")
@@ -244,6 +245,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.withColumns({row_id: F.col(id_col).cast("long"), row_digest: text_digest(text_col)})
     if not marked.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
         # Taken together before the join, and on the map side, so that copies are not one task.
-        rows = rows.groupBy(row_id, row_digest).agg(F.min(F.struct(*docs.columns)).alias(whole)).select(row_id, row_digest, f"{whole}.*")
+        rows = rows.groupBy(row_id, row_digest).agg(F.min_by(F.struct(*docs.columns), all_columns(docs)).alias(whole)).select(row_id, row_digest, f"{whole}.*")
     same = rows[row_id].eqNullSafe(kept["_keep_id"]) & rows[row_digest].eqNullSafe(kept["_keep_digest"])
     return rows.join(kept, same, "left_semi").select(*docs.columns)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +20,8 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns of a row, of whatever types: equal rows have equal ones."""
+    return F.sha2(F.to_json(F.struct(*df.columns)), 256)

@@ -10,7 +10,7 @@ from math import ceil, floor, log
 import xxhash
 from tokenizers import Tokenizer
 
-from gaugeworks.llm import encoding, quality
+from gaugeworks.llm import encoding
 
 
 def draw(*parts) -> int:
@@ -62,29 +62,40 @@ def pack(rows, capacity=2048, limit=4):
 # --- quality
 
 
-def quality_scores(docs, labels, bits=16):
-    """log weight of every (doc_id, text), and whether each labelled one fits the models (``good`` by doc_id)."""
+def gram_buckets(text):
+    """Lower-cased words and neighbouring pairs, hashed to 16 bits."""
+    ones = [xxhash.xxh64_intdigest(w.encode()) for w in (text or "").lower().split()]
+    twos = [(a * 0x9E3779B97F4A7C15 + b) % (1 << 64) for a, b in zip(ones, ones[1:])]
+    return [x % 65536 for x in ones] + [(x ^ (x >> 29)) % 65536 for x in twos]
+
+
+def quality_kept(docs, labels, k=None):
+    """log weight and score of every (doc_id, text), and the kept doc_ids."""
     worst = {}
     for i, q, toxic in labels:
         if i is not None and q is not None:
             old = worst.get(i, (1, 0))
             worst[i] = (min(old[0], q), max(old[1], toxic or 0))
-    good = {i: q == 1 for i, (q, toxic) in worst.items() if q == 0 or toxic == 0}
+    good = {i for i, (q, toxic) in worst.items() if q == 1 and not toxic}
     raw, target = Counter(), Counter()
-    fits = lambda t: xxh64_chain(t) % 2 == 0
     for i, t in docs:
-        grams = quality.gram_buckets(t, bits).tolist()
-        raw.update(grams)
-        if good.get(i) and fits(t or ""):
-            target.update(grams)
-    size, n_raw, n_target = 1 << bits, raw.total(), target.total()
-    more = max(quality.SHRINK * n_target / size, 1.0)
+        raw.update(gram_buckets(t))
+        if i in good:
+            target.update(gram_buckets(t))
+    n_raw, n_target = raw.total(), target.total()
+    more = max(0.5 * n_target / 65536, 1.0)
     weight = {}
     for i, t in docs:
-        grams = quality.gram_buckets(t, bits).tolist()
+        grams = gram_buckets(t)
         total = sum(log((target[g] + more) / (raw[g] * n_target / n_raw + more)) for g in grams) if n_target else 0.0
-        weight[i, t] = quality.REFERENCE_GRAMS * total / (len(grams) + quality.NEUTRAL_GRAMS) if grams else 0.0
-    return weight, good, fits
+        weight[i, t] = 200 * total / (len(grams) + 100) if grams else 0.0
+    score = {(i, t): w + gumbel(i) for (i, t), w in weight.items()}
+    if k is None:
+        n_good = sum(q == 1 for q, _ in worst.values())
+        share = n_good / len(worst) if 0 < n_good < len(worst) else 1.0
+        k = ceil(len(docs) * (share + 0.05 * (1 - share)))
+    cut = sorted((score[d] for d in docs), reverse=True)[k - 1] if 0 < k <= len(docs) else float("-inf")
+    return weight, score, {d for d in docs if score[d] >= cut}
 
 
 def xxh64_chain(text: str) -> int:

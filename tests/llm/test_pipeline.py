@@ -10,7 +10,6 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from gaugeworks.llm import quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `_kept` boolean, row_id string, salt int"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -45,12 +44,8 @@ def ids(df):
 
 
 def plain_quality(rows):
-    weight, good, fits = brute.quality_scores([r[:2] for r in rows], [(i, int(i < 60), int(i % 11 == 0)) for i in range(80)])
-    score = {i: weight[i, t] + brute.gumbel(i) for i, t, _ in rows}
-    text = {i: t for i, t, _ in rows}
-    held = [(score[i], g) for i, g in good.items() if i in score and not fits(text[i] or "")]
-    cut = quality.best_cut(np.array([s for s, _ in held]), np.array([g for _, g in held]))
-    return [r for r in rows if score[r[0]] >= cut]
+    *_, kept = brute.quality_kept([r[:2] for r in rows], [(i, int(i < 60), int(i % 11 == 0)) for i in range(80)])
+    return [r for r in rows if tuple(r[:2]) in kept]
 
 
 def plain_mix(rows):
