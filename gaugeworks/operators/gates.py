@@ -27,6 +27,14 @@ def unique(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows
 
 
+def bounded_groups(rows: DataFrame, keys: Sequence[str], most: int = 1_000_000) -> DataFrame:
+    """Raises where a key has more than ``most`` rows: for tables whose groups become one value each."""
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise GateError(f"a key of {list(keys)} has {largest} rows, at most {most}")
+    return rows
+
+
 def functional(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Each key has one value: returns the map, or raises."""
     done = rows.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("_most"))

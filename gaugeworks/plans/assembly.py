@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import answers, questions
 from gaugeworks.functions.draws import order_key
 from gaugeworks.operators import comparing, gates, joining, labelling, sampling, scoring
+from gaugeworks.operators.ranges import place_within
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.plans.scans import SOURCE, SPLIT, source_items
 from gaugeworks.plans.texts import FLAGS, RAW, flag_texts, raw_answers
@@ -225,8 +226,7 @@ def top01(spark, sf_dir):
 def top02(spark, sf_dir):
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("stratum"))
     mass = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.round(F.sum("o_totalprice"), 2).alias("mass"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("mass"), "key"))
-    return mass.join(customers, "key").select("stratum", "key", place.alias("place"))
+    return place_within(mass.join(customers, "key").select("stratum", "key", "mass"), ["stratum"], ["-mass", "key"], "place").select("stratum", "key", "place")
 
 
 @query("top03_modal_answer", f"WITH {ITEMS}, n AS (SELECT video, answer, count(*) AS n FROM ev GROUP BY ALL) SELECT video, arg_max(answer, n * 100 - answer) AS modal, max(n) AS n FROM n GROUP BY video")
@@ -262,9 +262,9 @@ def set04(spark, sf_dir):
     return videos.groupBy("dist").agg(F.count(F.lit(1)).alias("n_videos"))
 
 
-@query("set05_hit_histogram", "WITH h AS (SELECT DISTINCT l_partkey, l_quantity::INT AS q FROM lineitem WHERE l_quantity < 10) SELECT q, count(*) AS n FROM h GROUP BY q")
+@query("set05_hit_histogram", "WITH h AS (SELECT DISTINCT l_partkey, l_quantity::INT AS q FROM lineitem) SELECT q, count(*) AS n FROM h GROUP BY q")
 def set05(spark, sf_dir):
-    hits = read(spark, sf_dir, "lineitem").filter("l_quantity < 10").select("l_partkey", F.col("l_quantity").cast("int").alias("q")).distinct()
+    hits = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("int").alias("q")).distinct()
     return hits.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -427,11 +427,11 @@ def gat15(spark, sf_dir):
     return rows.groupBy("grp", "dist").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gat19_no_held_out_cluster_gate", f"WITH {ITEMS}, {SPLIT} SELECT count(*) AS minted FROM ev WHERE (dist, video) IN (SELECT dist, video FROM sp WHERE split = 'train') AND k % 10 = 0")
+@query("gat19_no_held_out_cluster_gate", f"WITH {ITEMS}, {SPLIT} SELECT count(*) AS minted FROM ev WHERE (dist, video) IN (SELECT dist, video FROM sp WHERE split = 'train') AND fmt = 'number' AND answer = 0")
 def gat19(spark, sf_dir):
     rows = items(spark, sf_dir)
     split = sampling.cluster_split(rows, "dist", "video", 0.2)
-    minted = sampling.apply_split(rows, split, ["dist", "video"], "train").filter("k % 10 = 0")
+    minted = sampling.apply_split(rows, split, ["dist", "video"], "train").filter("fmt = 'number' and answer = 0")
     return gates.disjoint(minted, split.filter("split = 'val_id'"), ["dist", "video"]).agg(F.count(F.lit(1)).alias("minted"))
 
 

@@ -74,7 +74,7 @@ def agg70(spark, sf_dir):
 def add03(spark, sf_dir):
     rows = items(spark, sf_dir)
     typical = consistency.modal_value(rows.filter("dist = 'ID'"), "template", "answer", 5)
-    joined = rows.filter("dist = 'OOD'").join(F.broadcast(typical), "template")
+    joined = rows.filter("dist = 'OOD'").join(typical, "template")
     return rounded(joined.groupBy((F.col("answer") == F.col("typical")).alias("is_typical")).agg(F.count(F.lit(1)).alias("n"), F.avg("correct_a").alias("acc")), "acc")
 
 

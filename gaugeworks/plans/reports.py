@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import answers, questions
 from gaugeworks.functions.draws import order_key, uniform
 from gaugeworks.operators import comparing, gates, labelling, ranking, sampling, sequences
-from gaugeworks.operators.ranges import running_totals
+from gaugeworks.operators.ranges import place_within, running_totals
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.plans.texts import FLAGS, SAMPLES, flag_texts, sample_rows
 from gaugeworks.registry import query
@@ -193,8 +193,7 @@ def smp12(spark, sf_dir):
 
 @query("smp23_every_kth", f"WITH {ITEMS}, n AS (SELECT qid, dist, row_number() OVER (PARTITION BY dist ORDER BY qid) AS rn FROM ev) SELECT qid, dist FROM n WHERE (rn - 1) % 25 = 0")
 def smp23(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("dist").orderBy("qid"))
-    return items(spark, sf_dir).select("qid", "dist", place.alias("rn")).filter("(rn - 1) % 25 = 0").select("qid", "dist")
+    return place_within(items(spark, sf_dir).select("qid", "dist"), ["dist"], ["qid"], "rn").filter("(rn - 1) % 25 = 0").select("qid", "dist")
 
 
 @query("gat04_bucket_counts_gate", f"WITH {ITEMS} SELECT grp, dist, count(*) AS n FROM ev GROUP BY ALL")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.draws import order_key, pick, uniform
+from gaugeworks.functions.draws import pick, uniform
 from gaugeworks.operators import gates, sampling
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.registry import query
@@ -49,7 +48,7 @@ def win08(spark, sf_dir):
     return sampling.cluster_split(items(spark, sf_dir), "grp", "video", 0.2, seed=42)
 
 
-@query("smp05_leave_one_out", f"WITH {ITEMS}, s AS (SELECT grp, count(*) AS n FROM ev GROUP BY grp) SELECT a.grp AS fold, b.grp, CASE WHEN a.grp = b.grp THEN 'val' ELSE 'train' END AS split, b.n FROM s a, s b")
+@query("smp05_leave_one_out", f"WITH {ITEMS}, s AS (SELECT grp, count(*) AS n FROM ev GROUP BY grp) SELECT grp AS fold, n AS n_val, (SELECT sum(n) FROM s)::BIGINT - n AS n_train FROM s")
 def smp05(spark, sf_dir):
     return sampling.leave_one_out_folds(items(spark, sf_dir), "grp")
 

@@ -150,8 +150,9 @@ def src15(spark, sf_dir):
 
 @query("src16_contents_in_order", f"WITH {ITEMS} SELECT video, string_agg(pred::VARCHAR, ',' ORDER BY event_id) AS contents FROM ev GROUP BY video")
 def src16(spark, sf_dir):
+    rows = gates.bounded_groups(items(spark, sf_dir), ["video"])
     ordered = F.array_sort(F.collect_list(F.struct("event_id", F.col("pred").cast("string").alias("c"))))
-    return items(spark, sf_dir).groupBy("video").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), ",").alias("contents"))
+    return rows.groupBy("video").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), ",").alias("contents"))
 
 
 @query("src17_rehosted_paths", "SELECT o_orderkey, '/new/root/' || o_custkey || '/' || o_orderkey || '.png' AS image FROM orders")
@@ -299,7 +300,8 @@ def snk15(spark, sf_dir):
 def snk18(spark, sf_dir):
     frame = questions.cache_name(F.col("video"), F.floor(F.col("t") / 3600))
     runs = F.struct(F.struct(F.col("pred"), F.col("correct_a").alias("correct")).alias("a"), F.struct(F.col("pred"), F.col("correct_b").alias("correct")).alias("b"))
-    index = items(spark, sf_dir).groupBy(frame.alias("frame")).agg(F.array_sort(F.collect_set("fmt")).alias("inventory"), F.collect_list(F.struct("qid", runs.alias("runs"))).alias("questions"))
+    rows = gates.bounded_groups(items(spark, sf_dir).withColumn("frame", frame), ["frame"])
+    index = rows.groupBy("frame").agg(F.array_sort(F.collect_set("fmt")).alias("inventory"), F.collect_list(F.struct("qid", runs.alias("runs"))).alias("questions"))
     right = lambda run: F.size(F.filter("questions", lambda q: q["runs"][run]["correct"] == 1)).cast("long")
     return index.select("frame", F.size("questions").cast("long").alias("n_questions"), F.array_join("inventory", ",").alias("inventory"), right("a").alias("right_a"), right("b").alias("right_b"))
 

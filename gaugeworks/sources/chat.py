@@ -59,9 +59,9 @@ def manifest_digest(rows: DataFrame, columns: Sequence[str]) -> str:
 
 
 def write_manifest(rows: DataFrame, path: str, columns: Sequence[str]) -> str:
-    """CSV of a manifest, its digest beside it as a table; returns the digest."""
+    """CSV of a manifest in ordered parts, its digest beside it as a table; returns the digest."""
     digest = manifest_digest(rows, columns)
-    rows.select(*columns).orderBy(*columns).coalesce(1).write.mode("overwrite").csv(f"{path}/manifest", header=True)
+    rows.select(*columns).repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").csv(f"{path}/manifest", header=True)
     rows.sparkSession.createDataFrame([(digest,)], "sha256 string").coalesce(1).write.mode("overwrite").text(f"{path}/sha256")
     return digest
 

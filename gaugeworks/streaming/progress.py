@@ -14,7 +14,6 @@ from dataclasses import astuple, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 WIDTH, LEAST = 64, 4
