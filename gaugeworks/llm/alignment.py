@@ -14,32 +14,38 @@ the tables that pass through shuffles have a row for each pair of ids, not for e
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_bpe import ID_TYPE, SINGLE_SPACE, TWO_BLANKS, Remembered, lists, share_automaton, text_encoder
+from .bpe_automaton import read_merges
+from .byte_bpe import ID_TYPE, SINGLE_SPACE, TWO_BLANKS, Remembered, TextEncoder, default_tokenizer, lists
+from .encoding import octet_letters
 from .storage import materialise
 from .tables import free_names
 
 BLANK = "▁"
 #: Code points that are aligned at once; a longer text is aligned by itself.
-SLICE_POINTS = 1_000_000
+SLICE_POINTS = 400_000
 #: Pairs of ids whose counts are broadcast at most; others are joined by shuffling.
 BROADCAST_PAIRS = 2_000_000
 #: Rows of partial counts that a task holds before it reduces them, and before it hands them on.
 REDUCE_ROWS, HELD_ROWS = 500_000, 1_000_000
+#: Bits that the end of a token in its document takes in a key; above it is the document.
+END_BITS = pa.scalar(40, pa.int64())
 #: An id that marks a chunk whose pieces don't spell it.
 UNLIKE = -1
+MARK = array("i", [UNLIKE]).tobytes()
 
 
 def default_pieces() -> str:
@@ -61,6 +67,22 @@ def parts(text: str) -> list[str]:
     return [first[1:], *rest]
 
 
+class LibraryMerges:
+    """What ``TextEncoder`` asks for words, by the library's own merges; special tokens are plain text here."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        told = read_merges(path)
+        self.labels = [told.labels.get(i, b"") for i in range(max(told.labels) + 1)]
+        self.special: dict[str, int] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, octet_letters()
+
+    def path(self, word: bytes) -> list[int]:
+        return [t.id for t in self.tokenize(word.decode("latin-1").translate(self.letters))]
+
+
 class PieceEncoder:
     """Ids of B for texts and chunks, and the octets of each piece."""
 
@@ -76,20 +98,26 @@ class PieceEncoder:
         if any(BLANK in p.lstrip(BLANK) for i, p in enumerate(spelt) if not self.model.is_byte(i)):
             raise ValueError(f"{path} has pieces with a space inside, so texts can't be cut at spaces")
         self.blank = self.model.piece_to_id(BLANK)
-        self.table = Remembered(self.ids_of)
-
-    def ids_of(self, chunk: str) -> bytes:
-        """Ids of a chunk with a space before it; ``UNLIKE`` behind them where they spell something else."""
-        ids = self.model.encode(chunk) if chunk else [self.blank]
-        if b"".join(map(self.labels.__getitem__, ids)) != (" " + chunk).encode():
-            ids = [*ids, UNLIKE]
-        return np.array(ids, ID_TYPE).tobytes()
-
-    def encode(self, text: str, cut: list[str]) -> bytes:
-        """Ids of a text cut in ``parts``; none if they don't spell the text with a space before it."""
-        found = b"".join(map(self.table.__getitem__, cut))
-        ids = np.frombuffer(found, ID_TYPE)
-        if (ids == UNLIKE).any():
+        self.sizes = np.array([len(x) for x in self.labels])
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with a space before each; ``UNLIKE`` behind those that spell something else."""
+        found = [ids or [self.blank] for ids in self.model.encode(chunks, num_threads=1)] if chunks else []
+        spelt = b"".join([self.labels[i] for ids in found for i in ids])
+        wanted = [(" " + c).encode() for c in chunks]
+        if spelt != b"".join(wanted) or not np.array_equal(self.octets_of(found), [len(w) for w in wanted]):
+            found = [ids if b"".join(map(self.labels.__getitem__, ids)) == w else [*ids, UNLIKE] for ids, w in zip(found, wanted, strict=True)]
+        return [array("i", ids).tobytes() for ids in found]
+
+    def octets_of(self, found: list[list[int]]) -> np.ndarray:
+        flat = np.fromiter((i for ids in found for i in ids), np.int64)
+        return sums_by(self.sizes[flat], np.cumsum([len(ids) for ids in found], dtype=np.int64))
+
+    def joined(self, text: str, octets: list[bytes]) -> bytes:
+        """Ids of a text from those of its chunks; none if they don't spell the text with a space before it."""
+        found = b"".join(octets)
+        if MARK in found:
+            ids = np.frombuffer(found, ID_TYPE)
             ids = ids[ids != UNLIKE]
             found = ids.tobytes() if b"".join(map(self.labels.__getitem__, ids.tolist())) == (" " + text).encode() else b""
         return found
@@ -132,14 +160,20 @@ class Side:
         return pc.subtract(pa.array(self.total), pc.take(pa.array(before), self.doc))
 
 
+    @cached_property
+    def doc_end(self) -> pa.Array:
+        """Document and end as one key."""
+        return pc.bit_wise_or(pc.shift_left(pc.cast(self.doc, pa.int64()), END_BITS), self.ends)
+
+
 class Aligned:
     """Documents aligned; ``a`` and ``b`` have the same octets in each."""
 
     def __init__(self, a: Side, b: Side) -> None:
         self.a, self.b = a, b
-        left = pa.table({"doc": a.doc, "end": a.ends, "a_at": np.arange(len(a.flat))})
-        right = pa.table({"doc": b.doc, "end": b.ends, "b_at": np.arange(len(b.flat))})
-        both = left.join(right, keys=["doc", "end"], join_type="inner", use_threads=False)
+        left = pa.table({"key": a.doc_end, "a_at": np.arange(len(a.flat), dtype=np.int32)})
+        right = pa.table({"key": b.doc_end, "b_at": np.arange(len(b.flat), dtype=np.int32)})
+        both = left.join(right, keys="key", join_type="inner", use_threads=False)
         #: Whether a token ends where one of the other side ends.
         self.a_closes, self.b_closes = np.zeros(len(a.flat), bool), np.zeros(len(b.flat), bool)
         self.a_closes[both["a_at"].to_numpy()] = True
@@ -189,21 +223,30 @@ class Aligned:
 class Aligner:
     """Both encoders and what alignment needs of their vocabularies."""
 
-    def __init__(self, a, pieces: str) -> None:
-        self.a, self.b = a, PieceEncoder(pieces)
-        self.a_octets, self.b_octets = (pa.array([len(x) for x in labels], pa.int32()) for labels in (self.a.automaton.labels, self.b.labels))
+    def __init__(self, a_path: str, pieces: str) -> None:
+        merges = LibraryMerges(a_path)
+        self.a, self.b = TextEncoder(merges), PieceEncoder(pieces)
+        self.a_octets, self.b_octets = (pa.array([len(x) for x in labels], pa.int32()) for labels in (merges.labels, self.b.labels))
         most = max(len(self.a_octets), len(self.b_octets))
         #: Each number with a comma, a stroke and a semicolon.
         self.decimals = pa.array([f"{i}{mark}" for i in range(most) for mark in ",|;"], pa.large_string())
 
+        self.table = Remembered(lambda chunk: self.both([chunk])[0])
+
+    def both(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and B for chunks with a space before each."""
+        return list(zip(map(self.a.after_space, chunks), self.b.ids_of(chunks), strict=True))
+
     def align(self, texts: list[str | None]) -> Aligned:
         a_ids, b_ids = [], []
-        for text in texts:
+        every = [parts(text) if text else [] for text in texts]
+        self.table.fill(chain.from_iterable(every), self.both)
+        for text, cut in zip(texts, every, strict=True):
             a = b = b""
             if text:
-                cut = parts(text)
-                b = self.b.encode(text, cut)
-                a = b"".join(map(self.a.spaced.__getitem__, cut)) if b else b""
+                of_a, of_b = zip(*map(self.table.__getitem__, cut), strict=True)
+                b = self.b.joined(text, of_b)
+                a = b"".join(of_a) if b else b""
             a_ids.append(a)
             b_ids.append(b)
         return Aligned(Side(lists(a_ids), self.a_octets), Side(lists(b_ids), self.b_octets))
@@ -226,10 +269,10 @@ def slices(texts: pa.Array, points: int = SLICE_POINTS) -> Iterator[tuple[int, l
 _own: list = [None, None, None]
 
 
-def aligner(shared: Broadcast, pieces: str) -> Aligner:
+def aligner(a_path: str, pieces: str) -> Aligner:
     """The aligner of this worker process."""
-    if _own[:2] != [shared, pieces]:
-        _own[:] = shared, pieces, Aligner(text_encoder(shared), pieces)
+    if _own[:2] != [a_path, pieces]:
+        _own[:] = a_path, pieces, Aligner(a_path, pieces)
     return _own[2]
 
 
@@ -240,14 +283,14 @@ def align(docs: DataFrame, text_col: str = "text", a_path: str | None = None, b_
     A text that is null or empty, or that B's pieces don't spell, has no ids and no groups.
     The new names get underscores where they are taken.
     """
-    shared, pieces = share_automaton(docs, a_path), b_path or default_pieces()
+    a_path, pieces = a_path or default_tokenizer(), b_path or default_pieces()
     names = free_names(docs, "a_ids", "b_ids", "groups")
     ids = T.ArrayType(T.IntegerType())
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (ids, ids, T.StringType()), strict=True))])
     at = docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(shared, pieces)
+        own = aligner(a_path, pieces)
         for batch in batches:
             for start, texts in slices(batch.column(at)):
                 found = own.align(texts)
@@ -259,7 +302,7 @@ def align(docs: DataFrame, text_col: str = "text", a_path: str | None = None, b_
     return docs.mapInArrow(of, schema)
 
 
-def aligned_links(docs: DataFrame, id_col: str, text_col: str, shared: Broadcast, pieces: str, code_type: np.dtype) -> DataFrame:
+def aligned_links(docs: DataFrame, id_col: str, text_col: str, a_path: str, pieces: str, code_type: np.dtype) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and the links' pairs as octets; ``row`` numbers the rows."""
     rows = docs.select(text_col, id_col)
     schema = T.StructType(
@@ -275,7 +318,7 @@ def aligned_links(docs: DataFrame, id_col: str, text_col: str, shared: Broadcast
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, row = aligner(shared, pieces), TaskContext.get().partitionId() << 33
+        own, row = aligner(a_path, pieces), TaskContext.get().partitionId() << 33
         for batch in batches:
             for start, texts in slices(batch.column(0)):
                 found = own.align(texts)
@@ -339,10 +382,10 @@ def link_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more than a ``most``-th of all counted rows hold are broadcast (so no more of them
     than that), and the links of the others are joined by shuffling.
     """
-    pieces, shared = b_path or default_pieces(), share_automaton(docs, a_path)
-    size_b = len(PieceEncoder(pieces).labels)
-    code_type = np.dtype("<i4") if len(shared.value.labels) * size_b < 1 << 31 else np.dtype("<i8")
-    links = materialise(aligned_links(docs, id_col, text_col, shared, pieces, code_type), "links", "zstd")
+    a_path, pieces = a_path or default_tokenizer(), b_path or default_pieces()
+    size_a, size_b = (len(x.labels) for x in (LibraryMerges(a_path), PieceEncoder(pieces)))
+    code_type = np.dtype("<i4") if size_a * size_b < 1 << 31 else np.dtype("<i8")
+    links = materialise(aligned_links(docs, id_col, text_col, a_path, pieces, code_type), "links", "zstd")
     counts = materialise(pair_counts(links, code_type), "pairs")
     best = counts.groupBy(F.expr(f"pair div {size_b}").alias("a")).agg(F.max("n").alias("most"))
     judged = counts.join(best, F.expr(f"pair div {size_b}") == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("is_best"))

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from gaugeworks.llm import alignment, bpe_automaton, byte_bpe
+from gaugeworks.llm import alignment, bpe_automaton
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -105,8 +105,7 @@ def test_ids_and_groups_as_columns(spark):
 
 @cache
 def own():
-    encoder = byte_bpe.TextEncoder(bpe_automaton.compile_merges(bpe_automaton.read_merges(A_PATH)))
-    return alignment.Aligner(encoder, B_PATH)
+    return alignment.Aligner(A_PATH, B_PATH)
 
 
 PARTS = st.sampled_from(["▁", " ", "  ", "\n", "the", "ing", "'s", "12", "é", "ñ", " ", "日", "😀", "\x1d", "<s>", "<0x41>", "\t"])
