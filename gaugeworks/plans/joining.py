@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import sketches
 from gaugeworks.operators import gates, joining
+from gaugeworks.operators.resampling import written
 from gaugeworks.plans.rounding import rounded
 from gaugeworks.registry import query
 from gaugeworks.sources.adapters import ITEMS, items, read
@@ -64,7 +65,8 @@ CLOSE_BITS = 8
 
 @query("jon15_close_hashes")
 def jon15(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", sketches.simhash(sketches.shingle_hashes(F.col("text"))).alias("h"))
+    sketched = read(spark, sf_dir, "documents").select("doc_id", sketches.simhash(sketches.shingle_hashes(F.col("text"))).alias("h"))
+    docs = written(sketched, "sketches")  # once, as both sides and the summary read them
     return joining.close_summary(docs.filter("doc_id % 50 = 0"), docs, "doc_id", CLOSE_BITS)
 
 
