@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from gaugeworks.functions.draws import uniform
-from gaugeworks.operators.resampling import tree_bootstrap
+from gaugeworks.functions.draws import AT_ONCE, uniform, uniforms
+from gaugeworks.operators.ranges import place_within
+from gaugeworks.operators.resampling import tree_bootstrap, written
 
-#: Cluster means that are broadcast at most; more are joined by shuffling.
-BROADCAST_CLUSTERS = 200_000
+#: Clusters of a cell whose means a task holds at most (32 MB), and that are sent as one row.
+MOST_CLUSTERS, CHUNK = 4_000_000, 65_536
 
 
 def pair_arms(control: DataFrame, arm: DataFrame, key: str = "qid", value: str = "correct") -> DataFrame:
@@ -53,28 +57,66 @@ def grouped_delta(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def cluster_means(rows: DataFrame, by: Sequence[str], cluster: str, value: Column) -> DataFrame:
-    """by, cluster, mean, n and a number from 0 for each cluster of its cell, in the order of its name."""
-    done = rows.groupBy(*by, cluster).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).filter("n > 0")
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1
-    return done.withColumn("number", number).withColumn("clusters", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """by, cluster, mean, n and a number from 0 for each cluster of its cell, in the order of its name; clusters of the cell.  Written once."""
+    done = rows.groupBy(*by, cluster).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    for c in by:
+        done = done.filter(F.col(c).isNotNull())
+    numbered = place_within(done.filter("n > 0"), by, [cluster], "place").withColumn("number", F.col("place") - 1).drop("place")
+    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("clusters"))
+    return written(numbered.join(sizes, list(by)), "means")
+
+
+def replicate_means(means: DataFrame, by: Sequence[str], draws: int, seed: int, total: int) -> DataFrame:
+    """by, replicate, m: means of resampled clusters.  A cell's replicates are dealt to tasks by its share of all clusters, each with the cell's means as one array."""
+    cores = means.sparkSession.sparkContext.defaultParallelism
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit("c"), *(F.col(c).cast("string") for c in by))
+    parts = F.least(F.lit(draws), F.ceil(F.col("clusters") * F.lit(4 * cores / total))).cast("int")
+    chunks = means.groupBy(*by, "clusters", F.floor(F.col("number") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("number", "mean"))).alias("held"))
+    dealt = chunks.select(*by, "chunk", F.transform("held", lambda x: x["mean"]).alias("held"), text.alias("text"), parts.alias("parts"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(4 * cores, *by, "part")
+
+    def resampled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.concatenate(pdf.sort_values("chunk")["held"].to_list())
+        text, mine = pdf["text"].iloc[0], range(key[-1], draws, int(pdf["parts"].iloc[0]))
+        m = [resampled_mean(f"{text}|{r}", held) for r in mine]
+        return pd.DataFrame({**dict(zip(by, key, strict=False)), "replicate": np.array(mine, np.int32), "m": m})
+
+    schema = StructType([*(means.schema[c] for c in by), StructField("replicate", IntegerType()), StructField("m", DoubleType())])
+    return dealt.groupBy(*by, "part").applyInPandas(resampled, schema)
+
+
+def resampled_mean(text: str, held: np.ndarray) -> float:
+    """Mean of as many draws from ``held`` as it has values; slot i takes the value that the draw of ``text|i`` falls on."""
+    n, total = len(held), 0.0
+    for start in range(0, n, AT_ONCE):
+        total += held[(uniforms(text, start, min(n, start + AT_ONCE)) * n).astype(np.int64)].sum()
+    return total / n
+
+
+def joined_replicates(means: DataFrame, by: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """The same by a join on (cell, number), with a row for each draw: for cells whose means are too many for one task."""
+    slots = means.select(*by, F.col("number").alias("slot"), "clusters").repartition(means.sparkSession.sparkContext.defaultParallelism, *by, "slot")
+    slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = slots.withColumn("number", F.floor(uniform(seed, "c", *(F.col(c) for c in by), F.col("replicate"), F.col("slot")) * F.col("clusters")))
+    picked = drawn.select(*by, "replicate", "number").join(means.select(*by, "number", "mean"), [*by, "number"])
+    return picked.groupBy(*by, "replicate").agg(F.avg("mean").alias("m"))
 
 
-def cluster_bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, value: Column, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+def cluster_bootstrap(
+    rows: DataFrame, by: Sequence[str], cluster: str, value: Column, draws: int = 200, seed: int = 0, level: float = 0.95, most: int = MOST_CLUSTERS
+) -> DataFrame:
     """Point (mean of cluster means) and percentile interval from resampled clusters.
 
     Every replicate draws as many clusters as there are; how often cluster v is drawn
-    comes from hashed draws, one for each slot, so the rows are draws x clusters and the
-    join is on (cell, number): nothing is gathered in one task, and the same on any cluster.
+    comes from hashed draws, one for each slot, so draws are replicates x clusters, and the
+    same on any cluster.  They are hashed and looked up within the tasks, and only a mean
+    for each replicate leaves them; cells of more than ``most`` clusters are joined instead.
     """
     means = cluster_means(rows, by, cluster, value)
-    # Dealt to all cores before it grows by the draws; the means are broadcast as long as they are few.
-    slots = means.select(*by, F.col("number").alias("slot"), "clusters").repartition(rows.sparkSession.sparkContext.defaultParallelism, *by, "slot")
-    slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    drawn = slots.withColumn("number", F.floor(uniform(seed, "c", *(F.col(c) for c in by), F.col("replicate"), F.col("slot")) * F.col("clusters")).cast("int"))
-    numbered = means.select(*by, "number", "mean")
-    numbered = F.broadcast(numbered) if numbered.count() <= BROADCAST_CLUSTERS else numbered
-    picked = drawn.select(*by, "replicate", "number").join(numbered, [*by, "number"])
-    replicates = picked.groupBy(*by, "replicate").agg(F.avg("mean").alias("m"))
+    largest, total = means.agg(F.max("clusters"), F.count(F.lit(1))).first()
+    replicates = replicate_means(means.filter(F.col("clusters") <= most), by, draws, seed, max(total, 1))
+    if largest and largest > most:
+        replicates = replicates.unionByName(joined_replicates(means.filter(F.col("clusters") > most), by, draws, seed))
     tail = (1 - level) / 2
     ci = replicates.groupBy(*by).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
     point = means.groupBy(*by).agg(F.avg("mean").alias("point"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_clusters"))

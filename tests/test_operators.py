@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.functions import answers, questions
+from gaugeworks.functions import answers, draws, questions
 from gaugeworks.operators import comparing, features, gates, joining, labelling, ranking, sampling, scoring, sequences
 from gaugeworks.plans import ledger
 from gaugeworks.sources import chat
@@ -117,6 +118,34 @@ def test_bootstrap_spread_is_that_of_the_mean(spark):
     assert (r.ci_high - r.ci_low) / 2 == pytest.approx(half, rel=0.2)
 
 
+def test_draws_at_once_are_those_of_the_column(spark):
+    df = spark.range(9_990, 10_020).select("id", *(draws.uniform(3, "c", F.lit(cell), F.col("id")).alias(f"u{i}") for i, cell in enumerate(("ID", "é|x", "long " * 12))))
+    rows = df.orderBy("id").collect()
+    for i, cell in enumerate(("ID", "é|x", "long " * 12)):
+        assert draws.uniforms(f"3|c|{cell}", 9_990, 10_020).tolist() == [r[f"u{i}"] for r in rows]
+    assert draws.uniforms("3|c", 5, 5).tolist() == []
+
+
+def test_bootstrap_joins_no_draws(spark):
+    """Replicates come out of the tasks, not out of rows for each draw; cells too large for a task give the same by a join."""
+    x = np.random.default_rng(5).normal(size=300)
+    rows = [("a" if i % 3 else "b", f"v{i:03d}", float(v)) for i, v in enumerate(x)] + [(None, "v", 1.0), ("a", "none", None)]
+    df = spark.createDataFrame(rows, "cell string, video string, x double").repartition(5)
+    done = [comparing.cluster_bootstrap(df, ["cell"], "video", F.col("x"), draws=40, seed=2, most=most).orderBy("cell") for most in (1000, 150, 1)]
+    assert ["sequence(0, 39," in one._jdf.queryExecution().analyzed().toString() for one in done] == [False, True, True]
+    want = {}
+    for cell in "ab":
+        held = [v for c, _, v in rows if c == cell and v is not None]
+        u = lambda r, i, n: int(int(hashlib.md5(f"2|c|{cell}|{r}|{i}".encode()).hexdigest()[:8], 16) / 2**32 * n)  # noqa: B023, E731
+        want[cell] = np.percentile([np.mean([held[u(r, i, len(held))] for i in range(len(held))]) for r in range(40)], [2.5, 97.5])
+    for one in done:
+        got = one.collect()
+        assert [(r.cell, r.n_clusters) for r in got] == [("a", 200), ("b", 100)]
+        for r in got:
+            assert (r.ci_low, r.ci_high) == pytest.approx(tuple(want[r.cell]))
+    assert comparing.cluster_bootstrap(df.limit(0), ["cell"], "video", F.col("x"), draws=5).collect() == []
+
+
 def test_spearman_and_auc_against_ranks(spark):
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 6, 80), rng.integers(0, 6, 80)
