@@ -5,16 +5,21 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import same
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from gaugeworks import registry
 from gaugeworks.functions import answers, descriptors, questions, sketches
 from gaugeworks.operators import boxes, comparing, hamming, losses
 from gaugeworks.operators.gates import GateError
 from gaugeworks.sources import publish
 
+registry.load()
+
 
 @pytest.mark.parametrize(("bits", "width", "b"), [(0, 64, None), (3, 64, None), (3, 64, 2), (8, 64, None), (8, 64, 3), (5, 20, None), (14, 56, None), (7, 64, 64)])
 def test_near_hashes_against_all_pairs(spark, bits, width, b):
@@ -29,6 +34,40 @@ def test_near_hashes_against_all_pairs(spark, bits, width, b):
     assert got == {(x, y, apart(x, y)) for x in left for y in right if apart(x, y) <= bits}
 
 
+@pytest.mark.parametrize(("bits", "tile"), [(0, 1000), (3, 20), (14, 7), (64, 50)])
+def test_near_totals_against_all_pairs(spark, bits, tile):
+    rng = random.Random(bits)
+    base = [rng.getrandbits(64) for _ in range(25)]
+    near = [h ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(18))) for h in base for _ in range(4)]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    left, right = [signed(h) for h in base + base[:3]], [(1000 - i, signed(h)) for i, h in enumerate(near + base + near[:30])]
+    ours = spark.createDataFrame([(h,) for h in [*left, None]], "h long").repartition(3)
+    theirs = spark.createDataFrame([*right, (1, None)], "vec_id long, h long").repartition(3)
+    apart = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    met = {x: [(k, apart(x, y)) for k, y in right if apart(x, y) <= bits] for x in left}
+    got = [tuple(r) for r in hamming.near_totals(ours, theirs, bits, "vec_id", tile).collect()]
+    assert sorted(got) == sorted((x, len(m), min(m)[0], min(d for _, d in m)) for x, m in met.items() if m)
+    assert {(r.h1, r.n_close, r.least) for r in hamming.near_totals(ours, theirs, bits).collect()} == {(x, n, None) for x, n, _, _ in got}
+    assert hamming.near_totals(ours, theirs.limit(0), bits).collect() == []
+
+
+def test_close_grids_make_no_rows_for_pairs(spark, tmp_path):
+    """400 grids that are all close to each other: what is shuffled are rows for grids, not for pairs of them."""
+    rng = np.random.default_rng(0)
+    spark.createDataFrame([(i, [float(x) for x in np.arange(64) + rng.normal(scale=0.4, size=64)], i % 10) for i in range(400)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("jon15_close_grids", "jon15_overlap_gate"):
+        done = registry.QUERIES[name](spark, str(tmp_path))
+        assert done.collect()
+        assert "shiftrightunsigned" not in done._jdf.queryExecution().analyzed().toString()
+    same(registry.QUERIES["jon15_close_grids"](spark, str(tmp_path)), connect_to(tmp_path), registry.ORACLES["jon15_close_grids"])
+
+
+def connect_to(path):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/embeddings.parquet/*.parquet'")
+    return con
+
+
 def test_blocks_keep_candidates_few():
     for n in (10**3, 10**6, 10**9):
         for bits in (3, 8):
